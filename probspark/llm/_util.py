@@ -107,3 +107,91 @@ def connected(edges: DataFrame, a: str, b: str) -> Staged:
     out = Staged(member.df.unionByName(roots.join(member.df.select("node"), "node", "left_anti")), "components")
     member.drop()
     return out
+
+
+def deal_blocks(rows: DataFrame, keys: list[str], within: list[str], most: int) -> DataFrame:
+    """Cut groups of more than ``most`` rows into blocks so that every pair of a group still meets in some task.
+
+    Adds ``blk`` (the row's block in its group) and (``bi``, ``bj``), the pair of blocks it is sent to: a group of n rows in
+    b = ceil(n / most) blocks sends each row to b pairs of blocks, and no task holds more than about two blocks.  Pairs of
+    rows are to be looked at where bi = bj, or where their ``blk`` differ.
+    """
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > most)
+    at = rows.join(hot, keys, "left").withColumn("nb_", F.ceil(F.coalesce("n_", F.lit(1)) / most).cast("int"))
+    at = at.withColumn("blk", F.pmod(F.xxhash64(*within), F.col("nb_")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("nb_") - 1))
+    at = at.select(*rows.columns, "blk", other.alias("o_"))
+    return at.select(*rows.columns, "blk", F.least("blk", "o_").alias("bi"), F.greatest("blk", "o_").alias("bj"))
+
+
+def whole_runs(batches, columns: list[str], keys: list[str]):
+    """Turns Arrow batches sorted by ``keys`` into dicts of numpy arrays that never cut a run of equal keys; also gives each row's run."""
+    import numpy as np
+
+    carry = None
+
+    def runs(a):
+        n = len(a[keys[0]])
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for k in keys:
+            new[1:] |= a[k][1:] != a[k][:-1]
+        return np.flatnonzero(new)
+
+    for b in batches:
+        a = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns}
+        if carry is not None:
+            a = {c: np.concatenate([carry[c], a[c]]) for c in columns}
+        starts = runs(a)
+        if not len(starts):
+            continue
+        cut = starts[-1]
+        carry = {c: v[cut:] for c, v in a.items()}
+        if cut:
+            yield {c: v[:cut] for c, v in a.items()}, starts[:-1]
+    if carry is not None and len(carry[columns[0]]):
+        yield carry, runs(carry)
+
+
+def run_pairs(starts, n: int, most: int = 1 << 20):
+    """Index pairs (i, j), i < j, of rows in the same run, in arrays of about ``most`` at a time."""
+    import numpy as np
+
+    length = np.diff(np.append(starts, n))
+    left = np.repeat(starts + length, length) - np.arange(n) - 1  # rows after each in its run
+    lag, i, held_i, held_j, held = 1, np.flatnonzero(left > 0), [], [], 0
+    while len(i):
+        held_i.append(i)
+        held_j.append(i + lag)
+        held += len(i)
+        if held >= most:
+            yield np.concatenate(held_i), np.concatenate(held_j)
+            held_i, held_j, held = [], [], 0
+        lag += 1
+        i = i[left[i] >= lag]
+    if held:
+        yield np.concatenate(held_i), np.concatenate(held_j)
+
+
+class Forest:
+    """Union-find over a task's own links, so that it hands on a tree instead of every link."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x):
+        up = self.up
+        root = x
+        while (p := up.get(root, root)) != root:
+            root = p
+        while x != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    def join(self, a, b) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def links(self):
+        return [(x, self.find(x)) for x in list(self.up)]

@@ -5,11 +5,13 @@ from __future__ import annotations
 from .media import op10_media
 from .mixing import op6_mixing
 from .pieces import op8_pieces
+from .simhash import op2_simhash
 from .quality import op3_quality
 from .tokens import op1_tokens
 
 QUERIES = {
     "op1_tokens": op1_tokens,
+    "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op6_mixing": op6_mixing,
     "op8_pieces": op8_pieces,
