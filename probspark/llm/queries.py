@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embeddings import op4_embeddings
 from .media import op10_media
 from .mixing import op6_mixing
 from .pieces import op8_pieces
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op4_embeddings": op4_embeddings,
     "op6_mixing": op6_mixing,
     "op8_pieces": op8_pieces,
     "op10_media": op10_media,
