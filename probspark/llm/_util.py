@@ -195,3 +195,16 @@ class Forest:
 
     def links(self):
         return [(x, self.find(x)) for x in list(self.up)]
+
+
+def by_size(batch, columns: list[str], text: str = "text", most: int = 4 << 20):
+    """Slices of an Arrow batch as lists, each of about ``most`` characters of text; null texts become empty."""
+    cols = [batch.column(c).to_pylist() for c in columns]
+    texts = [t or "" for t in batch.column(text).to_pylist()]
+    at = 0
+    while at < len(texts):
+        size, to = 0, at
+        while to < len(texts) and (size == 0 or size + len(texts[to]) <= most):
+            size, to = size + len(texts[to]) + 1, to + 1
+        yield [c[at:to] for c in cols], texts[at:to]
+        at = to

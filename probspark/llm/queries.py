@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embeddings import op4_embeddings
+from .lines import op7_lines
 from .media import op10_media
 from .mixing import op6_mixing
 from .pieces import op8_pieces
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_embeddings": op4_embeddings,
     "op6_mixing": op6_mixing,
+    "op7_lines": op7_lines,
     "op8_pieces": op8_pieces,
     "op10_media": op10_media,
 }
