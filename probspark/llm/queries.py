@@ -6,6 +6,7 @@ from .embeddings import op4_embeddings
 from .lines import op7_lines
 from .media import op10_media
 from .mixing import op6_mixing
+from .passages import op9_passages
 from .pieces import op8_pieces
 from .simhash import op2_simhash
 from .quality import op3_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_lines": op7_lines,
     "op8_pieces": op8_pieces,
+    "op9_passages": op9_passages,
     "op10_media": op10_media,
 }
 
