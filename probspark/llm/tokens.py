@@ -13,6 +13,7 @@ import hashlib
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,12 @@ BLOCK_BYTES = 4 << 20
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 20_000, 64 << 10
 
 _HEAD = struct.Struct("<8sHH8sI")
-_ODD = re.compile(r"\s\s|<\|")
-#: Entries of a worker's memory of encoded chunks; it is emptied beyond that, which costs time only.
-_MEMORY = 400_000
+#: White space other than the space and the line feed.
+_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Signs that are neither letters, digits, white space nor the pattern's apostrophe.
+_SIGNS = ".,!?;:*#$%&|()[]{}-"
+#: Entries of a worker's memory of encoded chunks; fewer cost time only.
+_MEMORY = 700_000
 _loaded: dict = {}
 
 
@@ -48,30 +52,87 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for p, i in vocabulary.items() if p[0] == "\u0120"]] = True  # how byte-level vocabularies write a space
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat, size, at, out = np.array(list(chain.from_iterable(ids)), self.kind).tobytes(), self.kind.itemsize, 0, []
+        for x in ids:
+            to = at + size * len(x)
+            out.append(flat[at:to])
+            at = to
+        return out
+
+    def _encode_spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it.  Many words are encoded as one text: just their first ids hold a space."""
+        out, size = [], self.kind.itemsize
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(part):
+                out += self._encode([" " + w for w in part])
+                continue
+            raw, edge = ids.tobytes(), [*(starts * size).tolist(), len(ids) * size]
+            out += [raw[a:b] for a, b in zip(edge, edge[1:])]
+        return out
+
+    def _remember(self, seen: set[str]) -> None:
+        """Encode those of the chunks that are not known; beyond ``_MEMORY`` entries only those that were met again stay."""
+        known = self.known
+        again = seen & known.keys()
+        self.again |= again
+        new = list(seen - again)
+        if len(known) + len(new) > _MEMORY:
+            if len(self.again) < _MEMORY // 2:
+                self.known = known = {c: known[c] for c in self.again}
+            else:
+                self.known = known = {c: known[c] for c in again}
+            self.again = set()
+        # letters followed by other signs are two pre-tokens, and the letters alone are met more often
+        parts = {}
+        for c in new:
+            w = c.rstrip(_SIGNS)
+            if w and len(w) < len(c) and w.isalpha():
+                parts[c] = w
+        fresh = list(dict.fromkeys([w for c in new if (w := parts.get(c, c)) not in known]))
+        known.update(zip(fresh, self._encode_spaced(fresh)))
+        for c, w in parts.items():
+            t = c[len(w) :]
+            tail = self.tails.get(t)
+            if tail is None:
+                tail = self.tails[t] = self._encode([t])[0]
+            known[c] = known[w] + tail
+        if len(self.tails) > _MEMORY // 8:
+            self.tails.clear()
 
     def batch(self, texts: list[str], end: bytes) -> list[bytes]:
         """The ids of each text, followed by ``end``, as bytes."""
-        known, chunks = self.known, []
-        for t in texts:
-            if not t or t.isspace() or _ODD.search(t):
-                chunks.append(None)
-            else:
-                first, *rest = t.split(" ")
-                chunks.append([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
-        new = {c for cs in chunks if cs for c in cs if c not in known}
-        if len(known) + len(new) > _MEMORY:
-            known.clear()
-            new = {c for cs in chunks if cs for c in cs}
-        new = list(new)
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            known.update(zip(part, self._encode(part)))
+        odd = lambda t: t.isspace() or "  " in t or " \n" in t or "\n " in t or "<|" in t or _RARE.search(t)
+        chunks = [t.split(" ") if t and not odd(t) else None for t in texts]
+        seen: set[str] = set()
+        for cs in chunks:
+            if cs:
+                seen.update(cs)
+        seen.discard("")
+        self._remember(seen)
+        get = self.known.__getitem__
+        first = iter(self._encode([cs[0] for cs in chunks if cs]))
         whole = iter(self._encode([t for t, cs in zip(texts, chunks) if cs is None]))
-        return [(next(whole) if cs is None else b"".join([known[c] for c in cs])) + end for cs in chunks]
+        out = []
+        for cs in chunks:
+            if cs is None:
+                out.append(next(whole) + end)
+            elif cs[-1]:
+                out.append(next(first) + b"".join(map(get, cs[1:])) + end)
+            else:  # a last space is a token of its own
+                out.append(next(first) + b"".join(map(get, cs[1:-1])) + self._encode([" "])[0] + end)
+        return out
 
 
 def _encoder(path: str, width: int) -> Encoder:
@@ -92,8 +153,12 @@ def train_dictionary(documents: DataFrame, path: str, end_id: int, width: int) -
 
     Fewer than 16 usable texts give the empty dictionary (plain frames).
     """
+    # the hashes first: of each task only so many longs reach the driver, and then the texts of the chosen alone
     short = documents.select(F.xxhash64("doc_id").alias("h"), "text").where(f"length(text) between 1 and {SAMPLE_CHARS}")
-    texts = [r["text"] for r in short.orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
+    least = short.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    if least is None:
+        return b""
+    texts = [r["text"] for r in short.where(F.col("h") <= least).orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
     if len(texts) < 16:
         return b""
     samples = _encoder(path, width).batch(texts, end_id.to_bytes(width, "little"))
