@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embeddings import op4_embeddings
 from .lines import op7_lines
+from .lm import op5_lm
 from .media import op10_media
 from .mixing import op6_mixing
 from .passages import op9_passages
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_embeddings": op4_embeddings,
+    "op5_lm": op5_lm,
     "op6_mixing": op6_mixing,
     "op7_lines": op7_lines,
     "op8_pieces": op8_pieces,
