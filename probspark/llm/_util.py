@@ -208,3 +208,71 @@ def by_size(batch, columns: list[str], text: str = "text", most: int = 4 << 20):
             size, to = size + len(texts[to]) + 1, to + 1
         yield [c[at:to] for c in cols], texts[at:to]
         at = to
+
+
+_SEGMENT = 1 << 20
+_hashing: dict = {}
+
+
+def word_hashes(texts: list[str]):
+    """All words of some texts without making an object of each: (hash of each, its text, its line among all lines, number of lines of each text).
+
+    Words are lower-cased (A-Z) and separated by ASCII white space, lines by line feeds.  A word's 64-bit hash is a
+    polynomial of random values of its bytes, got from running sums, and mixed.
+    """
+    import numpy as np
+
+    raw = [t.encode() for t in texts]
+    lines = np.fromiter((r.count(b"\n") + 1 for r in raw), np.int64, len(raw))
+    whole = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    if not _hashing:
+        rng = np.random.default_rng(11)
+        value = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        value[65:91] = value[97:123]
+        space = np.zeros(256, bool)
+        space[[32, *range(9, 14)]] = True
+        _hashing.update(value=value, space=space, base=int(rng.integers(1 << 40, 1 << 63)) | 1, power=np.zeros(0, np.uint64))
+    value, space = _hashing["value"], _hashing["space"]
+    hashes, line_of, at, before = [], [], 0, 0
+    while at < len(whole):
+        to = min(len(whole), at + _SEGMENT)
+        gap = space[whole[at:to]]
+        while to < len(whole) and not gap.any():
+            to = min(len(whole), to + _SEGMENT)
+            gap = space[whole[at:to]]
+        cut = len(gap) - int(gap[::-1].argmax())  # after the last white space; the text ends in a line feed
+        x, gap = whole[at : at + cut], gap[:cut]
+        if len(_hashing["power"]) <= cut:
+            base = _hashing["base"]
+            _hashing["power"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(cut, np.uint64(base))]), dtype=np.uint64)
+            _hashing["inverse"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(cut, np.uint64(pow(base, -1, 1 << 64)))]), dtype=np.uint64)
+        total = np.empty(cut + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(value[x] * _hashing["power"][:cut], out=total[1:])
+        edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=np.int8(1)))
+        start, end = edge[0::2], edge[1::2]
+        h = (total[end] - total[start]) * _hashing["inverse"][start]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        hashes.append(h ^ (h >> np.uint64(32)))
+        feed = np.flatnonzero(x == 10)
+        line_of.append(np.searchsorted(feed, start) + before)
+        before += len(feed)
+        at += cut
+    empty = np.zeros(0, np.int64)
+    line_of = np.concatenate(line_of) if line_of else empty
+    text_of = np.repeat(np.arange(len(raw)), lines)
+    return (np.concatenate(hashes) if hashes else empty.astype(np.uint64)), text_of[line_of] if len(text_of) else empty, line_of, lines
+
+
+def distinct(x):
+    """(sorted distinct values, index of each element among them) of an array."""
+    import numpy as np
+
+    order = np.argsort(x)
+    y = x[order]
+    new = np.ones(len(y), bool)
+    new[1:] = y[1:] != y[:-1]
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return y[new], inverse

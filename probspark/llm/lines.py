@@ -9,15 +9,13 @@ from 128 parity bits), and then the sets themselves are compared.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import Staged, by_size, deal_blocks, fan_out, run_pairs, whole_runs
+from ._util import Staged, by_size, deal_blocks, distinct, fan_out, run_pairs, whole_runs, word_hashes
 
 #: Word frequencies are counted in 2^SKETCH_BITS buckets: a fixed size to broadcast (a byte each), whatever the corpus.
 #: Any common order of words gives the same result; rare words first just give the fewest pairs.
@@ -35,27 +33,21 @@ def _documents(documents: DataFrame) -> DataFrame:
 
 
 def _split(texts: list[str]):
-    """(document of each line, number in it, words a line, word index of each word, hash of each distinct word)."""
-    lines = [t.encode().lower().split(b"\n") for t in texts]
-    count = np.fromiter(map(len, lines), np.int64, len(lines))
-    words = [x.split() for x in chain.from_iterable(lines)]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    flat = list(chain.from_iterable(words))
-    vocabulary = list(set(flat))
-    index = dict(zip(vocabulary, range(len(vocabulary))))
-    ids = np.array(list(map(index.__getitem__, flat)), np.int64)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(w) for w in vocabulary], np.uint64)
-    doc = np.repeat(np.arange(len(lines)), count)
-    return doc, np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count), n, ids, hashes
-
-
-def _sets(n: np.ndarray, rank: np.ndarray):
-    """Distinct words of each line in rank order: (line of each, rank of each, start of each line that has words, those lines, set sizes)."""
-    key = np.unique((np.repeat(np.arange(len(n)), n) << 24) | rank)
+    """(document of each line, number in it, line of each word, index of each word among the distinct ones, their hashes)."""
+    h, _, line, lines = word_hashes(texts)
+    values, ids = distinct(h)
+    doc = np.repeat(np.arange(len(lines)), lines)
+    return doc, np.arange(len(doc)) - np.repeat(np.cumsum(lines) - lines, lines), line, ids, values
+
+
+def _sets(line: np.ndarray, rank: np.ndarray):
+    """Distinct words of each line in rank order: (rank of each, start of each line that has words, those lines, set sizes)."""
+    key = np.sort((line << 24) | rank)
+    if len(key):
+        key = key[np.append(True, key[1:] != key[:-1])]
     line, rank = key >> 24, key & ((1 << 24) - 1)
     start = np.flatnonzero(np.diff(line, prepend=-1))
-    return line, rank, start, line[start], np.diff(np.append(start, len(line)))
+    return rank, start, line[start], np.diff(np.append(start, len(line)))
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -73,9 +65,9 @@ def _first(batches):
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for b in batches:
         for (docs, hs), texts in by_size(b, ["doc", "h"]):
-            doc, no, n, ids, hashes = _split(texts)
+            doc, no, words, ids, hashes = _split(texts)
             np.add.at(sketch, (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.bincount(ids, minlength=len(hashes)).astype(np.uint32))
-            _, rank, start, line, _ = _sets(n, ids)
+            rank, start, line, _ = _sets(words, ids)
             sets = _set_hash(hashes[rank], start).view(np.int64)
             d = doc[line]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(line), np.int8)), pa.array(np.array(docs)[d]), pa.array(np.array(hs)[d]), pa.array(no[line].astype(np.int32)), pa.array(sets), pa.nulls(len(line), pa.binary())], names)
@@ -114,11 +106,11 @@ def _postings(levels: np.ndarray, least: float):
     def run(batches):
         for b in batches:
             for _, texts in by_size(b, []):
-                _, _, n, ids, hashes = _split(texts)
+                _, _, words, ids, hashes = _split(texts)
                 order = np.lexsort((hashes, levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
-                _, r, start, line, k = _sets(n, rank[ids])
+                r, start, _, k = _sets(words, rank[ids])
                 if not len(start):
                     continue
                 h = hashes[order][r]
@@ -131,20 +123,31 @@ def _postings(levels: np.ndarray, least: float):
                 size = (k - _need(k, least) + 1)[one]
                 pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 at = np.repeat(start[one], size) + pos
-                cols = [h[at], np.repeat(sets[one], size), np.repeat(p0[one], size), np.repeat(p1[one], size)]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c.view(np.int64)) for c in cols], pa.array(np.repeat(k[one], size).astype(np.int32)), pa.array(pos.astype(np.int32))], ["word", "hash", "p0", "p1", "k", "pos"])
+                word, mine = h[at], np.repeat(sets[one], size)
+                # of a frequent word's postings no task gets all: they go to pairs of about sqrt(frequency / BLOCK) blocks
+                most = np.exp2((levels[(word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.float64) + 1) / 16)
+                nb = np.maximum(1, np.ceil(np.sqrt(most / BLOCK))).astype(np.int64)
+                blk = ((mine >> np.uint64(20)) % nb.astype(np.uint64)).astype(np.int64)
+                meta = np.repeat(k[one], size) << 39 | pos << 17 | blk
+                cols = [word.view(np.int64), mine.view(np.int64), np.repeat(p0[one], size).view(np.int64), np.repeat(p1[one], size).view(np.int64), meta]
+                many = np.repeat(np.arange(len(nb)), nb)
+                other = np.arange(len(many)) - np.repeat(np.cumsum(nb) - nb, nb)
+                pair = np.minimum(blk[many], other) << 32 | np.maximum(blk[many], other)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[many]) for c in cols], pa.array(pair)], ["word", "hash", "p0", "p1", "meta", "pair"])
 
     return run
 
 
 def _plausible(least: float):
     """Of each word's postings those with a partner that passes the length, positional and parity filters."""
-    keys = ["word", "bi", "bj"]
+    keys = ["word", "pair"]
+    low = (1 << 17) - 1
 
     def run(batches):
-        for a, starts in whole_runs(batches, [*keys, "blk", "hash", "p0", "p1", "k", "pos"], keys):
-            keep = np.zeros(len(a["k"]), bool)
-            k, pos = a["k"].astype(np.int64), a["pos"].astype(np.int64)
+        for a, starts in whole_runs(batches, [*keys, "hash", "p0", "p1", "meta"], keys):
+            keep = np.zeros(len(a["meta"]), bool)
+            k, pos, blk = a["meta"] >> 39, a["meta"] >> 17 & (1 << 22) - 1, a["meta"] & low
+            cross = a["pair"] >> 32 != (a["pair"] & 0xFFFFFFFF)
             for i, j in run_pairs(starts, len(keep)):
                 ok = np.minimum(k[i], k[j]) >= _need(np.maximum(k[i], k[j]), least)
                 i, j = i[ok], j[ok]
@@ -153,7 +156,7 @@ def _plausible(least: float):
                 ok = np.minimum(k[i] - pos[i], k[j] - pos[j]) >= share
                 i, j, both, share = i[ok], j[ok], both[ok], share[ok]
                 odd = np.bitwise_count((a["p0"][i] ^ a["p0"][j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((a["p1"][i] ^ a["p1"][j]).view(np.uint64))
-                ok = (odd <= both - 2 * share) & (a["hash"][i] != a["hash"][j]) & ((a["bi"][i] == a["bj"][i]) | (a["blk"][i] != a["blk"][j]))
+                ok = (odd <= both - 2 * share) & (a["hash"][i] != a["hash"][j]) & (~cross[i] | (blk[i] != blk[j]))
                 keep[i[ok]] = True
                 keep[j[ok]] = True
             yield pa.RecordBatch.from_arrays([pa.array(a["word"][keep]), pa.array(a["hash"][keep])], ["word", "hash"])
@@ -189,13 +192,16 @@ def _members(flags: np.ndarray):
     def run(batches):
         for b in batches:
             for (docs, hs), texts in by_size(b, ["doc", "h"]):
-                out = []
+                at, found = [], []
                 for d, h, t in zip(docs, hs, texts):
-                    for i, x in enumerate(t.encode().lower().split(b"\n")):
+                    for i, x in enumerate(t.split("\n")):
                         if flags[(f := _flag(d, h, i)) >> 3] >> (7 - (f & 7)) & 1:
-                            w = {xxhash.xxh64_intdigest(y) for y in x.split()}
-                            out.append((d, h, i, np.fromiter(sorted(w), np.uint64, len(w)).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["doc", "h", "line", "words"])
+                            at.append((d, h, i))
+                            found.append(x)
+                w, of, _, _ = word_hashes(found)
+                cut = np.searchsorted(of, np.arange(len(found) + 1))
+                sets = [np.unique(w[a:b]).tobytes() for a, b in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([*[pa.array([r[c] for r in at], k) for c, k in enumerate((pa.int64(), pa.int64(), pa.int32()))], pa.array(sets, pa.binary())], ["doc", "h", "line", "words"])
 
     return run
 
@@ -258,10 +264,9 @@ def removed_lines(documents: DataFrame, least: float = 0.8) -> tuple[DataFrame,
     lines = first.where("kind = 0").select("doc", "h", "line", "hash")
     chunks = first.where("kind = 1").select("hash", "chunk").repartition(n, "hash").sortWithinPartitions("hash")
     levels = _gather(chunks.mapInArrow(_summed, "hash long, chunk binary"), 1 << SKETCH_BITS, np.uint8)
-    posts = docs.select("text").mapInArrow(_postings(levels, least), "word long, hash long, p0 long, p1 long, k int, pos int")
+    posts = docs.select("text").mapInArrow(_postings(levels, least), "word long, hash long, p0 long, p1 long, meta long, pair long")
     order = ["word", "bi", "bj"]
-    posts = deal_blocks(posts, ["word"], ["hash"], BLOCK)
-    likely = Staged(posts.repartition(n, *order).sortWithinPartitions(*order).mapInArrow(_plausible(least), "word long, hash long").distinct(), "plausible").df
+    likely = Staged(posts.repartition(n, "word", "pair").sortWithinPartitions("word", "pair").mapInArrow(_plausible(least), "word long, hash long").distinct(), "plausible").df
     reps = Staged(lines.groupBy("hash").agg(F.min(F.struct("doc", "h", "line")).alias("at"), F.count(F.lit(1)).alias("n")).select("hash", "at.doc", "at.h", "at.line", "n"), "reps").df
     wanted = Staged(reps.join(likely.select("hash").distinct(), "hash").select("hash", "doc", "h", "line"), "wanted").df
     flags = wanted.mapInArrow(_flag_rows, "hash long, chunk binary").repartition(n, "hash").mapInArrow(_flags_joined, "hash long, chunk binary")
