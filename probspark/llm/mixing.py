@@ -8,6 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._util import Staged, fan_out
 
@@ -186,6 +187,29 @@ def mix(documents: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return out.select("doc_id", "source", "size", "source_size", "target", (F.floor(r) + F.col("pi")).cast("long").alias("copies"))
 
 
+def mixed(documents: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
+    """The mix itself: documents repeated as often as it takes them, columns as they are.
+
+    Rows alike in doc_id, source and size share their copies: as many as the mix takes of them together.
+    """
+    m = mix(documents, share, most, weights).groupBy("doc_id", "source", "size").agg((F.sum("copies") / F.count(F.lit(1))).alias("rate"))
+    m = Staged(m.where("rate > 0").withColumnsRenamed({"doc_id": "i_", "source": "s_", "size": "z_"}), "copies").df
+    keyed = documents.withColumns({"i0_": F.col("doc_id").cast("long"), "s0_": F.col("source").cast("string"), "text": F.col("text").cast("string")})
+    keyed = keyed.mapInArrow(_with_size, T.StructType([*keyed.schema.fields, T.StructField("z0_", T.LongType())]))
+    on = F.col("i0_").eqNullSafe(F.col("i_")) & F.col("s0_").eqNullSafe(F.col("s_")) & (F.col("z0_") == F.col("z_"))
+    d = keyed.join(m, on)
+    # equal rows: a running number deals the copies out evenly
+    copies = F.floor(F.col("rate") * F.col("k_") + 1e-9) - F.floor(F.col("rate") * (F.col("k_") - 1) + 1e-9)
+    d = d.withColumn("k_", F.row_number().over(Window.partitionBy("i0_", "s0_", "z0_").orderBy("text"))).withColumn("n_", copies.cast("int"))
+    return d.withColumn("n_", F.explode(F.array_repeat(F.lit(0), F.col("n_")))).select(*documents.columns)
+
+
+def _with_size(batches):
+    for b in batches:
+        n = [0 if t is None else len(t.encode().split()) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], [*b.schema.names, "z0_"])
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     m = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")

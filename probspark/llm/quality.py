@@ -150,6 +150,20 @@ def classify(documents: DataFrame, labels: DataFrame, folds: int = 5, threshold:
     return score(feats, model, threshold), model
 
 
+def _kept(model: Discriminant, threshold: float):
+    def run(batches):
+        for b in batches:
+            x = np.array([statistics(t) for t in b.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= threshold))
+
+    return run
+
+
+def keep(documents: DataFrame, model: Discriminant, threshold: float = 0.3) -> DataFrame:
+    """The documents with a score of ``threshold`` or more, all columns as they are, in one pass without a shuffle."""
+    return documents.withColumn("text", F.col("text").cast("string")).mapInArrow(_kept(model, threshold), documents.schema)
+
+
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     scored, _ = classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

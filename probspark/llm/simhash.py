@@ -149,6 +149,32 @@ def near_duplicates(documents: DataFrame, words: int = 4, most: int = 4) -> Data
     return components(Staged(fingerprints(documents, words), "simhash").df, most)
 
 
+def keep_first(documents: DataFrame, words: int = 5, most: int = 4) -> DataFrame:
+    """One document of each component, with the smallest doc_id (null ids last); columns as they are.
+
+    Of several rows with that doc_id the one whose text has the smallest hash stays, once.
+    """
+    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    fps = Staged(keyed.mapInArrow(_hashed_fingerprints(words), "doc_id long, h long, fp long"), "simhash").df
+    comp = components(fps.select("doc_id", "fp"), most).select("fp", "component_id").distinct()
+    named = fps.join(comp, "fp")
+    last = F.lit((1 << 63) - 1)
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("d"), F.col("h"))).alias("b")).select("b.d", "b.h")
+    best = best.withColumnsRenamed({"d": "d_", "h": "h_"})
+    d = documents.withColumns({"d_": F.coalesce(F.col("doc_id").cast("long"), last), "h_": h}).join(best, ["d_", "h_"], "left_semi")
+    return d.dropDuplicates(["d_", "h_"]).select(*documents.columns)
+
+
+def _hashed_fingerprints(words: int):
+    def run(batches):
+        for b in batches:
+            f = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(f.view(np.int64))], ["doc_id", "h", "fp"])
+
+    return run
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
