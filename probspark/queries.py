@@ -1,13 +1,370 @@
-"""Named queries over the driver tables and their DuckDB equivalents."""
+"""Named queries over the driver tables and their DuckDB equivalents; figures are rounded alike on both sides."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import distributions as D
+from .operators.graph import BayesianNetwork, FactorGraph, chow_liu, mutual_information
+from .operators.mixture import BayesClassifier, GeneralMixtureModel, KMeans
+from .operators.sequence import DenseHMM, MarkovChain, SparseHMM
+from .sources.samples import sample, sample_sequences
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_quantity"))
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rounded(c, n: int = 6):
+    return F.round(c, n)
+
+
+def params(spark: SparkSession, **arrays) -> DataFrame:
+    """One row a feature of a fitted model's parameters."""
+    n = len(next(iter(arrays.values())))
+    return spark.createDataFrame([(j, *[round(float(v[j]), 6) for v in arrays.values()]) for j in range(n)], "feature int, " + ", ".join(f"{k} double" for k in arrays))
+
+
+FLAG = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END"
+STATUS = "CASE l_linestatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END"
+BIG = "CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END"
+KIND = "CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END"
+CODES = f"(SELECT l_orderkey, l_linenumber, l_discount, {FLAG} AS a, {STATUS} AS b, {BIG} AS c FROM lineitem)"
+
+
+def lineitem(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem")
+
+
+def codes(spark, sf) -> DataFrame:
+    return lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_discount", F.expr(FLAG).alias("a"), F.expr(STATUS).alias("b"), F.expr(BIG).alias("c"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit a diagonal Gaussian to two columns weighted by a third and score every row."""
+    df, cols = lineitem(spark, sf), ["l_quantity", "l_extendedprice"]
+    m = D.Normal(covariance_type="diag").fit(df, cols, "l_discount")
+    return m.log_probability(df.select("l_orderkey", "l_linenumber", *cols), cols, "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""WITH p AS (SELECT sum(l_discount*l_quantity)/sum(l_discount) m0, sum(l_discount*l_extendedprice)/sum(l_discount) m1, sum(l_discount*l_quantity*l_quantity)/sum(l_discount) q0, sum(l_discount*l_extendedprice*l_extendedprice)/sum(l_discount) q1 FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(-0.5*ln(2*pi()*(q0-m0*m0))-(l_quantity-m0)*(l_quantity-m0)/(2*(q0-m0*m0)) -0.5*ln(2*pi()*(q1-m1*m1))-(l_extendedprice-m1)*(l_extendedprice-m1)/(2*(q1-m1*m1)), 6) AS lp FROM lineitem, p""")
+def normal_diag_logp(spark, sf):
+    return flagship(spark, sf)
+
+
+@query("""SELECT 0 AS feature, round(avg(l_quantity),6) AS mean, round(var_pop(l_quantity),6) AS var FROM lineitem UNION ALL SELECT 1, round(avg(l_discount),6), round(var_pop(l_discount),6) FROM lineitem""")
+def normal_diag_fit(spark, sf):
+    m = D.Normal(covariance_type="diag").fit(lineitem(spark, sf), ["l_quantity", "l_discount"])
+    return params(spark, mean=m.means, var=m.covs)
+
+
+@query("""SELECT 0 AS feature, round(avg(l_quantity),6) AS mean, round(var_pop(l_quantity),6) AS c0, round(covar_pop(l_quantity,l_discount),6) AS c1 FROM lineitem UNION ALL SELECT 1, round(avg(l_discount),6), round(covar_pop(l_quantity,l_discount),6), round(var_pop(l_discount),6) FROM lineitem""")
+def normal_full_fit(spark, sf):
+    m = D.Normal().fit(lineitem(spark, sf), ["l_quantity", "l_discount"])
+    return params(spark, mean=m.means, c0=m.covs[:, 0], c1=m.covs[:, 1])
+
+
+@query("""WITH z AS (SELECT l_orderkey, l_linenumber, l_quantity-25.0 a, l_discount-0.05 b FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(-ln(2*pi())-0.5*ln(200*0.001-0.01)-0.5*(0.001*a*a-2*0.1*a*b+200*b*b)/(200*0.001-0.01),6) AS lp FROM z""")
+def normal_full_logp(spark, sf):
+    m = D.Normal(means=[25.0, 0.05], covs=[[200.0, 0.1], [0.1, 0.001]])
+    return m.log_probability(lineitem(spark, sf), ["l_quantity", "l_discount"], "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""WITH v AS (SELECT var_pop(l_quantity) a, var_pop(l_linenumber) b FROM lineitem) SELECT 0 AS feature, round((a+b)/2,6) AS var FROM v UNION ALL SELECT 1, round((a+b)/2,6) FROM v""")
+def normal_sphere_fit(spark, sf):
+    m = D.Normal(covariance_type="sphere").fit(lineitem(spark, sf), ["l_quantity", "l_linenumber"])
+    return params(spark, var=m.covs)
+
+
+@query("""SELECT event_id, round(-ln(s)-value/s,6) AS lp FROM events, (SELECT avg(value) s FROM events)""")
+def exponential_logp(spark, sf):
+    df = table(spark, sf, "events")
+    m = D.Exponential().fit(df, ["value"])
+    return m.log_probability(df, ["value"], "lp").select("event_id", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_quantity*ln(m)-m-lgamma(l_quantity+1),6) AS lp FROM lineitem, (SELECT avg(l_quantity) m FROM lineitem)""")
+def poisson_logp(spark, sf):
+    df = lineitem(spark, sf)
+    m = D.Poisson().fit(df, ["l_quantity"])
+    return m.log_probability(df, ["l_quantity"], "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""SELECT event_id, round(1.7*ln(0.3)-lgamma(1.7)+0.7*ln(value)-0.3*value,6) AS lp FROM events""")
+def gamma_logp(spark, sf):
+    m = D.Gamma(shapes=[1.7], rates=[0.3])
+    return m.log_probability(table(spark, sf, "events"), ["value"], "lp").select("event_id", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""SELECT 0 AS feature, round(avg(value),4) AS mean FROM events""")
+def gamma_fit_mean(spark, sf):
+    m = D.Gamma().fit(table(spark, sf, "events"), ["value"])
+    return spark.createDataFrame([(0, round(float(m.shapes[0] / m.rates[0]), 4))], "feature int, mean double")
+
+
+@query("""SELECT doc_id, round(quality*ln(p)+(1-quality)*ln(1-p)+toxic*ln(q)+(1-toxic)*ln(1-q),6) AS lp FROM labels, (SELECT avg(quality) p, avg(toxic) q FROM labels)""")
+def bernoulli_logp(spark, sf):
+    df = table(spark, sf, "labels")
+    m = D.Bernoulli().fit(df, ["quality", "toxic"])
+    return m.log_probability(df, ["quality", "toxic"], "lp").select("doc_id", rounded(F.col("lp")).alias("lp"))
+
+
+@query(f"""WITH x AS {CODES}, n AS (SELECT a AS code, sum(l_discount) s FROM x GROUP BY 1) SELECT code, round(s/(SELECT sum(s) FROM n),6) AS p FROM n""")
+def categorical_fit(spark, sf):
+    m = D.Categorical().fit(codes(spark, sf), ["a"], "l_discount")
+    return spark.createDataFrame([(k, round(float(p), 6)) for k, p in enumerate(m.probs[0])], "code int, p double")
+
+
+@query(f"""WITH x AS {CODES}, n AS (SELECT a, b, count(*) s FROM x GROUP BY 1, 2), g AS (SELECT a, b FROM (VALUES (0),(1),(2)) u(a), (VALUES (0),(1)) v(b)), t AS (SELECT a, sum(s) t FROM n GROUP BY 1)
+SELECT g.a, g.b, round(coalesce(coalesce(s,0)/t, 0.5),6) AS p FROM g LEFT JOIN n USING (a, b) LEFT JOIN t USING (a)""")
+def conditional_categorical_fit(spark, sf):
+    m = D.ConditionalCategorical(n_categories=(3, 2)).fit(codes(spark, sf), ["a", "b"])
+    return spark.createDataFrame([(i, j, round(float(m.probs[i, j]), 6)) for i in range(3) for j in range(2)], "a int, b int, p double")
+
+
+@query(f"""WITH x AS {CODES}, n AS (SELECT a, b, c, count(*) s FROM x GROUP BY 1, 2, 3) SELECT l_orderkey, l_linenumber, round(ln(s/(SELECT sum(s) FROM n)),6) AS lp FROM x JOIN n USING (a, b, c)""")
+def joint_categorical_logp(spark, sf):
+    df = codes(spark, sf)
+    m = D.JointCategorical(n_categories=(3, 2, 2)).fit(df, ["a", "b", "c"])
+    return m.log_probability(df, ["a", "b", "c"], "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""SELECT p_partkey, round(-ln(hi-lo),6) AS lp FROM part, (SELECT min(p_retailprice) lo, max(p_retailprice) hi FROM part)""")
+def uniform_logp(spark, sf):
+    df = table(spark, sf, "part")
+    m = D.Uniform().fit(df, ["p_retailprice"])
+    return m.log_probability(df, ["p_retailprice"], "lp").select("p_partkey", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""SELECT event_id, round(-0.5*ln(2*pi()*v)-(ln(value)-m)*(ln(value)-m)/(2*v),6) AS lp FROM events, (SELECT avg(ln(value)) m, var_pop(ln(value)) v FROM events)""")
+def lognormal_logp(spark, sf):
+    df = table(spark, sf, "events")
+    m = D.LogNormal().fit(df, ["value"])
+    return m.log_probability(df, ["value"], "lp").select("event_id", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""SELECT event_id, round(ln(2)-0.5*ln(2*pi()*v)-value*value/(2*v),6) AS lp FROM events, (SELECT avg(value*value) v FROM events)""")
+def halfnormal_logp(spark, sf):
+    df = table(spark, sf, "events")
+    m = D.HalfNormal().fit(df, ["value"])
+    return m.log_probability(df, ["value"], "lp").select("event_id", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""SELECT event_id, round(lgamma(2)-lgamma(1.5)-0.5*ln(3*pi()*v)-2*ln(1+(value-m)*(value-m)/(3*v)),6) AS lp FROM events, (SELECT avg(value) m, var_pop(value) v FROM events)""")
+def student_t_logp(spark, sf):
+    df = table(spark, sf, "events")
+    m = D.StudentT(dofs=3).fit(df, ["value"])
+    return m.log_probability(df, ["value"], "lp").select("event_id", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""SELECT doc_id, CASE WHEN toxic = 0 THEN round(ln(0.5),6) ELSE '-Infinity'::DOUBLE END AS lp FROM labels""")
+def dirac_delta_logp(spark, sf):
+    return D.DiracDelta(alphas=[0.5]).log_probability(table(spark, sf, "labels"), ["toxic"], "lp").select("doc_id", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""WITH p AS (SELECT avg(l_quantity) s, avg(l_discount) m, var_pop(l_discount) v FROM lineitem) SELECT l_orderkey, l_linenumber, round(-ln(s)-l_quantity/s-0.5*ln(2*pi()*v)-(l_discount-m)*(l_discount-m)/(2*v),6) AS lp FROM lineitem, p""")
+def independent_components_logp(spark, sf):
+    df, cols = lineitem(spark, sf), ["l_quantity", "l_discount"]
+    m = D.IndependentComponents(distributions=[D.Exponential(), D.Normal(covariance_type="diag")]).fit(df, cols)
+    return m.log_probability(df, cols, "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query()
+def zero_inflated_fit(spark, sf):
+    df = lineitem(spark, sf).select(F.when(F.col("l_tax") < 0.02, 0.0).otherwise(F.col("l_quantity")).alias("x"))
+    m = D.ZeroInflated(distribution=D.Poisson(), max_iter=20).fit(df, ["x"])
+    return params(spark, rate=m.distribution.lambdas, prior=m.priors)
+
+
+_MIX = "(SELECT event_id, value, ln(0.3)-ln(10.0)-value/10.0 AS e0, ln(0.7)-ln(60.0)-value/60.0 AS e1 FROM events)"
+
+
+def _mix():
+    return GeneralMixtureModel(distributions=[D.Exponential(scales=[10.0]), D.Exponential(scales=[60.0])], priors=[0.3, 0.7])
+
+
+@query(f"""SELECT event_id, round(greatest(e0,e1)+ln(exp(e0-greatest(e0,e1))+exp(e1-greatest(e0,e1))),6) AS lp, CASE WHEN e0 >= e1 THEN 0 ELSE 1 END AS k, round(1/(1+exp(e1-e0)),6) AS p0 FROM {_MIX}""")
+def mixture_score(spark, sf):
+    m, df = _mix(), table(spark, sf, "events").select("event_id", "value")
+    df = m.predict_proba(m.predict(m.log_probability(df, ["value"], "lp"), ["value"], out="k"), ["value"], out="p")
+    return df.select("event_id", rounded(F.col("lp")).alias("lp"), "k", rounded(F.col("p")[0]).alias("p0"))
+
+
+@query(f"""WITH r AS (SELECT value, 1/(1+exp(e1-e0)) p FROM {_MIX}) SELECT 0 AS component, round(sum(p*value)/sum(p),5) AS scale, round(avg(p),6) AS prior FROM r UNION ALL SELECT 1, round(sum((1-p)*value)/sum(1-p),5), round(avg(1-p),6) FROM r""")
+def mixture_step(spark, sf):
+    _, m = _mix().one_step(table(spark, sf, "events"), ["value"])
+    return spark.createDataFrame([(i, round(float(d.scales[0]), 5), round(float(p), 6)) for i, (d, p) in enumerate(zip(m.distributions, m.priors))], "component int, scale double, prior double")
+
+
+@query()
+def mixture_fit(spark, sf):
+    df = table(spark, sf, "events").withColumn("lv", F.log("value"))
+    m = GeneralMixtureModel(distributions=[D.Normal(covariance_type="diag")] * 2, max_iter=10, tol=0.01).fit(df, ["lv"], order="event_id")
+    return m.predict(df, ["lv"], out="k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH d AS (SELECT l_quantity x, l_discount*100 y, sqrt(((l_quantity-10)*(l_quantity-10)+(l_discount*100-2)*(l_discount*100-2))/2) d0, sqrt(((l_quantity-40)*(l_quantity-40)+(l_discount*100-8)*(l_discount*100-8))/2) d1 FROM lineitem)
+SELECT CASE WHEN d0 <= d1 THEN 0 ELSE 1 END AS cluster, round(avg(x),6) AS x, round(avg(y),6) AS y FROM d GROUP BY 1""")
+def kmeans_step(spark, sf):
+    df = lineitem(spark, sf).select("l_quantity", (F.col("l_discount") * 100).alias("y"))
+    _, m = KMeans(centroids=[[10.0, 2.0], [40.0, 8.0]]).one_step(df, ["l_quantity", "y"])
+    return spark.createDataFrame([(k, *[round(float(v), 6) for v in c]) for k, c in enumerate(m.centroids)], "cluster int, x double, y double")
+
+
+@query()
+def kmeans_fit(spark, sf):
+    df, cols = table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"]
+    m = KMeans(k=3, max_iter=5).fit(df, cols, order="c_custkey")
+    return m.predict(df, cols, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH p AS (SELECT l_linestatus s, avg(l_quantity) m, var_pop(l_quantity) v, count(*) n FROM lineitem GROUP BY 1), e AS (SELECT l_orderkey, l_linenumber, ln(a.n/(a.n+b.n))-0.5*ln(2*pi()*a.v)-(l_quantity-a.m)*(l_quantity-a.m)/(2*a.v) AS e0, ln(b.n/(a.n+b.n))-0.5*ln(2*pi()*b.v)-(l_quantity-b.m)*(l_quantity-b.m)/(2*b.v) AS e1 FROM lineitem, p a, p b WHERE a.s = 'F' AND b.s = 'O')
+SELECT l_orderkey, l_linenumber, round(1/(1+exp(e1-e0)),6) AS p0 FROM e""")
+def bayes_classifier_proba(spark, sf):
+    df = lineitem(spark, sf).withColumn("y", F.expr(STATUS))
+    m = BayesClassifier(distributions=[D.Normal(covariance_type="diag")] * 2).fit(df, ["l_quantity"], "y")
+    return m.predict_proba(df, ["l_quantity"], out="p").select("l_orderkey", "l_linenumber", rounded(F.col("p")[0]).alias("p0"))
+
+
+_STEPS = f"(SELECT user_id, event_id, {KIND} AS x, lag({KIND}) OVER (PARTITION BY user_id ORDER BY event_id) AS y FROM events)"
+
+
+@query(f"""WITH s AS {_STEPS}, n AS (SELECT y, x, count(*) c FROM s WHERE y IS NOT NULL GROUP BY 1, 2), t AS (SELECT y, sum(c) t FROM n GROUP BY 1) SELECT y AS a, x AS b, round(c/t,6) AS p FROM n JOIN t USING (y)""")
+def markov_chain_fit(spark, sf):
+    df = table(spark, sf, "events").withColumn("x", F.expr(KIND))
+    m = MarkovChain(k=1).fit(df, "user_id", "event_id", "x")
+    return spark.createDataFrame([(i, j, round(float(p), 6)) for (i, j), p in np.ndenumerate(m.tables[1]) if p > 0], "a int, b int, p double")
+
+
+@query(f"""WITH s AS {_STEPS} SELECT user_id, round(sum(CASE WHEN y IS NULL THEN ln(0.25) WHEN x = y THEN ln(0.4) ELSE ln(0.2) END),6) AS lp FROM s GROUP BY 1""")
+def markov_chain_logp(spark, sf):
+    df = table(spark, sf, "events").withColumn("x", F.expr(KIND))
+    m = MarkovChain(tables=[np.full(4, 0.25), np.full((4, 4), 0.2) + 0.2 * np.eye(4)])
+    return m.log_probability(df, "user_id", "event_id", "x", "lp").select("user_id", rounded(F.col("lp")).alias("lp"))
+
+
+_HMM = dict(starts=[0.6, 0.4], ends=[0.1, 0.1], edges=[[0.7, 0.2], [0.3, 0.6]])
+
+
+def _hmm(kind=DenseHMM, **kw):
+    return kind(distributions=[D.Exponential(scales=[20.0]), D.Exponential(scales=[80.0])], **(_HMM | kw))
+
+
+_FWD = """WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) t, -ln(20.0)-value/20.0 e0, -ln(80.0)-value/80.0 e1 FROM events),
+f AS (SELECT user_id, t, ln(0.6)+e0 f0, ln(0.4)+e1 f1 FROM s WHERE t = 1 UNION ALL
+SELECT s.user_id, s.t, greatest(f0,f1)+ln(0.7*exp(f0-greatest(f0,f1))+0.3*exp(f1-greatest(f0,f1)))+e0, greatest(f0,f1)+ln(0.2*exp(f0-greatest(f0,f1))+0.6*exp(f1-greatest(f0,f1)))+e1 FROM f JOIN s ON s.user_id = f.user_id AND s.t = f.t + 1),
+l AS (SELECT user_id, max(t) t FROM s GROUP BY 1)
+SELECT user_id, round(greatest(f0,f1)+ln(0.1*exp(f0-greatest(f0,f1))+0.1*exp(f1-greatest(f0,f1))),5) AS lp FROM f JOIN l USING (user_id, t)"""
+
+
+@query(_FWD)
+def hmm_dense_logp(spark, sf):
+    return _hmm().log_probability(table(spark, sf, "events"), "user_id", "event_id", ["value"], "lp").select("user_id", rounded(F.col("lp"), 5).alias("lp"))
+
+
+@query(_FWD)
+def hmm_sparse_logp(spark, sf):
+    e = [(i, j, _HMM["edges"][i][j]) for i in (0, 1) for j in (0, 1)]
+    return _hmm(SparseHMM, edges=None, edge_list=tuple(e)).log_probability(table(spark, sf, "events"), "user_id", "event_id", ["value"], "lp").select("user_id", rounded(F.col("lp"), 5).alias("lp"))
+
+
+@query()
+def hmm_viterbi(spark, sf):
+    return _hmm().viterbi(table(spark, sf, "events"), "user_id", "event_id", ["value"])
+
+
+@query()
+def hmm_posterior(spark, sf):
+    return _hmm().predict(table(spark, sf, "events"), "user_id", "event_id", ["value"])
+
+
+@query()
+def hmm_fit(spark, sf):
+    m = _hmm(max_iter=3).fit(table(spark, sf, "events"), "user_id", "event_id", ["value"])
+    return spark.createDataFrame([(i, round(float(d.scales[0]), 3)) for i, d in enumerate(m.distributions)], "state int, scale double")
+
+
+@query(f"""WITH x AS {CODES}, nab AS (SELECT a, b, count(*) n FROM x GROUP BY 1, 2), na AS (SELECT a, count(*) n FROM x GROUP BY 1), nac AS (SELECT a, c, count(*) n FROM x GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, round(ln(na.n/(SELECT sum(n) FROM na))+ln(nab.n/na.n)+ln(nac.n/na.n),6) AS lp FROM x JOIN na USING (a) JOIN nab USING (a, b) JOIN nac USING (a, c)""")
+def bayesian_network_logp(spark, sf):
+    df, cols = codes(spark, sf), ["a", "b", "c"]
+    m = BayesianNetwork(structure=((), (0,), (0,))).fit(df, cols)
+    return m.log_probability(df, cols, "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query(f"""WITH x AS {CODES}, n AS (SELECT a, b, count(*) s FROM x GROUP BY 1, 2), t AS (SELECT b, sum(s) t FROM n GROUP BY 1), k AS (SELECT a, sum(s) s FROM n GROUP BY 1)
+SELECT b, a, round(s/t,5) AS p FROM n JOIN t USING (b) UNION ALL SELECT NULL, a, round(s/(SELECT sum(s) FROM k),5) FROM k""")
+def bayesian_network_predict(spark, sf):
+    """Posterior of the return flag for each evidence about the line status, none included."""
+    m = BayesianNetwork(structure=((), (0,))).fit(codes(spark, sf), ["a", "b"])
+    ask = spark.createDataFrame([(None, None), (None, 0), (None, 1)], "a int, b int")
+    got = m.predict_proba(ask, ["a", "b"], "p").select("b", F.posexplode(F.col("p")[0]).alias("a", "p"))
+    return got.where("p > 0").select("b", "a", rounded(F.col("p"), 5).alias("p"))
+
+
+def _mi(x, y):
+    return f"(SELECT sum(n*ln(n*t/(nx*ny))) FROM (SELECT {x} u, {y} v, count(*) n FROM x GROUP BY 1, 2) JOIN (SELECT {x} u, count(*) nx FROM x GROUP BY 1) USING (u) JOIN (SELECT {y} v, count(*) ny FROM x GROUP BY 1) USING (v), (SELECT count(*) t FROM x))"
+
+
+@query(f"WITH x AS {CODES} SELECT 'ab' AS pair, round({_mi('a', 'b')},3) AS mi UNION ALL SELECT 'ac', round({_mi('a', 'c')},3) UNION ALL SELECT 'bc', round({_mi('b', 'c')},3)")
+def mutual_information_pairs(spark, sf):
+    s = mutual_information(codes(spark, sf), ["a", "b", "c"], {"a": 3, "b": 2, "c": 2})
+    return spark.createDataFrame([(n, round(float(-s[i, j]), 3)) for n, i, j in (("ab", 0, 1), ("ac", 0, 2), ("bc", 1, 2))], "pair string, mi double")
+
+
+@query()
+def chow_liu_structure(spark, sf):
+    t = chow_liu(mutual_information(codes(spark, sf), ["a", "b", "c"], {"a": 3, "b": 2, "c": 2}))
+    return spark.createDataFrame([(i, ",".join(map(str, p))) for i, p in enumerate(t)], "node int, parents string")
+
+
+@query()
+def exact_structure(spark, sf):
+    m = BayesianNetwork(algorithm="exact").fit(codes(spark, sf), ["a", "b", "c"])
+    return spark.createDataFrame([(i, ",".join(map(str, p))) for i, p in enumerate(m.structure)], "node int, parents string")
+
+
+@query(f"""WITH x AS {CODES}, n AS (SELECT a, b, count(*) s FROM x GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, round(ln(s/(SELECT sum(s) FROM n))+ln(1.0/3)+ln(0.5),6) AS lp FROM x JOIN n USING (a, b)""")
+def factor_graph_logp(spark, sf):
+    df, g = codes(spark, sf), FactorGraph()
+    f = g.add_factor(D.JointCategorical(probs=np.full((3, 2), 1 / 6)))
+    for k in (3, 2):
+        g.add_edge(g.add_marginal(D.Categorical(probs=np.full((1, k), 1 / k))), f)
+    return g.fit(df, ["a", "b"]).log_probability(df, ["a", "b"], "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""SELECT doc_id, round(CASE WHEN quality = 1 THEN 0.9*p/(0.9*p+0.2*(1-p)) ELSE 0.1*p/(0.1*p+0.8*(1-p)) END,6) AS p1 FROM labels, (SELECT avg(toxic) p FROM labels)""")
+def semi_supervised_proba(spark, sf):
+    """Class probabilities from per-row priors joined with a fitted class model."""
+    df = table(spark, sf, "labels")
+    p = float(df.agg(F.avg("toxic")).first()[0])
+    m = BayesClassifier(distributions=[D.Bernoulli(probs=[0.2]), D.Bernoulli(probs=[0.9])], priors=[0.5, 0.5])
+    df = df.withColumn("prior", F.array(F.lit(1 - p), F.lit(p)))
+    return m.predict_proba(df, ["quality"], "prior", "r").select("doc_id", rounded(F.col("r")[1]).alias("p1"))
+
+
+@query()
+def sample_rows(spark, sf):
+    return sample(spark, D.IndependentComponents(distributions=[D.Gamma(shapes=[2.0], rates=[0.5]), D.StudentT(dofs=5, means=[1.0], covs=[2.0])]), 5000, ["x", "y"])
+
+
+@query()
+def sample_hmm(spark, sf):
+    return sample_sequences(spark, _hmm(), 200, 10, ["x"])
