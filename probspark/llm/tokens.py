@@ -296,7 +296,7 @@ def read_tokens(blocks: DataFrame, dictionary: bytes, digest_only: bool = False)
 
 def read_document(blocks: DataFrame, dictionary: bytes, doc_id: int) -> list[int] | None:
     """Ids of one document: the scan is cut to blocks whose range holds it, and one frame is decompressed."""
-    for r in blocks.where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).select("blob").collect():
+    for r in blocks.where((F.col("first_doc").isNull() | (F.col("first_doc") <= doc_id)) & (F.col("last_doc") >= doc_id)).select("blob").collect():
         block = Block(bytes(r["blob"]), dictionary)
         for k in np.flatnonzero(block.doc_ids == doc_id):
             return block.ids(int(k)).tolist()
