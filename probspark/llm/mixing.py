@@ -16,6 +16,8 @@ from ._util import Staged, fan_out
 WEIGHTS = (3, 1, 2)
 #: A block of the flight phase holds about so many documents.
 BLOCK = 4096
+#: Documents of more than this share of their source are balanced by words alone.
+LARGE = 0.01
 
 
 def _sizes(batches):
@@ -79,21 +81,31 @@ def _fly(units: list, rng: random.Random) -> list:
     return units
 
 
+def _pair(a: list, b: list, rng: random.Random) -> None:
+    """Move two units along the token constraint alone; one of them, at least, is decided."""
+    d = (b[1] or 1, -(a[1] or 1))
+    up = min((1 - a[2]) / d[0], b[2] / -d[1])
+    down = min(a[2] / d[0], (1 - b[2]) / -d[1])
+    step = up if rng.random() * (up + down) < down else -down
+    for x, k in zip((a, b), d):
+        x[2] = min(1.0, max(0.0, x[2] + step * k))
+        if min(x[2], 1 - x[2]) < 1e-9:
+            x[2] = float(round(x[2]))
+    if all(0 < x[2] < 1 for x in (a, b)):  # rounding only
+        x = min((a, b), key=lambda x: min(x[2], 1 - x[2]))
+        x[2] = float(round(x[2]))
+
+
 def _land(units: list, rng: random.Random) -> None:
-    """Decide the last units of a source: a move along the token constraint alone, and then chance."""
-    while len(units) == 2:
-        a, b = units
-        d = (b[1] or 1, -(a[1] or 1))
-        up = min((1 - a[2]) / d[0], b[2] / -d[1])
-        down = min(a[2] / d[0], (1 - b[2]) / -d[1])
-        step = up if rng.random() * (up + down) < down else -down
-        for x, k in zip(units, d):
-            x[2] = min(1.0, max(0.0, x[2] + step * k))
-            if min(x[2], 1 - x[2]) < 1e-9:
-                x[2] = float(round(x[2]))
-        units = [x for x in units if x[2] not in (0.0, 1.0)]
+    """Decide the last units of a source: a move along the token constraint alone, and then the nearer whole number.
+
+    So a source ends within half its last document of its target.
+    """
+    if len(units) == 2:
+        _pair(*units, rng)
     for x in units:
-        x[2] = float(rng.random() < x[2])
+        if 0 < x[2] < 1:
+            x[2] = float(x[2] >= 0.5)
 
 
 def _settle(active: list, rng: random.Random, last: bool) -> list:
@@ -110,17 +122,33 @@ def _flight(last: bool, salt: int):
 
     def run(batches):
         key, active, rng, out = None, [], None, []
+        owed = left = 0.0  # words that decided large documents leave to the others, and what the others hold
         for b in batches:
-            for doc, source, block, h, size, pi in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "block", "h", "size", "pi"))):
+            for doc, source, block, h, size, pi, large, rest in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "block", "h", "size", "pi", "large", "rest"))):
                 if key != (source, block):
                     out += _settle(active, rng, last)
                     key, active = (source, block), []
                     rng = random.Random(xxhash.xxh64_intdigest(repr(key), salt))
-                unit = [(doc, source, h), size, pi]
+                    owed, left = 0.0, rest
+                unit = [(doc, source, h, large), size, pi]
                 if pi <= 0.0 or pi >= 1.0:
                     out.append(unit)
                     continue
+                if rest and size > large:
+                    unit[2] = float(rng.random() < min(1.0, max(0.0, pi + owed / size)))
+                    owed, left = owed + size * (pi - unit[2]), left - size
+                    out.append(unit)
+                    continue
+                if rest and left > 0:
+                    unit[2] = min(1.0, max(0.0, pi + owed / left))
+                    if unit[2] in (0.0, 1.0):
+                        out.append(unit)
+                        continue
                 active.append(unit)
+                if len(active) == 2 and active[0][1] > large:
+                    _pair(*active, rng)
+                    out += [x for x in active if x[2] in (0.0, 1.0)]
+                    active = [x for x in active if x[2] not in (0.0, 1.0)]
                 while len(active) == 3:
                     _fly(active, rng)
                     out += [x for x in active if x[2] in (0.0, 1.0)]
@@ -132,17 +160,22 @@ def _flight(last: bool, salt: int):
     return run
 
 
-_FLOWN = "doc_id long, source string, h long, size long, pi double"
+_FLOWN = "doc_id long, source string, h long, large double, size long, pi double"
 
 
 def _rows(out: list) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
-    cols = zip(*((*x[0], x[1], x[2]) for x in out)) if out else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "source", "h", "size", "pi"])
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
+    cols = zip(*((*x[0], x[1], x[2]) for x in out)) if out else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "source", "h", "large", "size", "pi"])
 
 
 def cube_sample(units: DataFrame) -> DataFrame:
-    """Decide inclusion of units (doc_id, source, size, pi): same columns with pi 0 or 1.
+    """Decide inclusion of units (doc_id, source, size, pi, large, whole): pi becomes 0 or 1.
+
+    A document of more than ``large`` words is a good part of its source and would be left to the landing, where nothing can
+    make up for it.  In a source of one block (``whole`` is its size) such units are decided first and what they
+    owe is added to the inclusion probabilities of the others; elsewhere they move against the next smaller units along the
+    token total alone.
 
     Within each source the sum of sizes and the number of units stay at their expected values but for the last two units.
     A source is dealt into blocks of about ``BLOCK`` units by a hash, so no source is one task; a block leaves two
@@ -152,20 +185,21 @@ def cube_sample(units: DataFrame) -> DataFrame:
     """
     spark = units.sparkSession
     h = F.xxhash64("doc_id", "size")
-    todo = units.select("doc_id", "source", h.alias("h"), "size", "pi")
+    todo = units.select("doc_id", "source", h.alias("h"), "large", "whole", "size", "pi")
     done, salt = None, 0
     while True:
         n = todo.where("pi > 0 and pi < 1").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
         last = salt > 0 and n.where(F.col("n") > BLOCK).isEmpty()
         dealt = todo.join(n.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
         blocks = F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(1)) / BLOCK))
+        dealt = dealt.withColumn("rest", F.when(blocks > 1, 0.0).otherwise(F.col("whole")) if salt == 0 else F.lit(0.0))
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("h", F.lit(salt)), blocks)).drop("n")
         dealt = dealt.repartition(fan_out(spark), "source", "block").sortWithinPartitions("source", "block", F.desc("size"), "h", "doc_id")
         flown = Staged(dealt.mapInArrow(_flight(last, salt), _FLOWN), "flight")
         decided = flown.df.where("pi <= 0 or pi >= 1")
         done = decided if done is None else done.unionByName(decided)
         if last:
-            return done.drop("h")
+            return done.drop("h", "large")
         todo, salt = flown.df.where("pi > 0 and pi < 1"), salt + 1
 
 
@@ -181,7 +215,7 @@ def mix(documents: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = sized.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     at = at.withColumn("r", F.when(rate > most - 1e-12, F.lit(float(most))).otherwise(rate))
-    chosen = cube_sample(at.select("doc_id", "source", "size", (F.col("r") - F.floor("r")).alias("pi")))
+    chosen = cube_sample(at.select("doc_id", "source", "size", (F.col("r") - F.floor("r")).alias("pi"), (F.col("source_size") * LARGE).alias("large"), F.col("source_size").cast("double").alias("whole")))
     out = chosen.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     r = F.when(rate > most - 1e-12, F.lit(float(most))).otherwise(rate)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.floor(r) + F.col("pi")).cast("long").alias("copies"))
