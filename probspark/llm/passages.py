@@ -8,15 +8,12 @@ defaults every passage of over 50 words that is repeated word by word is found.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import Forest, Staged, by_size, connected, deal_blocks, fan_out, whole_runs
+from ._util import Forest, Staged, by_size, connected, deal_blocks, fan_out, whole_runs, word_hashes
 
 SHINGLE = 5
 LENGTH, WINDOW = 24, 28
@@ -50,18 +47,12 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 def _paragraphs(texts: list[str]):
     """Of a slice of texts: (text of each paragraph, first word, words, shingle hashes as rows padded with the first, content hash)."""
-    words = [t.encode().lower().split() for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    flat = list(chain.from_iterable(words))
-    vocabulary = list(set(flat))
-    index = dict(zip(vocabulary, range(len(vocabulary))))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(w) for w in vocabulary], np.uint64)
+    flat, doc, _, _ = word_hashes(texts)
+    n = np.bincount(doc, minlength=len(texts))
     begin = np.cumsum(n + WINDOW) - (n + WINDOW)
     w = np.zeros(int((n + WINDOW).sum()) + LENGTH + WINDOW, np.uint64)
-    doc = np.repeat(np.arange(len(n)), n)
     at = np.arange(len(flat)) + np.repeat(begin - (np.cumsum(n) - n), n)
-    w[at] = hashes[np.array(list(map(index.__getitem__, flat)), np.int64)] if flat else 0
+    w[at] = flat
     s = np.zeros(len(w) - SHINGLE + 1, np.uint64)
     for k in range(SHINGLE):
         s += w[k : len(s) + k] * _M[k]
@@ -70,10 +61,13 @@ def _paragraphs(texts: list[str]):
     left[at] = np.repeat(begin + n, n) - at
     owner = np.full(len(s), -1)
     owner[at] = doc
-    ranked = np.where(left >= SHINGLE, s, np.uint64(0xFFFFFFFFFFFFFFFF))
-    low = _sliding(np.concatenate([np.full(WINDOW - 1, 0xFFFFFFFFFFFFFFFF, np.uint64), ranked, np.full(WINDOW - 1, 0xFFFFFFFFFFFFFFFF, np.uint64)]), WINDOW, np.minimum)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    edge = np.full(WINDOW - 1, top)
+    ranked = np.concatenate([edge, np.where(left >= SHINGLE, s, top), edge])
+    low = _sliding(ranked, WINDOW, np.minimum)
+    low[_sliding(ranked, WINDOW, np.maximum) == top] = 0  # windows that reach beyond a text choose no anchor
     high = _sliding(low, WINDOW, np.maximum)
-    anchor = (ranked == high[: len(ranked)]) & (left >= LENGTH)
+    anchor = (s == high[: len(s)]) & (left >= LENGTH)
     anchor[begin[n >= SHINGLE]] = True
     a = np.flatnonzero(anchor)
     size = np.minimum(left[a], LENGTH)
@@ -84,10 +78,13 @@ def _paragraphs(texts: list[str]):
 
 
 def _bands(rows: np.ndarray) -> np.ndarray:
-    """Band keys (paragraphs, BANDS): each from ROWS minima of permuted shingle hashes."""
+    """Band keys (paragraphs, BANDS): each from the anchor shingle and ROWS minima of permuted shingle hashes.
+
+    Similar paragraphs of different texts start at the same anchor, overlapping ones of one text do not.
+    """
     out = []
     for b in range(BANDS):
-        key = np.full(len(rows), b, np.uint64)
+        key = _mixed(rows[:, 0] + np.uint64(b))
         for r in range(ROWS):
             p = rows * _M[40 + b * ROWS + r]
             key = _mixed(key * _M[60] + (p ^ (p >> np.uint64(32))).min(1))
@@ -95,18 +92,36 @@ def _bands(rows: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-_PARTS = "doc long, h long, pos int, n int, content long, " + ", ".join(f"b{k} long" for k in range(BANDS))
+_PARTS = "doc long, h long, pos int, n int, content long"
 
 
 def _cut(batches):
     for b in batches:
         for (docs, hs), texts in by_size(b, ["doc", "h"]):
             owner, pos, size, rows, content = _paragraphs(texts)
-            bands = _bands(rows).view(np.int64) if len(rows) else np.zeros((0, BANDS), np.int64)
-            cols = [np.array(docs, np.int64)[owner], np.array(hs, np.int64)[owner], pos.astype(np.int32), size.astype(np.int32), content.view(np.int64), *[np.ascontiguousarray(bands[:, k]) for k in range(BANDS)]]
+            cols = [np.array(docs, np.int64)[owner], np.array(hs, np.int64)[owner], pos.astype(np.int32), size.astype(np.int32), content.view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split()[0] for x in _PARTS.split(", ")])
 
 
+def _banded(batches):
+    """(band, content) of each paragraph of a slice of texts, each pair once."""
+    for b in batches:
+        for _, texts in by_size(b, []):
+            _, _, _, rows, content = _paragraphs(texts)
+            content, one = np.unique(content, return_index=True)
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(_bands(rows[one]).view(np.int64).ravel()), pa.array(np.repeat(content.view(np.int64), BANDS))], ["band", "content"])
+
+
+def _flagged(flags: np.ndarray):
+    def run(batches):
+        for b in batches:
+            f = b.column("content").to_numpy() & (_FLAGS - 1)
+            yield b.filter(pa.array((flags[f >> 3] >> (7 - (f & 7)) & 1).astype(bool)))
+
+    return run
+
+
 def _shared(batches):
     """Of each band key's contents those that are not alone in it."""
     for a, starts in whole_runs(batches, ["band", "content"], ["band"]):
@@ -134,10 +149,10 @@ def _joined(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int64()), pa.array([c.tobytes() for c in chunks.values()], pa.binary())], ["k", "chunk"])
 
 
-def _flags(rows: DataFrame, *columns: str) -> np.ndarray:
-    """A fixed-size bit set (1 MB) of hashed keys: what it holds is a superset, and an exact join follows."""
-    f = rows.select(F.pmod(F.xxhash64(*columns), F.lit(_FLAGS)).alias("f"))
-    chunks = f.mapInArrow(_flag_rows, "k long, chunk binary").repartition(fan_out(rows.sparkSession), "k").mapInArrow(_joined, "k long, chunk binary")
+def _flags(contents: DataFrame) -> np.ndarray:
+    """A fixed-size bit set (1 MB) of content hashes: what it lets through is a superset, and an exact join follows."""
+    f = contents.select(F.col("content").bitwiseAND(F.lit(_FLAGS - 1)).alias("f"))
+    chunks = f.mapInArrow(_flag_rows, "k long, chunk binary").repartition(fan_out(contents.sparkSession), "k").mapInArrow(_joined, "k long, chunk binary")
     out = np.zeros((_FLAGS // 8 // _CHUNK, _CHUNK), np.uint8)
     for r in chunks.collect():
         out[r["k"]] = np.frombuffer(r["chunk"], np.uint8)
@@ -145,16 +160,16 @@ def _flags(rows: DataFrame, *columns: str) -> np.ndarray:
 
 
 def _members(flags: np.ndarray):
-    """Contents and shingles of the paragraphs of flagged documents."""
+    """Contents and shingles of the paragraphs whose flag is set: all that are wanted, and some that the join drops."""
 
     def run(batches):
         for b in batches:
-            f = b.column("f").to_numpy()
-            b = b.filter(pa.array((flags[f >> 3] >> (7 - (f & 7)) & 1).astype(bool)))
             for _, texts in by_size(b, []):
                 _, _, _, rows, content = _paragraphs(texts)
-                content, one = np.unique(content, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array([np.unique(r).tobytes() for r in rows[one]], pa.binary())], ["content", "shingles"])
+                f = (content % np.uint64(_FLAGS)).astype(np.int64)
+                at = np.flatnonzero(flags[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1)
+                content, one = np.unique(content[at], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array([np.unique(r).tobytes() for r in rows[at[one]]], pa.binary())], ["content", "shingles"])
 
     return run
 
@@ -189,45 +204,45 @@ def _verified(least: float):
 
 
 def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc, h, pos, n, cluster, first): every paragraph of a cluster that occurs in two documents or more.
+    """(doc, h, pos, n, cluster, first_doc): every paragraph of a cluster that occurs in two documents or more.
 
     Clusters are the components of paragraphs that are equal or have a Jaccard similarity of ``least`` or more over their
-    five-word shingles.  ``first`` marks the occurrence that stays, the earliest by (doc_id, text hash, word).  Repeats
-    within a document alone are left alone.  Texts of fewer than five words have no paragraph; those of fewer words than a
-    paragraph are one.  Rows alike in doc_id and text are one document.
+    five-word shingles; ``first_doc`` is the smallest doc_id with one.  Repeats within a document alone are left alone.
+    Texts of fewer than five words have no paragraph; those of fewer words than a paragraph are one.  Rows with one doc_id
+    are one document here, h (the text's hash) tells their texts apart; null doc_ids are the smallest long.
     """
     spark = documents.sparkSession
     n = fan_out(spark)
     docs = _documents(documents)
     parts = Staged(docs.mapInArrow(_cut, _PARTS), "paragraphs").df
-    bands = parts.select("content", F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band"))
+    bands = docs.select("text").mapInArrow(_banded, "band long, content long")
     shared = Staged(bands.repartition(n, "band").sortWithinPartitions("band").mapInArrow(_shared, "band long, content long").distinct(), "shared").df
-    wanted = Staged(parts.join(shared.select("content").distinct(), "content").groupBy("content").agg(F.min(F.struct("doc", "h")).alias("d")).select("content", "d.doc", "d.h"), "wanted").df
-    flagged = docs.select("text", F.pmod(F.xxhash64("doc", "h"), F.lit(_FLAGS)).alias("f"))
-    members = flagged.mapInArrow(_members(_flags(wanted, "doc", "h")), "content long, shingles binary")
-    members = Staged(members.join(wanted.select("content"), "content").dropDuplicates(["content"]), "members").df
+    wanted = shared.select("content").distinct()
+    members = docs.select("text").mapInArrow(_members(_flags(shared)), "content long, shingles binary")
+    members = Staged(members.join(wanted, "content", "left_semi").dropDuplicates(["content"]), "members").df
     order = ["band", "bi", "bj"]
     met = deal_blocks(shared.join(members, "content"), ["band"], ["content"], BLOCK).repartition(n, *order).sortWithinPartitions(*order)
     comp = connected(met.mapInArrow(_verified(least), "a long, b long"), "a", "b").df
-    by_content = parts.groupBy("content").agg(F.min(F.struct("doc", "h", "pos")).alias("at"), F.max(F.struct("doc", "h")).alias("last"), F.count(F.lit(1)).alias("k"))
-    rooted = by_content.join(comp.withColumnRenamed("node", "content"), "content", "left").withColumn("cluster", F.coalesce("component", "content"))
-    rooted = Staged(rooted.select("content", "cluster", "at", "last", "component", "k").where("k > 1 or component is not null"), "rooted").df
-    whole = rooted.groupBy("cluster").agg(F.min("at").alias("first_at"), F.max("last").alias("last"))
-    whole = whole.where(F.struct(F.col("first_at.doc").alias("doc"), F.col("first_at.h").alias("h")) < F.col("last"))
-    named = rooted.select("content", "cluster").join(whole.select("cluster", "first_at"), "cluster")
-    found = parts.select("doc", "h", "pos", "n", "content").join(named, "content")
-    return found.select("doc", "h", "pos", "n", "cluster", (F.struct("doc", "h", "pos") == F.col("first_at")).alias("first"), F.col("first_at.doc").alias("first_doc"))
+    by_content = parts.groupBy("content").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"))
+    rooted = by_content.join(comp.withColumnRenamed("node", "content"), "content", "left").where("d0 < d1 or component is not null")
+    rooted = Staged(rooted.select("content", F.coalesce("component", "content").alias("cluster"), "d0", "d1"), "rooted").df
+    whole = rooted.groupBy("cluster").agg(F.min("d0").alias("first_doc"), F.max("d1").alias("last_doc")).where("first_doc < last_doc")
+    named = Staged(rooted.select("content", "cluster").join(whole.select("cluster", "first_doc"), "cluster"), "named").df
+    some = parts.mapInArrow(_flagged(_flags(named)), _PARTS)  # most paragraphs are in no cluster and need no shuffle
+    return some.join(named, "content").select("doc", "h", "pos", "n", "cluster", "first_doc")
 
 
 def repeats(documents: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, h, n_repeated, n_removed, spans, first_doc_id): a row for each document that holds a repeated paragraph.
+    """(doc_id, h, n_repeated, n_removed, spans, first_doc_id): a row for each text that holds a repeated paragraph.
 
-    ``spans`` are the removals as half-open ranges of words, merged; ``first_doc_id`` is the smallest doc_id that shares a
-    cluster with the document.  Documents without repeats have no row.
+    A paragraph goes unless the document is the first of its cluster.  ``spans`` are the removals as half-open ranges of
+    words, merged; ``first_doc_id`` is the smallest doc_id that shares a cluster with the document.  Documents without
+    repeats have no row.
     """
     o = occurrences(documents, least)
-    spans = F.sort_array(F.collect_list(F.when(~F.col("first"), F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b")))))
-    g = o.groupBy("doc", "h").agg(F.count(F.lit(1)).alias("n_repeated"), F.min("first_doc").alias("first_doc"), spans.alias("raw"))
+    later = F.col("doc") > F.col("first_doc")
+    spans = F.sort_array(F.collect_set(F.when(later, F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b")))))
+    g = o.groupBy("doc", "h").agg(F.countDistinct("pos").alias("n_repeated"), F.min("first_doc").alias("first_doc"), spans.alias("raw"))
     start = F.array().cast("array<struct<a:int,b:int>>")
 
     def fold(acc, x):
