@@ -158,9 +158,14 @@ def keep_first(documents: DataFrame, words: int = 5, most: int = 4) -> DataFrame
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
     fps = Staged(keyed.mapInArrow(_hashed_fingerprints(words), "doc_id long, h long, fp long"), "simhash").df
     comp = components(fps.select("doc_id", "fp"), most).select("fp", "component_id").distinct()
-    named = fps.join(comp, "fp")
+    return first_rows(documents, fps.join(comp, "fp"), "component_id")
+
+
+def first_rows(documents: DataFrame, named: DataFrame, group: str) -> DataFrame:
+    """Of each group of the rows (doc_id, h, group) the documents' row with the smallest doc_id (null last) and text hash h, once."""
+    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     last = F.lit((1 << 63) - 1)
-    best = named.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("d"), F.col("h"))).alias("b")).select("b.d", "b.h")
+    best = named.groupBy(group).agg(F.min(F.struct(F.coalesce("doc_id", last).alias("d"), F.col("h"))).alias("b")).select("b.d", "b.h")
     best = best.withColumnsRenamed({"d": "d_", "h": "h_"})
     d = documents.withColumns({"d_": F.coalesce(F.col("doc_id").cast("long"), last), "h_": h}).join(best, ["d_", "h_"], "left_semi")
     return d.dropDuplicates(["d_", "h_"]).select(*documents.columns)
