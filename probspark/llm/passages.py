@@ -78,13 +78,10 @@ def _paragraphs(texts: list[str]):
 
 
 def _bands(rows: np.ndarray) -> np.ndarray:
-    """Band keys (paragraphs, BANDS): each from the anchor shingle and ROWS minima of permuted shingle hashes.
-
-    Similar paragraphs of different texts start at the same anchor, overlapping ones of one text do not.
-    """
+    """Band keys (paragraphs, BANDS): each from ROWS minima of permuted shingle hashes."""
     out = []
     for b in range(BANDS):
-        key = _mixed(rows[:, 0] + np.uint64(b))
+        key = np.full(len(rows), b, np.uint64)
         for r in range(ROWS):
             p = rows * _M[40 + b * ROWS + r]
             key = _mixed(key * _M[60] + (p ^ (p >> np.uint64(32))).min(1))
@@ -104,13 +101,15 @@ def _cut(batches):
 
 
 def _banded(batches):
-    """(band, content) of each paragraph of a slice of texts, each pair once."""
+    """(band, content, h) of each paragraph of a slice of texts, each once; h is its text's hash."""
     for b in batches:
-        for _, texts in by_size(b, []):
-            _, _, _, rows, content = _paragraphs(texts)
-            content, one = np.unique(content, return_index=True)
+        for (hs,), texts in by_size(b, ["h"]):
+            owner, _, _, rows, content = _paragraphs(texts)
+            h, content = np.array(hs, np.int64)[owner], content.view(np.int64)
+            one = np.lexsort((h, content))
+            one = one[np.append(True, (np.diff(content[one]) != 0) | (np.diff(h[one]) != 0))[: len(one)]]
             if len(one):
-                yield pa.RecordBatch.from_arrays([pa.array(_bands(rows[one]).view(np.int64).ravel()), pa.array(np.repeat(content.view(np.int64), BANDS))], ["band", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(_bands(rows[one]).view(np.int64).ravel()), pa.array(np.repeat(content[one], BANDS)), pa.array(np.repeat(h[one], BANDS))], ["band", "content", "h"])
 
 
 def _flagged(flags: np.ndarray):
@@ -123,12 +122,13 @@ def _flagged(flags: np.ndarray):
 
 
 def _shared(batches):
-    """Of each band key's contents those that are not alone in it."""
-    for a, starts in whole_runs(batches, ["band", "content"], ["band"]):
+    """Of each band key's contents those that are not alone in it; overlapping paragraphs of one text do not count as met."""
+    for a, starts in whole_runs(batches, ["band", "content", "h"], ["band"]):
         n = len(a["band"])
         length = np.diff(np.append(starts, n))
         lo, hi = np.minimum.reduceat(a["content"], starts), np.maximum.reduceat(a["content"], starts)
-        keep = np.repeat((length > 1) & (lo != hi), length)
+        texts = np.minimum.reduceat(a["h"], starts) != np.maximum.reduceat(a["h"], starts)
+        keep = np.repeat((lo != hi) & texts, length)
         yield pa.RecordBatch.from_arrays([pa.array(a[c][keep]) for c in ("band", "content")], ["band", "content"])
 
 
@@ -215,7 +215,7 @@ def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     n = fan_out(spark)
     docs = _documents(documents)
     parts = Staged(docs.mapInArrow(_cut, _PARTS), "paragraphs").df
-    bands = docs.select("text").mapInArrow(_banded, "band long, content long")
+    bands = docs.select("h", "text").mapInArrow(_banded, "band long, content long, h long")
     shared = Staged(bands.repartition(n, "band").sortWithinPartitions("band").mapInArrow(_shared, "band long, content long").distinct(), "shared").df
     wanted = shared.select("content").distinct()
     members = docs.select("text").mapInArrow(_members(_flags(shared)), "content long, shingles binary")
