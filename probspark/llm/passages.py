@@ -4,6 +4,11 @@ Passages repeat in the middle of lines, so paragraphs do not follow line ends: a
 on, and an anchor is the smallest five-word shingle hash of some ``window`` consecutive ones.  Anchors depend on the words
 around them alone, so any passage of ``length + window`` - 1 words has the same paragraphs wherever it stands: with the
 defaults every passage of over 50 words that is repeated word by word is found.
+
+Paragraphs do not cover the texts, so a repeated one is extended word by word, on either side, as far as some earlier
+document with a paragraph of its cluster goes on alike, ``window`` - 1 words at most.  That covers the whole passage: what a
+repeated passage has beyond its last common paragraph, before its first, or between two is never longer, as a window of
+shingles more would have a common anchor.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ SHINGLE = 5
 LENGTH, WINDOW = 24, 28
 #: Bands of two rows each: a pair at Jaccard 0.8 shares one with probability 1 - (1 - 0.64)^4 = 0.98, equal paragraphs always.
 BANDS, ROWS = 4, 2
+#: Words to which a repeated paragraph is extended on either side at most.
+REACH = WINDOW - 1
 BLOCK = 512
 _FLAGS = 1 << 23
 _CHUNK = 4096
@@ -46,7 +53,8 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def _paragraphs(texts: list[str]):
-    """Of a slice of texts: (text of each paragraph, first word, words, shingle hashes as rows padded with the first, content hash)."""
+    """Of a slice of texts: (text of each paragraph, first word, words, shingle hashes as rows padded with the first, content hash,
+    first word among the padded words of the slice, these words' hashes)."""
     flat, doc, _, _ = word_hashes(texts)
     n = np.bincount(doc, minlength=len(texts))
     begin = np.cumsum(n + WINDOW) - (n + WINDOW)
@@ -74,7 +82,7 @@ def _paragraphs(texts: list[str]):
     k = np.arange(LENGTH - SHINGLE + 1)
     rows = np.where(k[None, :] <= (size - SHINGLE)[:, None], s[np.minimum(a[:, None] + k, len(s) - 1)], s[a][:, None])
     content = _mixed((rows * _M[8 : 8 + len(k)]).sum(1, dtype=np.uint64) + size.astype(np.uint64))
-    return owner[a], a - begin[owner[a]], size, rows, content
+    return owner[a], a - begin[owner[a]], size, rows, content, a, (n, w)
 
 
 def _bands(rows: np.ndarray) -> np.ndarray:
@@ -89,22 +97,21 @@ def _bands(rows: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-_PARTS = "doc long, h long, pos int, n int, content long"
+_PARTS = "doc long, content long"
 
 
 def _cut(batches):
     for b in batches:
-        for (docs, hs), texts in by_size(b, ["doc", "h"]):
-            owner, pos, size, rows, content = _paragraphs(texts)
-            cols = [np.array(docs, np.int64)[owner], np.array(hs, np.int64)[owner], pos.astype(np.int32), size.astype(np.int32), content.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split()[0] for x in _PARTS.split(", ")])
+        for (docs,), texts in by_size(b, ["doc"]):
+            owner, _, _, _, content, *_ = _paragraphs(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64)[owner]), pa.array(content.view(np.int64))], ["doc", "content"])
 
 
 def _banded(batches):
     """(band, content, h) of each paragraph of a slice of texts, each once; h is its text's hash."""
     for b in batches:
         for (hs,), texts in by_size(b, ["h"]):
-            owner, _, _, rows, content = _paragraphs(texts)
+            owner, _, _, rows, content, *_ = _paragraphs(texts)
             h, content = np.array(hs, np.int64)[owner], content.view(np.int64)
             one = np.lexsort((h, content))
             one = one[np.append(True, (np.diff(content[one]) != 0) | (np.diff(h[one]) != 0))[: len(one)]]
@@ -112,15 +119,70 @@ def _banded(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(_bands(rows[one]).view(np.int64).ravel()), pa.array(np.repeat(content[one], BANDS)), pa.array(np.repeat(h[one], BANDS))], ["band", "content", "h"])
 
 
+def _chains(words: np.ndarray) -> np.ndarray:
+    """Row by row, a hash of the first one, two, ... words."""
+    return np.cumsum(words * _M[: words.shape[1]], 1, dtype=np.uint64)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1] * 8
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
+
+
+_FOUND = "doc long, h long, pos int, n int, content long, before int, after int, left binary, right binary"
+
+
 def _flagged(flags: np.ndarray):
+    """Paragraphs whose flag is set, with how many words stand around them (REACH at most) and the hashes of these, outwards."""
+
     def run(batches):
         for b in batches:
-            f = b.column("content").to_numpy() & (_FLAGS - 1)
-            yield b.filter(pa.array((flags[f >> 3] >> (7 - (f & 7)) & 1).astype(bool)))
+            for (docs, hs), texts in by_size(b, ["doc", "h"], most=1 << 20):
+                owner, pos, size, _, content, a, (n, w) = _paragraphs(texts)
+                f = (content % np.uint64(_FLAGS)).astype(np.int64)
+                at = np.flatnonzero(flags[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1)
+                owner, pos, size, content, a = owner[at], pos[at], size[at], content[at], a[at]
+                k = np.arange(REACH)
+                left = _chains(w[np.maximum(a[:, None] - 1 - k, 0)])
+                right = _chains(w[np.minimum((a + size)[:, None] + k, len(w) - 1)])
+                around = [np.minimum(pos, REACH), np.minimum(n[owner] - pos - size, REACH)]
+                cols = [np.array(docs, np.int64)[owner], np.array(hs, np.int64)[owner], *[x.astype(np.int32) for x in (pos, size)], content.view(np.int64), *[x.astype(np.int32) for x in around]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], _binary(left), _binary(right)], [x.split()[0] for x in _FOUND.split(", ")])
 
     return run
 
 
+def _reach(run: np.ndarray, doc: np.ndarray, around: np.ndarray, chains) -> np.ndarray:
+    """How many words of each row's side an earlier document of its run has too."""
+    chains = np.frombuffer(b"".join(chains), np.uint64).reshape(-1, REACH)
+    out, live = np.zeros(len(run), np.int64), np.arange(len(run))
+    for r in range(REACH):
+        live = live[around[live] > r]
+        if not len(live):
+            break
+        live = live[np.lexsort((chains[live, r], run[live]))]
+        new = np.append(True, (np.diff(run[live]) != 0) | (np.diff(chains[live, r]) != 0))
+        start = np.flatnonzero(new)
+        first, last = np.minimum.reduceat(doc[live], start), np.maximum.reduceat(doc[live], start)
+        group = np.cumsum(new) - 1
+        out[live[doc[live] > first[group]]] = r + 1
+        live = live[(first < last)[group]]
+    return out
+
+
+_SPANS = "doc long, h long, pos int, n int, cluster long, first_doc long, a int, b int"
+
+
+def _extended(batches):
+    """Paragraphs sorted by cluster, with the span [a, b) of words that each repeats."""
+    names = [x.split()[0] for x in _SPANS.split(", ")]
+    for x, starts in whole_runs(batches, [*names[:-2], "before", "after", "left", "right"], ["cluster"]):
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x["doc"]))))
+        a = x["pos"] - _reach(run, x["doc"], x["before"], x["left"])
+        b = x["pos"] + x["n"] + _reach(run, x["doc"], x["after"], x["right"])
+        yield pa.RecordBatch.from_arrays([*[pa.array(x[c]) for c in names[:-2]], pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names)
+
+
 def _shared(batches):
     """Of each band key's contents those that are not alone in it; overlapping paragraphs of one text do not count as met."""
     for a, starts in whole_runs(batches, ["band", "content", "h"], ["band"]):
@@ -165,7 +227,7 @@ def _members(flags: np.ndarray):
     def run(batches):
         for b in batches:
             for _, texts in by_size(b, []):
-                _, _, _, rows, content = _paragraphs(texts)
+                _, _, _, rows, content, *_ = _paragraphs(texts)
                 f = (content % np.uint64(_FLAGS)).astype(np.int64)
                 at = np.flatnonzero(flags[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1)
                 content, one = np.unique(content[at], return_index=True)
@@ -204,17 +266,18 @@ def _verified(least: float):
 
 
 def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc, h, pos, n, cluster, first_doc): every paragraph of a cluster that occurs in two documents or more.
+    """(doc, h, pos, n, cluster, first_doc, a, b): every paragraph of a cluster that occurs in two documents or more.
 
     Clusters are the components of paragraphs that are equal or have a Jaccard similarity of ``least`` or more over their
     five-word shingles; ``first_doc`` is the smallest doc_id with one.  Repeats within a document alone are left alone.
     Texts of fewer than five words have no paragraph; those of fewer words than a paragraph are one.  Rows with one doc_id
-    are one document here, h (the text's hash) tells their texts apart; null doc_ids are the smallest long.
+    are one document here, h (the text's hash) tells their texts apart; null doc_ids are the smallest long.  Words a to b are
+    the paragraph and what around it an earlier document with one of the cluster has too, word by word.
     """
     spark = documents.sparkSession
     n = fan_out(spark)
     docs = _documents(documents)
-    parts = Staged(docs.mapInArrow(_cut, _PARTS), "paragraphs").df
+    parts = Staged(docs.select("doc", "text").mapInArrow(_cut, _PARTS), "paragraphs").df
     bands = docs.select("h", "text").mapInArrow(_banded, "band long, content long, h long")
     shared = Staged(bands.repartition(n, "band").sortWithinPartitions("band").mapInArrow(_shared, "band long, content long").distinct(), "shared").df
     wanted = shared.select("content").distinct()
@@ -228,21 +291,23 @@ def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     rooted = Staged(rooted.select("content", F.coalesce("component", "content").alias("cluster"), "d0", "d1"), "rooted").df
     whole = rooted.groupBy("cluster").agg(F.min("d0").alias("first_doc"), F.max("d1").alias("last_doc")).where("first_doc < last_doc")
     named = Staged(rooted.select("content", "cluster").join(whole.select("cluster", "first_doc"), "cluster"), "named").df
-    some = parts.mapInArrow(_flagged(_flags(named)), _PARTS)  # most paragraphs are in no cluster and need no shuffle
-    return some.join(named, "content").select("doc", "h", "pos", "n", "cluster", "first_doc")
+    some = docs.mapInArrow(_flagged(_flags(named)), _FOUND)  # most paragraphs are in no cluster and need no shuffle
+    found = some.join(named, "content").drop("content").repartition(n, "cluster").sortWithinPartitions("cluster")
+    return found.mapInArrow(_extended, _SPANS)
 
 
 def repeats(documents: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc_id, h, n_repeated, n_removed, spans, first_doc_id): a row for each text that holds a repeated paragraph.
 
-    A paragraph goes unless the document is the first of its cluster.  ``spans`` are the removals as half-open ranges of
+    A paragraph goes, with the repeated words around it, unless the document is the first of its cluster; n_removed counts
+    the paragraphs that go.  ``spans`` are the removals as half-open ranges of
     words, merged; ``first_doc_id`` is the smallest doc_id that shares a cluster with the document.  Documents without
     repeats have no row.
     """
     o = occurrences(documents, least)
     later = F.col("doc") > F.col("first_doc")
-    spans = F.sort_array(F.collect_set(F.when(later, F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b")))))
-    g = o.groupBy("doc", "h").agg(F.countDistinct("pos").alias("n_repeated"), F.min("first_doc").alias("first_doc"), spans.alias("raw"))
+    spans = F.sort_array(F.collect_set(F.when(later, F.struct("a", "b"))))
+    g = o.groupBy("doc", "h").agg(F.countDistinct("pos").alias("n_repeated"), F.countDistinct(F.when(later, F.col("pos"))).alias("n_removed"), F.min("first_doc").alias("first_doc"), spans.alias("raw"))
     start = F.array().cast("array<struct<a:int,b:int>>")
 
     def fold(acc, x):
@@ -252,7 +317,7 @@ def repeats(documents: DataFrame, least: float = 0.8) -> DataFrame:
 
     merged = F.aggregate("raw", start, fold)
     back = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c))
-    return g.select(back("doc").alias("doc_id"), "h", "n_repeated", F.size("raw").cast("long").alias("n_removed"), merged.alias("spans"), back("first_doc").alias("first_doc_id"))
+    return g.select(back("doc").alias("doc_id"), "h", "n_repeated", "n_removed", merged.alias("spans"), back("first_doc").alias("first_doc_id"))
 
 
 def _without(batches):
