@@ -1,0 +1,17 @@
+"""Slot counts of the language model stay exact beyond 2^24."""
+
+import numpy as np
+import pyarrow as pa
+
+from probspark.llm import lm
+
+
+def test_rare_words_count_beside_frequent_ones():
+    c = [1 << 25] + [1] * 1000
+    rows = pa.RecordBatch.from_arrays([pa.array([b"a"] * len(c), pa.binary()), pa.array(c, pa.int64())], ["word", "c"])
+    width, total = (1 << lm.TABLES[0]) // lm._CHUNK, 0.0
+    for b in lm._tabled(iter([rows])):
+        for k, chunk in zip(b.column("k").to_pylist(), b.column("chunk").to_pylist()):
+            if k % (lm._OFFSET[-1] // lm._CHUNK) < width:
+                total += np.frombuffer(chunk, f"f{len(chunk) // lm._CHUNK}").sum(dtype=np.float64)
+    assert total == 8 * 2 * sum(c)
