@@ -277,18 +277,21 @@ def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     spark = documents.sparkSession
     n = fan_out(spark)
     docs = _documents(documents)
-    parts = Staged(docs.select("doc", "text").mapInArrow(_cut, _PARTS), "paragraphs").df
+    parts = Staged(docs.select("doc", "text").mapInArrow(_cut, _PARTS), "paragraphs")
     bands = docs.select("h", "text").mapInArrow(_banded, "band long, content long, h long")
-    shared = Staged(bands.repartition(n, "band").sortWithinPartitions("band").mapInArrow(_shared, "band long, content long").distinct(), "shared").df
-    wanted = shared.select("content").distinct()
-    members = docs.select("text").mapInArrow(_members(_flags(shared)), "content long, shingles binary")
-    members = Staged(members.join(wanted, "content", "left_semi").dropDuplicates(["content"]), "members").df
+    shared = Staged(bands.repartition(n, "band").sortWithinPartitions("band").mapInArrow(_shared, "band long, content long").distinct(), "shared")
+    wanted = shared.df.select("content").distinct()
+    members = docs.select("text").mapInArrow(_members(_flags(shared.df)), "content long, shingles binary")
+    members = Staged(members.join(wanted, "content", "left_semi").dropDuplicates(["content"]), "members")
     order = ["band", "bi", "bj"]
-    met = deal_blocks(shared.join(members, "content"), ["band"], ["content"], BLOCK).repartition(n, *order).sortWithinPartitions(*order)
+    met = deal_blocks(shared.df.join(members.df, "content"), ["band"], ["content"], BLOCK).repartition(n, *order).sortWithinPartitions(*order)
     comp = connected(met.mapInArrow(_verified(least), "a long, b long"), "a", "b").df
-    by_content = parts.groupBy("content").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"))
+    shared.drop()
+    members.drop()
+    by_content = parts.df.groupBy("content").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"))
     rooted = by_content.join(comp.withColumnRenamed("node", "content"), "content", "left").where("d0 < d1 or component is not null")
     rooted = Staged(rooted.select("content", F.coalesce("component", "content").alias("cluster"), "d0", "d1"), "rooted").df
+    parts.drop()
     whole = rooted.groupBy("cluster").agg(F.min("d0").alias("first_doc"), F.max("d1").alias("last_doc")).where("first_doc < last_doc")
     named = Staged(rooted.select("content", "cluster").join(whole.select("cluster", "first_doc"), "cluster"), "named").df
     some = docs.mapInArrow(_flagged(_flags(named)), _FOUND)  # most paragraphs are in no cluster and need no shuffle
@@ -307,7 +310,7 @@ def repeats(documents: DataFrame, least: float = 0.8) -> DataFrame:
     o = occurrences(documents, least)
     later = F.col("doc") > F.col("first_doc")
     spans = F.sort_array(F.collect_set(F.when(later, F.struct("a", "b"))))
-    g = o.groupBy("doc", "h").agg(F.countDistinct("pos").alias("n_repeated"), F.countDistinct(F.when(later, F.col("pos"))).alias("n_removed"), F.min("first_doc").alias("first_doc"), spans.alias("raw"))
+    g = o.groupBy("doc", "h").agg(F.size(F.collect_set("pos")).cast("long").alias("n_repeated"), F.size(F.collect_set(F.when(later, F.col("pos")))).cast("long").alias("n_removed"), F.min("first_doc").alias("first_doc"), spans.alias("raw"))
     start = F.array().cast("array<struct<a:int,b:int>>")
 
     def fold(acc, x):
