@@ -214,11 +214,11 @@ _SEGMENT = 1 << 20
 _hashing: dict = {}
 
 
-def word_hashes(texts: list[str]):
-    """All words of some texts without making an object of each: (hash of each, its text, its line among all lines, number of lines of each text).
+def split_words(texts: list[str]):
+    """All words of some texts without making an object of each: (all texts' bytes, first byte and end of each word, its hash, its line among all lines, lines of each text).
 
-    Words are lower-cased (A-Z) and separated by ASCII white space, lines by line feeds.  A word's 64-bit hash is a
-    polynomial of random values of its bytes, got from running sums, and mixed.
+    Words are lower-cased (A-Z) for the hash and separated by ASCII white space, lines by line feeds.  A word's 64-bit hash
+    is a polynomial of random values of its bytes, got from running sums, and mixed.
     """
     import numpy as np
 
@@ -233,7 +233,7 @@ def word_hashes(texts: list[str]):
         space[[32, *range(9, 14)]] = True
         _hashing.update(value=value, space=space, base=int(rng.integers(1 << 40, 1 << 63)) | 1, power=np.zeros(0, np.uint64))
     value, space = _hashing["value"], _hashing["space"]
-    hashes, line_of, at, before = [], [], 0, 0
+    hashes, line_of, starts, ends, at, before = [], [], [], [], 0, 0
     while at < len(whole):
         to = min(len(whole), at + _SEGMENT)
         gap = space[whole[at:to]]
@@ -257,12 +257,21 @@ def word_hashes(texts: list[str]):
         hashes.append(h ^ (h >> np.uint64(32)))
         feed = np.flatnonzero(x == 10)
         line_of.append(np.searchsorted(feed, start) + before)
+        starts.append(start + at)
+        ends.append(end + at)
         before += len(feed)
         at += cut
-    empty = np.zeros(0, np.int64)
-    line_of = np.concatenate(line_of) if line_of else empty
-    text_of = np.repeat(np.arange(len(raw)), lines)
-    return (np.concatenate(hashes) if hashes else empty.astype(np.uint64)), text_of[line_of] if len(text_of) else empty, line_of, lines
+    joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return whole, joined(starts, np.int64), joined(ends, np.int64), joined(hashes, np.uint64), joined(line_of, np.int64), lines
+
+
+def word_hashes(texts: list[str]):
+    """(hash of each word, its text, its line among all lines, number of lines of each text); see split_words()."""
+    import numpy as np
+
+    _, _, _, hashes, line_of, lines = split_words(texts)
+    text_of = np.repeat(np.arange(len(texts)), lines)
+    return hashes, text_of[line_of], line_of, lines
 
 
 def distinct(x):
