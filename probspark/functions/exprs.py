@@ -37,15 +37,34 @@ def total(terms: list[Column]) -> Column:
     return out
 
 
+def log_add(*terms: Column) -> Column:
+    """ln of the sum of exponentials of columns, shifted by the largest; all minus infinity stays so.
+
+    Terms are written out, so that a row costs as many steps as there are terms.
+    """
+    m = F.greatest(*terms)
+    s = F.exp(terms[0] - m)
+    for t in terms[1:]:
+        s = s + F.exp(t - m)
+    return F.when(m == NEG_INF, m).otherwise(m + F.log(s))
+
+
 def logsumexp(a: Column) -> Column:
-    """Of an array column, shifted by its maximum."""
-    m = F.array_max(a)
-    return F.when(m == NEG_INF, m).otherwise(m + F.log(F.aggregate(F.transform(a, lambda x: F.exp(x - m)), lit(0), lambda s, x: s + x)))
+    """Of an array column.  One fold over (maximum, sum of exponentials below it), so a row costs as many steps as elements."""
+    state = F.struct(lit(NEG_INF).alias("m"), lit(0).alias("s"))
 
+    def step(s, x):
+        m = F.greatest(s["m"], x)
+        old = F.when(s["m"] == NEG_INF, lit(0)).otherwise(s["s"] * F.exp(s["m"] - m))
+        new = F.when(x == NEG_INF, lit(0)).otherwise(F.exp(x - m))
+        return F.struct(m.alias("m"), (old + new).alias("s"))
 
-def softmax(a: Column) -> Column:
-    s = logsumexp(a)
-    return F.transform(a, lambda x: F.exp(x - s))
+    return F.when(a.isNotNull(), F.aggregate(a, state, step, lambda s: F.when(s["m"] == NEG_INF, s["m"]).otherwise(s["m"] + F.log(s["s"]))))
+
+
+def softmax(a: Column, total: Column) -> Column:
+    """Shares of an array column; ``total`` is its logsumexp as a column of its own, not an expression to be repeated."""
+    return F.transform(a, lambda x: F.exp(x - total))
 
 
 def argmax(a: Column) -> Column:
@@ -60,3 +79,14 @@ def argmin(a: Column) -> Column:
 def look_up(values: list[float], index: Column) -> Column:
     """Element of a constant table; null index gives null, one out of range raises as ANSI arrays do."""
     return F.when(index.isNotNull(), F.element_at(F.array(*[lit(v) for v in values]), index.cast("int") + 1))
+
+
+def look_up_code(values: list[float], cols: list[Column], cards) -> Column:
+    """Element of a constant table at a row of codes; null where a code is missing, minus infinity where one is not in the table."""
+    at, inside, there = lit(0).cast("int"), F.lit(True), F.lit(True)
+    for x, k in zip(cols, cards):
+        there = there & x.isNotNull()
+        inside = inside & (x >= 0) & (x < int(k)) & (x == F.floor(x))
+        at = at * int(k) + x.cast("int")
+    table = F.array(*[lit(v) for v in values])
+    return F.when(there & inside, F.element_at(table, F.when(there & inside, at).otherwise(F.lit(0)) + 1)).when(there, lit(NEG_INF))

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..functions.special import digamma, lgamma, safe_log, trigamma
+from ..functions.special import digamma, lgamma, logsumexp, safe_log, trigamma
+from ..plans import arrow
 
 EPS = 1e-300
 KINDS: dict[str, type] = {}
@@ -44,16 +45,55 @@ def blend(old, new, inertia: float):
     return np.where(np.isinf(old), old, np.where(np.isinf(new), new, out))
 
 
+class Stored:
+    """Models as plain values: any of them goes to JSON and back by from_dict()."""
+
+    def __init_subclass__(cls, **kw):
+        super().__init_subclass__(**kw)
+        KINDS[cls.__name__] = cls
+
+    def to_dict(self) -> dict:
+        return {"kind": type(self).__name__} | {f.name: _plain(getattr(self, f.name)) for f in fields(self)}
+
+    def to_json(self) -> str:
+        return json.dumps(self.to_dict())
+
+
+def _plain(v):
+    if isinstance(v, np.ndarray):
+        return v.tolist()
+    if isinstance(v, np.generic):
+        return v.item()
+    if isinstance(v, (list, tuple)):
+        return [_plain(x) for x in v]
+    return v.to_dict() if isinstance(v, Stored) else v
+
+
 @dataclass(frozen=True)
-class Distribution:
+class Distribution(Stored):
     """Base: ``inertia`` keeps that share of the old parameters, ``frozen`` keeps them all."""
 
     inertia: float = field(default=0.0, kw_only=True)
     frozen: bool = field(default=False, kw_only=True)
 
-    def __init_subclass__(cls, **kw):
-        super().__init_subclass__(**kw)
-        KINDS[cls.__name__] = cls
+    def known(self) -> bool:
+        """Whether there are parameters."""
+        try:
+            self.logp_np(np.ones((1, self._width())))
+        except (TypeError, AttributeError):
+            return False
+        return True
+
+    def _width(self) -> int:
+        return 1
+
+    def about(self, centre) -> Distribution:
+        """The same, summing about a centre as long as there are no parameters, where that saves digits."""
+        return self
+
+    def n_terms(self, d: int) -> int:
+        """How many terms the log-probability of d columns has, about."""
+        return d
 
     def log_probability(self, df: DataFrame, cols: list[str], out: str = "log_probability") -> DataFrame:
         return df.withColumn(out, self.logp([F.col(c) for c in cols]))
@@ -61,19 +101,38 @@ class Distribution:
     def probability(self, df: DataFrame, cols: list[str], out: str = "probability") -> DataFrame:
         return df.withColumn(out, F.exp(self.logp([F.col(c) for c in cols])))
 
-    def summarize(self, df: DataFrame, cols: list[str], weight=None) -> dict[str, float]:
-        """Additive statistics of a DataFrame in one aggregation; weight: a column, a list of one a feature, or nothing."""
-        s = self.stats([F.col(c) for c in cols], _weights(weight, len(cols)))
-        if not s:
-            return {}
-        return df.agg(*[c.alias(k) for k, c in s.items()]).first().asDict()
+    def valid(self, x: Column) -> Column | None:
+        """Whether a cell may stand for a value of this distribution; None: any number may."""
+        return None
+
+    def n_stats(self, d: int) -> int:
+        """How many statistics ``stats`` has for d columns, about."""
+        return 3 * d
+
+    def summarize(self, df: DataFrame, cols: list[str], weight=None, check_data: bool = True) -> dict[str, float]:
+        """Additive statistics of a DataFrame in one aggregation; weight: a column, a list of one a feature, or nothing.
+
+        Cells outside the support raise ValueError, counted in the same aggregation, unless ``check_data`` is False.
+        """
+        x, ws = [F.col(c) for c in cols], _weights(weight, len(cols))
+        if self.n_stats(len(cols)) > arrow.WIDE:
+            s = arrow.summed(df, cols, ws, self.stats_np)
+        else:
+            exprs = self.stats(x, ws)
+            bad = [F.count_if(~v).alias(f"bad_{j}") for j, c in enumerate(x) if check_data and (v := self.valid(c)) is not None]
+            if not exprs and not bad:
+                return {}
+            s = df.agg(*[c.alias(k) for k, c in exprs.items()], *bad).first().asDict()
+            if wrong := [cols[int(k[4:])] for k in list(s) if k.startswith("bad_") and s.pop(k)]:
+                raise ValueError(f"{', '.join(wrong)}: values outside the support of {type(self).__name__}")
+        return s
 
     def from_summaries(self, *stats: dict[str, float]) -> Distribution:
         """A new distribution from the merged statistics of any number of batches."""
         return self if self.frozen or self.inertia == 1 else self.update(merge(*stats))
 
-    def fit(self, df: DataFrame, cols: list[str], weight=None) -> Distribution:
-        return self.from_summaries(self.summarize(df, cols, weight))
+    def fit(self, df: DataFrame, cols: list[str], weight=None, check_data: bool = True) -> Distribution:
+        return self if self.frozen else self.from_summaries(self.summarize(df, cols, weight, check_data))
 
     def freeze(self) -> Distribution:
         return replace(self, frozen=True)
@@ -81,23 +140,21 @@ class Distribution:
     def unfreeze(self) -> Distribution:
         return replace(self, frozen=False)
 
-    def to_dict(self) -> dict:
-        plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else [plain(x) for x in v] if isinstance(v, (list, tuple)) else v.to_dict() if isinstance(v, Distribution) else v
-        return {"kind": type(self).__name__} | {f.name: plain(getattr(self, f.name)) for f in fields(self)}
-
-    def to_json(self) -> str:
-        return json.dumps(self.to_dict())
-
 
-def from_dict(d: dict) -> Distribution:
+def from_dict(d: dict):
+    """The model that to_dict() described."""
     build = lambda v: from_dict(v) if isinstance(v, dict) and "kind" in v else [build(x) for x in v] if isinstance(v, list) and v and isinstance(v[0], dict) else v
-    return KINDS[d["kind"]](**{k: build(v) for k, v in d.items() if k != "kind"})
+    kind, args = KINDS[d["kind"]], {k: build(v) for k, v in d.items() if k != "kind"}
+    return kind.restored(args) if hasattr(kind, "restored") else kind(**args)
 
 
 def merge(*stats: dict[str, float]) -> dict[str, float]:
-    """Statistics of the union of batches."""
+    """Statistics of the union of batches; sums about different centres (``at``) are brought to the first one's."""
     out: dict[str, float] = {}
     for s in stats:
+        s = _recentred(s, out)
+        out |= {k: v for k, v in s.items() if k.startswith("at")}
+        s = {k: v for k, v in s.items() if not k.startswith("at")}
         for k, v in s.items():
             if v is None:
                 out.setdefault(k, 0.0 if not k.startswith(("min", "max")) else None)
@@ -110,6 +167,36 @@ def merge(*stats: dict[str, float]) -> dict[str, float]:
     return out
 
 
+def _recentred(s: dict[str, float], to: dict[str, float]) -> dict[str, float]:
+    """Sums of a batch about the centres of another, by what its own centres differ."""
+    moved = {k: (s[k] or 0.0) - (to[k] or 0.0) for k in s if k.startswith("at") and k in to and s[k] != to[k]}
+    if not moved:
+        return s
+    out = dict(s)
+    for k, d in moved.items():
+        name, tag = _split_tag(k)
+        j = name[2:]
+        get = lambda n, tag=tag: s.get(n + tag) or 0.0
+        w = get(f"w{j}") if f"w{j}{tag}" in s else get("w0")
+        out[k] = to[k]
+        out[f"xw{j}{tag}"] = get(f"xw{j}") + w * d
+        if f"xxw{j}{tag}" in s:
+            out[f"xxw{j}{tag}"] = get(f"xxw{j}") + 2 * d * get(f"xw{j}") + w * d * d
+    for k in s:  # cross products: both ends may have moved
+        name, tag = _split_tag(k)
+        if name[0] == "c" and "_" in name:
+            i, j = name[1:].split("_")
+            di, dj = moved.get(f"at{i}{tag}", 0.0), moved.get(f"at{j}{tag}", 0.0)
+            get = lambda n, tag=tag: s.get(n + tag) or 0.0
+            out[k] = get(name) + dj * get(f"xw{i}") + di * get(f"xw{j}") + get("w0") * di * dj
+    return out
+
+
+def _split_tag(key: str) -> tuple[str, str]:
+    name, mark, tag = key.partition("__")
+    return name, mark + tag
+
+
 def _weights(weight, d: int) -> list[Column]:
     if weight is None:
         return [F.lit(1.0)] * d
@@ -152,9 +239,9 @@ def _ratio(a, b):
 class _Factored(Distribution):
     """Independent features: log-probabilities add up."""
 
-    @property
-    def d(self) -> int:
-        raise NotImplementedError
+    def _width(self):
+        sized = [v for f in fields(self) if isinstance(v := getattr(self, f.name), np.ndarray)]
+        return len(sized[0]) if sized else 1
 
     def logp(self, cols: list[Column]) -> Column:
         return E.total([self.cell(x, j) for j, x in enumerate(cols)])
@@ -181,11 +268,18 @@ class Bernoulli(_Factored):
         if self.probs is not None:
             object.__setattr__(self, "probs", check("probs", self.probs, 0, 1))
 
+    def valid(self, x):
+        return x.isNull() | x.isin(0, 1)
+
     def cell(self, x, j):
         p = float(self.probs[j])
-        return x * E.lit(safe_log(max(p, EPS))) + (1 - x) * E.lit(safe_log(max(1 - p, EPS)))
+        own = x * E.lit(safe_log(max(p, EPS))) + (1 - x) * E.lit(safe_log(max(1 - p, EPS)))
+        return F.when(self.valid(x), own).otherwise(E.lit(-math.inf))
 
     def cells_np(self, X):
+        return np.where((X == 0) | (X == 1), self._cells(X), -np.inf)
+
+    def _cells(self, X):
         return X * safe_log(np.maximum(self.probs, EPS)) + (1 - X) * safe_log(np.maximum(1 - self.probs, EPS))
 
     def update(self, s):
@@ -210,12 +304,19 @@ class Exponential(_Factored):
         if self.scales is not None:
             object.__setattr__(self, "scales", check("scales", self.scales, 0))
 
+    def valid(self, x):
+        return x.isNull() | (x >= 0)
+
     def cell(self, x, j):
         s = float(self.scales[j])
-        return E.lit(-math.log(s)) - x / s
+        if s == 0:  # all mass at zero
+            return F.when(x.isNull(), F.lit(None)).when(x == 0, E.lit(math.inf)).otherwise(E.lit(-math.inf))
+        return F.when(x < 0, E.lit(-math.inf)).otherwise(E.lit(-math.log(s)) - x / s)
 
     def cells_np(self, X):
-        return -np.log(self.scales) - X / self.scales
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inside = np.where(self.scales > 0, -safe_log(self.scales) - X / self.scales, np.where(X == 0, np.inf, -np.inf))
+        return np.where(X < 0, -np.inf, inside)
 
     def update(self, s):
         d = _size(s)
@@ -233,12 +334,18 @@ class Poisson(_Factored):
         if self.lambdas is not None:
             object.__setattr__(self, "lambdas", check("lambdas", self.lambdas, 0))
 
+    def valid(self, x):
+        return x.isNull() | (x >= 0)
+
     def cell(self, x, j):
         m = float(self.lambdas[j])
-        return x * math.log(m) - m - E.lgamma(x + 1.0)
+        inside = x * E.lit(safe_log(m)) - m - E.lgamma(F.greatest(x, F.lit(0.0)) + 1.0)
+        return F.when(x < 0, E.lit(-math.inf)).when(x == 0, E.lit(-m)).otherwise(inside)
 
     def cells_np(self, X):
-        return X * np.log(self.lambdas) - self.lambdas - lgamma(np.where(np.isnan(X), 0, X) + 1.0)
+        Z = np.where(X > 0, X, 0.0)
+        inside = np.where(Z > 0, Z * safe_log(self.lambdas), 0.0) - self.lambdas - lgamma(Z + 1.0)
+        return np.where(X < 0, -np.inf, inside)
 
     def update(self, s):
         d = _size(s)
@@ -264,12 +371,18 @@ class Gamma(_Factored):
         log = E.ln if column else np.log
         return [("xw", lambda x: x), ("lw", log)]
 
+    def valid(self, x):
+        return x.isNull() | (x >= 0)
+
     def cell(self, x, j):
         a, b = float(self.shapes[j]), float(self.rates[j])
-        return E.lit(a * math.log(b) - lgamma(a)) + (a - 1) * E.ln(x) - b * x
+        power = E.lit(0.0) if a == 1 else (a - 1) * E.ln(x)
+        return F.when(x < 0, E.lit(-math.inf)).otherwise(E.lit(a * math.log(b) - lgamma(a)) + power - b * x)
 
     def cells_np(self, X):
-        return self.shapes * np.log(self.rates) - lgamma(self.shapes) + (self.shapes - 1) * np.log(X) - self.rates * X
+        with np.errstate(divide="ignore", invalid="ignore"):
+            power = np.where(self.shapes == 1, 0.0, (self.shapes - 1) * np.log(X))
+        return np.where(X < 0, -np.inf, self.shapes * np.log(self.rates) - lgamma(self.shapes) + power - self.rates * X)
 
     def update(self, s):
         """Shape by Newton steps on ln a - digamma(a) = theta, rate from the mean."""
@@ -312,10 +425,10 @@ class Uniform(_Factored):
         return {f"{f}{j}": getattr(F, f)(x.cast("double")) for j, x in enumerate(cols) for f in ("min", "max")}
 
     def stats_np(self, X, W):
-        return {f"{f}{j}": getattr(np, f"nan{f}")(X[:, j]) for j in range(X.shape[1]) for f in ("min", "max") if len(X)}
+        return {f"{f}{j}": getattr(np, f"nan{f}")(X[:, j]) for j in range(X.shape[1]) for f in ("min", "max") if (~np.isnan(X[:, j])).any()}
 
     def update(self, s):
-        d = sum(1 for k in s if k.startswith("min"))
+        d = max((int(k[3:]) + 1 for k in s if k.startswith("min")), default=0)
         return replace(self, mins=blend(self.mins, [s[f"min{j}"] for j in range(d)], self.inertia), maxs=blend(self.maxs, [s[f"max{j}"] for j in range(d)], self.inertia))
 
     def draw(self, rng, n):
@@ -328,6 +441,10 @@ class DiracDelta(_Factored):
 
     alphas: np.ndarray | None = None
 
+    def __post_init__(self):
+        if self.alphas is not None:
+            object.__setattr__(self, "alphas", check("alphas", self.alphas, 0))
+
     def cell(self, x, j):
         return F.when(x.isNull(), F.lit(None)).when(x == 0, E.lit(safe_log(self.alphas[j]))).otherwise(E.lit(-math.inf))
 
@@ -349,12 +466,14 @@ class Normal(_Factored):
     """Gaussian with full, diag or sphere covariance (``covs`` are (co)variances); variances are floored at ``min_cov``.
 
     A full covariance needs complete rows: rows with a missing cell are left out of its statistics and score null.
+    Sums are about ``origin``, or the old means, or a first pass's averages, so that values far from zero lose no digits.
     """
 
     means: np.ndarray | None = None
     covs: np.ndarray | None = None
     covariance_type: str = "full"
     min_cov: float = 0.0
+    origin: np.ndarray | None = field(default=None, kw_only=True)
 
     def __post_init__(self):
         if self.covariance_type not in ("full", "diag", "sphere"):
@@ -370,9 +489,31 @@ class Normal(_Factored):
 
     extra = 0.0
 
-    def _terms(self, column):
-        f = lambda x: self.shift(x, column)
-        return [("xw", f), ("xxw", lambda x: f(x) * f(x))]
+    def _width(self):
+        return 1 if self.means is None else len(self.means)
+
+    def known(self):
+        return self.means is not None and self.covs is not None
+
+    def about(self, centre):
+        return self if self.means is not None else replace(self, origin=np.asarray(centre, float))
+
+    def n_terms(self, d):
+        return d * (d + 1) // 2 if self.covariance_type == "full" else d
+
+    def centre(self, d: int) -> np.ndarray:
+        c = self.origin if self.origin is not None else self.means
+        return np.zeros(d) if c is None else np.asarray(c, float)
+
+    def n_stats(self, d):
+        return 1 + d + d * (d + 1) // 2 if self.covariance_type == "full" else 3 * d
+
+    def summarize(self, df, cols, weight=None, check_data=True):
+        if self.origin is None and self.means is None:
+            first = df.agg(*[F.avg(self.shift(F.col(c), True)).alias(f"a{j}") for j, c in enumerate(cols)]).first()
+            return replace(self, origin=np.array([v if v is not None and math.isfinite(v) else 0.0 for v in first])).summarize(df, cols, weight, check_data)
+        s = super().summarize(df, cols, weight, check_data)
+        return s | {f"at{j}": float(c) for j, c in enumerate(self.centre(len(cols)))}
 
     def cell(self, x, j):
         v, x = float(self.covs[j]), self.shift(x, True)
@@ -406,9 +547,10 @@ class Normal(_Factored):
         return -0.5 * (len(self.means) * np.log(2 * np.pi) + q) - half + self.extra
 
     def stats(self, cols, ws):
+        centre = self.centre(len(cols))
+        z = [self.shift(x, True) - float(c) for x, c in zip(cols, centre)]
         if self.covariance_type != "full":
-            return super().stats(cols, ws)
-        z = [self.shift(x, True) for x in cols]
+            return _moments(z, ws, ("xw", lambda x: x), ("xxw", lambda x: x * x))
         whole = z[0].isNotNull()
         for x in z[1:]:
             whole = whole & x.isNotNull()
@@ -417,9 +559,9 @@ class Normal(_Factored):
         return out | {f"c{i}_{j}": F.sum(w * z[i] * z[j]) for i in range(len(z)) for j in range(i, len(z))}
 
     def stats_np(self, X, W):
+        Z = self.shift(X, False) - self.centre(X.shape[1])
         if self.covariance_type != "full":
-            return super().stats_np(X, W)
-        Z = self.shift(X, False)
+            return _moments_np(Z, W, ("xw", lambda x: x), ("xxw", lambda x: x * x))
         ok = ~np.isnan(Z).any(1)
         Z, w = Z[ok], W[ok, 0]
         c = (Z * w[:, None]).T @ Z
@@ -428,7 +570,7 @@ class Normal(_Factored):
     def update(self, s):
         if self.covariance_type == "full":
             d = sum(1 for k in s if k.startswith("xw"))
-            w = s["w0"] or 0.0
+            w = s.get("w0") or 0.0
             mean = _ratio(_vec(s, "xw", d), w)
             cov = np.array([[_ratio(s[f"c{min(i, j)}_{max(i, j)}"] or 0.0, np.float64(w)) for j in range(d)] for i in range(d)]) - np.outer(mean, mean)
             cov = cov + np.diag(np.maximum(self.min_cov - np.diag(cov), 0))
@@ -439,7 +581,8 @@ class Normal(_Factored):
             cov = np.maximum(_ratio(_vec(s, "xxw", d), w) - mean**2, self.min_cov)
             if self.covariance_type == "sphere":
                 cov = np.full(d, cov.mean())
-        return self._updated(mean, cov)
+        own = self.centre(len(mean))
+        return replace(self, origin=None)._updated(mean + [s.get(f"at{j}", own[j]) for j in range(len(mean))], cov)
 
     def _updated(self, mean, cov):
         return replace(self, means=blend(self.means, mean, self.inertia), covs=blend(self.covs, cov, self.inertia))
@@ -456,8 +599,17 @@ class LogNormal(Normal):
     covariance_type: str = "diag"
     jacobian: bool = False
 
+    def about(self, centre):
+        return self  # logarithms are never large
+
+    def valid(self, x):
+        return x.isNull() | (x > 0)
+
     def shift(self, x, column):
-        return E.ln(x) if column else np.log(x)
+        if column:
+            return E.ln(x)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.log(x)
 
     def logp(self, cols):
         out = super().logp(cols)
@@ -486,7 +638,27 @@ class HalfNormal(Normal):
 
     @property
     def extra(self):
-        return math.log(2) * (1 if self.compat else len(self.means))
+        if self.compat:
+            return math.log(2)
+        return math.log(2) * len(self.means) if self.covariance_type == "full" else 0.0
+
+    def cell(self, x, j):
+        return super().cell(x, j) + (0.0 if self.compat else math.log(2))
+
+    def cells_np(self, X):
+        return super().cells_np(X) + (0.0 if self.compat else math.log(2))
+
+    def valid(self, x):
+        return x.isNull() | (x >= 0)
+
+    def logp(self, cols):
+        below = F.lit(False)
+        for x in cols:
+            below = below | F.coalesce(x < 0, F.lit(False))
+        return F.when(below, E.lit(-math.inf)).otherwise(super().logp(cols))
+
+    def logp_np(self, X):
+        return np.where((X < 0).any(1), -np.inf, super().logp_np(X))
 
     def _updated(self, mean, cov):
         zero = np.zeros_like(mean)
@@ -532,18 +704,27 @@ class Categorical(_Factored):
             object.__setattr__(self, "probs", check("probs", self.probs, 0, 1, 1))
             object.__setattr__(self, "n_categories", self.probs.shape[1])
 
+    def valid(self, x):
+        ok = x.isNull() | ((x >= 0) & (x == F.floor(x)))
+        return ok if self.n_categories is None else ok & (x.isNull() | (x < self.n_categories))
+
+    def n_stats(self, d):
+        return d * (self.n_categories or 1)
+
     def cell(self, x, j):
-        return E.look_up(safe_log(self.probs[j]).tolist(), x)
+        """Codes beyond the table are impossible: minus infinity."""
+        return E.look_up_code(safe_log(self.probs[j]).tolist(), [x], [self.n_categories])
 
     def cells_np(self, X):
-        i = np.where(np.isnan(X), 0, X).astype(int)
-        return np.stack([safe_log(self.probs[j])[i[:, j]] for j in range(X.shape[1])], 1)
+        inside = (X >= 0) & (X < self.n_categories) & (X == np.floor(X))
+        i = np.where(inside, X, 0).astype(int)
+        return np.where(inside, np.stack([safe_log(self.probs[j])[i[:, j]] for j in range(X.shape[1])], 1), -np.inf)
 
-    def summarize(self, df, cols, weight=None):
+    def summarize(self, df, cols, weight=None, check_data=True):
         if self.n_categories is None:
             top = df.agg(*[F.max(c) for c in cols]).first()
-            return replace(self, n_categories=int(max(v for v in top if v is not None)) + 1).summarize(df, cols, weight)
-        return super().summarize(df, cols, weight)
+            return replace(self, n_categories=int(max((v for v in top if v is not None), default=0)) + 1).summarize(df, cols, weight, check_data)
+        return super().summarize(df, cols, weight, check_data)
 
     def stats(self, cols, ws):
         return {f"n{j}_{k}": F.sum(F.when(x == k, w).otherwise(F.when(x.isNotNull(), 0.0))) for j, (x, w) in enumerate(zip(cols, ws)) for k in range(self.n_categories)}
@@ -564,12 +745,18 @@ class Categorical(_Factored):
 
 @dataclass(frozen=True)
 class JointCategorical(Distribution):
-    """One table over all columns; fitted by a grouped count, so only the combinations that occur are moved."""
+    """One table over all columns; summarized by a grouped count, so only the combinations that occur are moved.
+
+    Codes outside the table are impossible (minus infinity); rows with a missing cell score null and count for nothing.
+    A table of more than ``MOST`` cells raises ValueError instead of filling the driver.
+    """
 
     probs: np.ndarray | None = None
     n_categories: tuple | None = None
     pseudocount: float = 0.0
 
+    MOST = 1 << 24
+
     def __post_init__(self):
         if self.probs is not None:
             object.__setattr__(self, "probs", check("probs", self.probs, 0, 1))
@@ -577,28 +764,80 @@ class JointCategorical(Distribution):
                 raise ValueError("probs must sum to 1")
             object.__setattr__(self, "n_categories", self.probs.shape)
 
+    def _width(self):
+        return 1 if self.probs is None else self.probs.ndim
+
+    def valid(self, x):
+        return x.isNull() | ((x >= 0) & (x == F.floor(x)))
+
+    def n_stats(self, d):
+        return int(np.prod(self.n_categories)) if self.n_categories else 1
+
     def logp(self, cols):
-        at = cols[0].cast("int")
-        for k, x in zip(self.n_categories[1:], cols[1:]):
-            at = at * k + x.cast("int")
-        return E.look_up(safe_log(self.probs).ravel().tolist(), at)
+        return E.look_up_code(safe_log(self.probs).ravel().tolist(), cols, self.n_categories)
 
     def logp_np(self, X):
-        return safe_log(self.probs)[tuple(X.astype(int).T)]
-
-    def counts(self, df: DataFrame, cols: list[str], weight=None) -> np.ndarray:
+        """Rows with a missing cell are NaN."""
+        shape = np.array(self.n_categories)
+        inside = ((X >= 0) & (X < shape) & (X == np.floor(X))).all(1)
+        i = np.where(inside[:, None], X, 0).astype(int)
+        out = np.where(inside, safe_log(self.probs)[tuple(i.T)], -np.inf)
+        return np.where(np.isnan(X).any(1), np.nan, out)
+
+    def summarize(self, df, cols, weight=None, check_data=True):
         w = _weights(weight, 1)[0]
-        rows = df.dropna(subset=cols).groupBy(*cols).agg(F.sum(w).alias("n_")).collect()
-        shape = self.n_categories or tuple(int(max(r[c] for r in rows)) + 1 for c in cols)
-        out = np.zeros(shape)
+        whole = df.dropna(subset=cols)
+        ok = F.lit(True)
+        for j, c in enumerate(cols):
+            ok = ok & self.valid(F.col(c))
+            if self.n_categories is not None:
+                ok = ok & (F.col(c) < self.n_categories[j])
+        cells = whole.groupBy(*[F.when(ok, F.col(c).cast("int")).alias(f"k{j}_") for j, c in enumerate(cols)]).agg(F.sum(w).alias("n_"))
+        rows = cells.limit(self.MOST + 1).collect()
+        if len(rows) > self.MOST:
+            raise ValueError(f"more than {self.MOST} combinations")
+        out = {}
         for r in rows:
-            out[tuple(int(r[c]) for c in cols)] += r["n_"]
+            at = [r[f"k{j}_"] for j in range(len(cols))]
+            if None not in at:
+                out[_cell(at)] = float(r["n_"] or 0.0)
+            elif check_data:
+                raise ValueError("codes outside the table")
         return out
 
-    def fit(self, df, cols, weight=None):
-        if self.frozen:
-            return self
-        n = self.counts(df, cols, weight) + self.pseudocount
+    def stats(self, cols, ws):
+        """A sum a cell, for use under other weights; needs ``n_categories``."""
+        out = {}
+        for at in np.ndindex(*self.n_categories):
+            here = cols[0] == at[0]
+            for x, k in zip(cols[1:], at[1:]):
+                here = here & (x == k)
+            out[_cell(at)] = F.sum(F.when(here, ws[0]).otherwise(0.0))
+        return out
+
+    def stats_np(self, X, W):
+        shape = np.array(self.n_categories)
+        ok = ((X >= 0) & (X < shape)).all(1)
+        table = np.zeros(self.n_categories)
+        np.add.at(table, tuple(X[ok].astype(int).T), W[ok, 0])
+        return {_cell(at): float(v) for at, v in np.ndenumerate(table)}
+
+    def table(self, s: dict[str, float]) -> np.ndarray:
+        """Statistics as an array of counts."""
+        at = [tuple(map(int, k[1:].split("_"))) for k in s]
+        shape = self.n_categories or tuple(np.max(np.array(at), 0) + 1)
+        if np.prod([float(k) for k in shape]) > self.MOST:
+            raise ValueError(f"a table of more than {self.MOST} cells")
+        out = np.zeros(shape)
+        for i, v in zip(at, s.values()):
+            out[i] += v or 0.0
+        return out
+
+    def counts(self, df: DataFrame, cols: list[str], weight=None) -> np.ndarray:
+        return self.table(self.summarize(df, cols, weight))
+
+    def update(self, s):
+        n = self.table(s) + self.pseudocount
         return replace(self, probs=blend(self.probs, n / n.sum(), self.inertia))
 
     def draw(self, rng, n):
@@ -606,8 +845,19 @@ class JointCategorical(Distribution):
         return np.stack(np.unravel_index(flat, self.probs.shape), 1).astype(float)
 
 
+def _cell(at) -> str:
+    return "n" + "_".join(map(str, at))
+
+
+class ConditionalDistribution:
+    """Marks distributions of the last column given those before it; they have no marginal of their own."""
+
+    def marginal(self, dim: int):
+        raise NotImplementedError("a conditional distribution has no marginal without its parents'")
+
+
 @dataclass(frozen=True)
-class ConditionalCategorical(JointCategorical):
+class ConditionalCategorical(JointCategorical, ConditionalDistribution):
     """P(last column | the columns before it); parents that never occur give 1 / K."""
 
     def __post_init__(self):
@@ -615,8 +865,8 @@ class ConditionalCategorical(JointCategorical):
             object.__setattr__(self, "probs", check("probs", self.probs, 0, 1, 1))
             object.__setattr__(self, "n_categories", self.probs.shape)
 
-    def fit(self, df, cols, weight=None):
-        return self if self.frozen else self.from_counts(self.counts(df, cols, weight))
+    def update(self, s):
+        return self.from_counts(self.table(s))
 
     def from_counts(self, n):
         n = n + self.pseudocount
@@ -638,6 +888,26 @@ class IndependentComponents(Distribution):
         if len(self.distributions) < 2:
             raise ValueError("needs two distributions or more")
 
+    def _width(self):
+        return len(self.distributions)
+
+    def n_stats(self, d):
+        return sum(m.n_stats(1) for m in self.distributions)
+
+    def about(self, centre):
+        return replace(self, distributions=[m.about([c]) for m, c in zip(self.distributions, centre)])
+
+    def freeze(self):
+        return replace(self, frozen=True, distributions=[m.freeze() for m in self.distributions])
+
+    def unfreeze(self):
+        return replace(self, frozen=False, distributions=[m.unfreeze() for m in self.distributions])
+
+    def summarize(self, df, cols, weight=None, check_data=True):
+        """Each part's own statistics, so that codes are counted and Gaussians centred as by themselves."""
+        ws = list(weight) if isinstance(weight, (list, tuple)) else [weight] * len(cols)
+        return {_tag(k, f"p{j}"): v for j, m in enumerate(self.distributions) for k, v in m.summarize(df, [cols[j]], ws[j], check_data).items()}
+
     def logp(self, cols):
         return E.total([m.logp([x]) for m, x in zip(self.distributions, cols)])
 
@@ -677,30 +947,69 @@ class ZeroInflated(Distribution):
     max_iter: int = 100
     tol: float = 1e-4
 
+    def _width(self):
+        return 1 if self.priors is None else len(self.priors)
+
     def _parts(self, cols):
         for j, x in enumerate(cols):
             own = self.distribution.cell(x, j) + E.lit(safe_log(self.priors[j]))
             zero = F.when(x == 0, E.lit(safe_log(1 - self.priors[j]))).otherwise(E.lit(-math.inf))
-            yield x, F.array(own, zero)
+            yield x, [own, zero]
 
     def logp(self, cols):
-        return E.total([F.when(x.isNotNull(), E.logsumexp(a)) for x, a in self._parts(cols)])
-
-    def fit(self, df, cols, weight=None):
-        ws = _weights(weight, len(cols))
-        m = self
-        if m.priors is None:
-            child = m.distribution.fit(df, cols, weight)
-            m = replace(m, distribution=child, priors=np.full(len(cols), 0.5))
-        last = None
+        return E.total([F.when(x.isNotNull(), E.log_add(*e)) for x, e in self._parts(cols)])
+
+    def logp_np(self, X):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = self.distribution.cells_np(X) + safe_log(self.priors)
+            zero = np.where(X == 0, safe_log(1 - np.asarray(self.priors)), -np.inf)
+            both = logsumexp(np.stack([own, zero], 2), 2)
+        return np.where(np.isnan(X), 0.0, both).sum(1)
+
+    def stats(self, cols, ws):
+        """One expectation step: the child's statistics under the shares that are not inflation, and the priors' sums."""
+        r = [1 / (1 + F.exp(zero - own)) for _, (own, zero) in self._parts(cols)]
+        r = [F.when(x == 0, y).otherwise(1.0) for x, y in zip(cols, r)]
+        out = self.distribution.stats(cols, [w * y for w, y in zip(ws, r)])
+        for j, x in enumerate(cols):
+            out |= {f"r{j}": F.sum(F.when(x.isNotNull(), ws[j] * r[j])), f"t{j}": F.sum(F.when(x.isNotNull(), ws[j]))}
+        return out | {"objective": F.sum(self.logp(cols))}
+
+    def stats_np(self, X, W):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = self.distribution.cells_np(X) + safe_log(self.priors)
+            r = np.where(X == 0, 1 / (1 + np.exp(safe_log(1 - np.asarray(self.priors)) - own)), 1.0)
+        ok = ~np.isnan(X)
+        out = self.distribution.stats_np(X, W * r)
+        for j in range(X.shape[1]):
+            out |= {f"r{j}": (W * r)[ok[:, j], j].sum(), f"t{j}": W[ok[:, j], j].sum()}
+        return out | {"objective": self.logp_np(X).sum()}
+
+    def started(self, df, cols, weight=None) -> ZeroInflated:
+        """With a child fitted on everything and even priors, unless there are parameters."""
+        if self.priors is not None:
+            return self
+        return replace(self, distribution=self.distribution.fit(df, cols, weight), priors=np.full(len(cols), 0.5))
+
+    def summarize(self, df, cols, weight=None, check_data=True):
+        return self.started(df, cols, weight)._summarize(df, cols, weight, check_data)
+
+    def _summarize(self, df, cols, weight, check_data):
+        return super().summarize(df, cols, weight, check_data)
+
+    def update(self, s):
+        d = sum(1 for k in s if k[0] == "t" and k[1:].isdigit())
+        own = {k: v for k, v in s.items() if k != "objective" and not (k[0] in "rt" and k[1:].isdigit())}
+        share = [s[f"r{j}"] / s[f"t{j}"] if s[f"t{j}"] else self.priors[j] for j in range(d)]
+        return replace(self, distribution=self.distribution.from_summaries(own), priors=blend(self.priors, share, self.inertia))
+
+    def fit(self, df, cols, weight=None, check_data=True):
+        if self.frozen:
+            return self
+        m, last = self.started(df, cols, weight), None
         for _ in range(m.max_iter):
-            x = [F.col(c) for c in cols]
-            r = [E.softmax(a)[0] for _, a in m._parts(x)]
-            stats = {k: c for k, c in m.distribution.stats(x, [w * y for w, y in zip(ws, r)]).items()}
-            more = {f"r{j}": F.sum(F.when(x[j].isNotNull(), ws[j] * r[j])) for j in range(len(cols))} | {f"t{j}": F.sum(F.when(x[j].isNotNull(), ws[j])) for j in range(len(cols))}
-            row = df.agg(F.sum(m.logp(x)).alias("ll"), *[c.alias(k) for k, c in (stats | more).items()]).first().asDict()
-            if last is not None and row["ll"] - last < m.tol:
+            s = m._summarize(df, cols, weight, check_data)
+            if last is not None and s["objective"] - last < m.tol:
                 break
-            last = row["ll"]
-            m = replace(m, distribution=m.distribution.from_summaries({k: row[k] for k in stats}), priors=blend(m.priors, [row[f"r{j}"] / row[f"t{j}"] for j in range(len(cols))], m.inertia))
+            last, m = s["objective"], m.from_summaries(s)
         return m

@@ -1,16 +1,27 @@
-"""Mixtures, Bayes classifiers and k-means over the distributions of this package."""
+"""Mixtures, Bayes classifiers and k-means over the distributions of this package.
+
+Narrow models score and learn by column expressions: emissions, their maximum, their log-sum and the shares are projections
+one after the other, so a row costs as many steps as there are components.  Models of more than ``plans.arrow.WIDE`` terms go
+through an Arrow kernel with the same results.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..functions.special import logsumexp, safe_log
-from .distributions import Distribution, _weights, blend, check, tagged, untagged
+from ..plans import arrow
+from .distributions import Distribution, Stored, _weights, blend, check, merge, tagged, untagged
+
+
+def _column(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
 @dataclass(frozen=True)
@@ -30,32 +41,95 @@ class BayesMixin(Distribution):
     def k(self) -> int:
         return len(self.distributions)
 
+    def n_terms(self, d):
+        return sum(m.n_terms(d) for m in self.distributions)
+
+    def n_stats(self, d):
+        return sum(m.n_stats(d) + 1 for m in self.distributions)
+
     def _priors(self):
         return np.full(self.k, 1 / self.k) if self.priors is None else self.priors
 
-    def emissions(self, cols, prior=None):
-        """Array of log-probability and log-prior of each component."""
-        a = F.array(*[m.logp(cols) + E.lit(safe_log(p)) for m, p in zip(self.distributions, self._priors())])
-        return a if prior is None else F.zip_with(a, F.col(prior) if isinstance(prior, str) else prior, lambda x, p: x + E.ln(p))
+    def terms(self, cols, prior=None) -> list[Column]:
+        """Log-probability and log-prior of each component."""
+        out = [m.logp(cols) + E.lit(safe_log(p)) for m, p in zip(self.distributions, self._priors())]
+        return out if prior is None else [e + E.ln(_column(prior)[i]) for i, e in enumerate(out)]
+
+    def emissions(self, cols, prior=None) -> Column:
+        return F.array(*self.terms(cols, prior))
 
     def logp(self, cols, prior=None):
-        return E.logsumexp(self.emissions(cols, prior))
+        return E.log_add(*self.terms(cols, prior))
 
-    def logp_np(self, X):
-        return logsumexp(np.stack([m.logp_np(X) + safe_log(p) for m, p in zip(self.distributions, self._priors())], 1))
+    def emissions_np(self, X, P=None) -> np.ndarray:
+        e = np.stack([m.logp_np(X) + safe_log(p) for m, p in zip(self.distributions, self._priors())], 1)
+        return e if P is None else e + safe_log(P)
 
-    def _with(self, df, cols, f, prior, out):
-        return df.withColumn("e_", self.emissions([F.col(c) for c in cols], prior)).withColumn(out, f(F.col("e_"))).drop("e_")
+    def logp_np(self, X):
+        return logsumexp(self.emissions_np(X), 1)
+
+    def scored(self, df: DataFrame, cols, prior=None) -> DataFrame:
+        """Adds the log-probability ``l_`` and the components' log-posteriors ``p0_``, ``p1_``, ...; rows without a score have nulls."""
+        names = [f"p{i}_" for i in range(self.k)]
+        if self.n_terms(len(cols)) > arrow.WIDE:
+            return self._scored_wide(df, cols, prior).select("*", F.col("a_")[0].alias("l_"), *[F.col("a_")[i + 1].alias(n) for i, n in enumerate(names)]).drop("a_")
+        df = df.select("*", *[e.alias(f"e{i}_") for i, e in enumerate(self.terms([F.col(c) for c in cols], prior))])
+        e = [F.col(f"e{i}_") for i in range(self.k)]
+        whole = e[0].isNotNull()
+        for x in e[1:]:
+            whole = whole & x.isNotNull()
+        df = df.select("*", F.when(whole, F.greatest(*e)).alias("m_"))
+        total = F.exp(e[0] - F.col("m_"))
+        for x in e[1:]:
+            total = total + F.exp(x - F.col("m_"))
+        df = df.select("*", F.when(F.col("m_") == E.NEG_INF, F.col("m_")).otherwise(F.col("m_") + F.log(total)).alias("l_"))
+        return df.select("*", *[(x - F.col("l_")).alias(n) for x, n in zip(e, names)]).drop("m_", *[f"e{i}_" for i in range(self.k)])
+
+    def _scored_wide(self, df, cols, prior):
+        n, k, emissions = len(cols), self.k, self.emissions_np
+
+        @F.pandas_udf("array<double>")
+        def posterior(*s: pd.Series) -> pd.Series:
+            X = np.stack([x.to_numpy(float, na_value=np.nan) for x in s[:n]], 1)
+            P = np.stack([x.to_numpy(float, na_value=np.nan) for x in s[n:]], 1) if len(s) > n else None
+            e = emissions(X, P)
+            l = logsumexp(e, 1)
+            with np.errstate(invalid="ignore"):
+                a = np.hstack([l[:, None], e - l[:, None]])
+            ok = ~np.isnan(e).any(1)
+            return pd.Series([row if o else None for row, o in zip(a, ok)])
+
+        extra = [] if prior is None else [_column(prior)[i] for i in range(k)]
+        return df.withColumn("a_", posterior(*[F.col(c).cast("double") for c in cols], *extra))
+
+    def _finish(self, df, cols, prior, out, f) -> DataFrame:
+        names = [f"p{i}_" for i in range(self.k)]
+        return self.scored(df, cols, prior).withColumn(out, f([F.col(n) for n in names])).drop("l_", *names)
+
+    def log_probability(self, df, cols, prior=None, out="log_probability") -> DataFrame:
+        names = [f"p{i}_" for i in range(self.k)]
+        return self.scored(df, cols, prior).withColumn(out, F.col("l_")).drop("l_", *names)
+
+    def probability(self, df, cols, prior=None, out="probability") -> DataFrame:
+        return self.log_probability(df, cols, prior, out).withColumn(out, F.exp(out))
 
     def predict(self, df: DataFrame, cols, prior=None, out="prediction") -> DataFrame:
         """First component with the largest posterior."""
-        return self._with(df, cols, E.argmax, prior, out)
+
+        def first(p):
+            top = F.greatest(*p)
+            pick = F.when(p[0] == top, 0)
+            for i, x in enumerate(p[1:], 1):
+                pick = pick.when(x == top, i)
+            return F.when(top.isNotNull(), pick).cast("int")
+
+        return self._finish(df, cols, prior, out, first)
 
     def predict_proba(self, df: DataFrame, cols, prior=None, out="probabilities") -> DataFrame:
-        return self._with(df, cols, E.softmax, prior, out)
+        return self._finish(df, cols, prior, out, lambda p: F.when(p[0].isNotNull(), F.array(*[F.exp(x) for x in p])))
 
     def predict_log_proba(self, df: DataFrame, cols, prior=None, out="log_probabilities") -> DataFrame:
-        return self._with(df, cols, lambda a: F.transform(a, lambda x: x - E.logsumexp(a)), prior, out)
+        return self._finish(df, cols, prior, out, lambda p: F.when(p[0].isNotNull(), F.array(*p)))
 
     def _component_stats(self, cols, ws, resp):
         out = {}
@@ -64,11 +138,25 @@ class BayesMixin(Distribution):
             out[f"mass{i}"] = F.sum(sum((w * resp[i] for w in ws[1:]), ws[0] * resp[i]) / len(ws))
         return out
 
-    def _updated(self, row):
-        mass = np.array([row[f"mass{i}"] or 0.0 for i in range(self.k)])
+    def _component_stats_np(self, X, W, R) -> dict[str, float]:
+        out = {}
+        for i, m in enumerate(self.distributions):
+            w = W * R[:, i : i + 1]
+            out |= {tagged(k, f"c{i}"): v for k, v in m.stats_np(X, w).items()}
+            out[f"mass{i}"] = w.mean(1).sum()
+        return out
+
+    def update(self, row):
+        mass = np.array([row.get(f"mass{i}") or 0.0 for i in range(self.k)])
         new = [m.from_summaries(untagged(row, f"c{i}")) if mass[i] > 0 else m for i, m in enumerate(self.distributions)]
         return replace(self, distributions=new, priors=blend(self.priors, mass / mass.sum(), self.inertia))
 
+    def freeze(self):
+        return replace(self, frozen=True, distributions=[m.freeze() for m in self.distributions])
+
+    def unfreeze(self):
+        return replace(self, frozen=False, distributions=[m.unfreeze() for m in self.distributions])
+
 
 @dataclass(frozen=True)
 class GeneralMixtureModel(BayesMixin):
@@ -77,33 +165,54 @@ class GeneralMixtureModel(BayesMixin):
     max_iter: int = 1000
     tol: float = 0.1
 
-    def initialize(self, df: DataFrame, cols, weight=None, order: str | None = None) -> GeneralMixtureModel:
+    def initialize(self, df: DataFrame, cols, weight=None, order=None) -> GeneralMixtureModel:
         km = KMeans(k=self.k, max_iter=3).fit(df, cols, weight, order)
-        x = [F.col(c) for c in cols]
-        at = F.col("cluster_")
+        middle = [m.about(c) for m, c in zip(self.distributions, km.centroids)]
+        at, ws = F.col("cluster_"), _weights(weight, len(cols))
+        m = replace(self, distributions=middle)
+        labelled = km.predict(df, cols, "cluster_")
+        if self.n_stats(len(cols)) > arrow.WIDE:
+            k = self.k
+            row = arrow.summed(labelled, cols, ws, lambda X, W, y: m._component_stats_np(X, W, np.eye(k)[y[:, 0].astype(int)]), [at])
+        else:
+            x = [F.col(c) for c in cols]
+            row = labelled.agg(*[c.alias(n) for n, c in m._component_stats(x, ws, [F.when(at == i, 1.0).otherwise(0.0) for i in range(self.k)]).items()]).first().asDict()
+        return replace(m.update(row), inertia=self.inertia)
+
+    def ready(self) -> bool:
+        """Whether all components have parameters."""
+        return all(m.known() for m in self.distributions)
+
+    def summarize(self, df: DataFrame, cols, weight=None, check_data: bool = False, prior=None) -> dict[str, float]:
+        """Statistics of one expectation step: each component's under its responsibilities, their masses, and the unweighted log-likelihood.
+
+        Those of batches are additive, so that from_summaries() of several gives the step on all of them.
+        """
         ws = _weights(weight, len(cols))
-        row = km.predict(df, cols, "cluster_").agg(*[c.alias(k) for k, c in self._component_stats(x, ws, [F.when(at == i, 1.0).otherwise(0.0) for i in range(self.k)]).items()]).first().asDict()
-        return self._updated(row)
+        if self.n_stats(len(cols)) > arrow.WIDE:
+
+            def kernel(X, W, P=None):
+                e = self.emissions_np(X, P)
+                ok = ~np.isnan(e).any(1)
+                X, W, e = X[ok], W[ok], e[ok]
+                l = logsumexp(e, 1)
+                r = np.where(np.isfinite(l)[:, None], np.exp(e - np.where(np.isfinite(l), l, 0.0)[:, None]), 0.0)
+                return self._component_stats_np(X, W, r) | {"objective": l.sum()}
 
-    def step(self, cols, weight=None, prior=None):
-        """Aggregates of one E-step: statistics of each component under its responsibilities and the unweighted log-likelihood."""
-        x, ws = [F.col(c) for c in cols], _weights(weight, len(cols))
-        r = F.col("r_")
-        return self._component_stats(x, ws, [r[i] for i in range(self.k)])
+            return arrow.summed(df, cols, ws, kernel, [] if prior is None else [_column(prior)[i] for i in range(self.k)])
+        r = [F.when(F.col("l_") > E.NEG_INF, F.exp(F.col(f"p{i}_"))).otherwise(0.0) for i in range(self.k)]
+        stats = self._component_stats([F.col(c) for c in cols], ws, r)
+        return self.scored(df, cols, prior).agg(F.sum("l_").alias("objective"), *[c.alias(k) for k, c in stats.items()]).first().asDict()
 
     def one_step(self, df, cols, weight=None, prior=None):
-        x = [F.col(c) for c in cols]
-        e = df.withColumn("e_", self.emissions(x, prior)).withColumn("r_", E.softmax(F.col("e_")))
-        row = e.agg(F.sum(E.logsumexp(F.col("e_"))).alias("objective"), *[c.alias(k) for k, c in self.step(cols, weight, prior).items()]).first().asDict()
-        return row, self._updated(row)
-
-    def fit(self, df: DataFrame, cols, weight=None, prior=None, order: str | None = None) -> GeneralMixtureModel:
-        m = self
-        try:
-            m.emissions([F.col(c) for c in cols])
-        except TypeError:  # components without parameters
-            m = m.initialize(df, cols, weight, order)
+        row = self.summarize(df, cols, weight, prior=prior)
+        return row, self.from_summaries(row)
+
+    def fit(self, df: DataFrame, cols, weight=None, prior=None, order=None) -> GeneralMixtureModel:
+        if self.frozen:
+            return self
         df = df.cache()
+        m = self if self.ready() else self.initialize(df, cols, weight, order)
         last = None
         for _ in range(self.max_iter):
             row, new = m.one_step(df, cols, weight, prior)
@@ -122,20 +231,49 @@ class GeneralMixtureModel(BayesMixin):
 class BayesClassifier(BayesMixin):
     """One distribution a class; fitting is one aggregation over all classes."""
 
-    def fit(self, df: DataFrame, cols, label: str, weight=None) -> BayesClassifier:
-        x, ws, y = [F.col(c) for c in cols], _weights(weight, len(cols)), F.col(label)
+    def summarize(self, df: DataFrame, cols, label: str, weight=None) -> dict[str, float]:
+        """Additive statistics of each class, from the rows labelled with it; rows without a label count for nothing."""
+        ws, y = _weights(weight, len(cols)), F.col(label)
+        if self.n_stats(len(cols)) > arrow.WIDE:
+
+            def kernel(X, W, Y):
+                out = {}
+                for i, m in enumerate(self.distributions):
+                    mine = Y[:, 0] == i
+                    out |= {tagged(k, f"c{i}"): v for k, v in m.stats_np(X[mine], W[mine]).items()}
+                    out[f"mass{i}"] = W[mine].mean(1).sum() if mine.any() else 0.0
+                return out
+
+            return arrow.summed(df, cols, ws, kernel, [y])
+        x, out = [F.col(c) for c in cols], {}
         # other classes' cells become missing, so that minima and maxima are of the class alone
-        out = {}
         for i, m in enumerate(self.distributions):
             mine = [F.when(y == i, c) for c in x]
             out |= {tagged(k, f"c{i}"): c for k, c in m.stats(mine, ws).items()}
             out[f"mass{i}"] = F.sum(F.when(y == i, sum(ws[1:], ws[0]) / len(ws)))
-        return self._updated(df.agg(*[c.alias(k) for k, c in out.items()]).first().asDict())
+        return df.agg(*[c.alias(k) for k, c in out.items()]).first().asDict()
+
+    def centred(self, df: DataFrame, cols) -> BayesClassifier:
+        """Components without parameters sum about the columns' averages, so that values far from zero lose no digits."""
+        if all(m.known() for m in self.distributions):
+            return self
+        first = df.agg(*[F.avg(c).alias(f"a{j}") for j, c in enumerate(cols)]).first()
+        middle = np.array([v or 0.0 for v in first], float)
+        return replace(self, distributions=[m.about(middle) for m in self.distributions])
+
+    def fit(self, df: DataFrame, cols, label: str, weight=None) -> BayesClassifier:
+        if self.frozen:
+            return self
+        m = self.centred(df, cols)
+        return m.from_summaries(m.summarize(df, cols, label, weight))
 
 
 @dataclass(frozen=True)
-class KMeans:
-    """Lloyd's algorithm; distances are root mean squares over the cells that are there."""
+class KMeans(Stored):
+    """Lloyd's algorithm; distances are root mean squares over the cells that are there.
+
+    The submodular starts choose greedily among ``sample`` random rows, the only thing here that does not see all of them.
+    """
 
     k: int | None = None
     centroids: np.ndarray | None = None
@@ -144,6 +282,8 @@ class KMeans:
     tol: float = 0.1
     seed: int = 0
     inertia: float = 0.0
+    frozen: bool = False
+    sample: int = 2000
 
     def __post_init__(self):
         if self.k is None and self.centroids is None:
@@ -154,7 +294,14 @@ class KMeans:
         if self.k < 2:
             raise ValueError("k must be 2 or more")
 
-    def _started(self, df, cols, order=None) -> KMeans:
+    def freeze(self):
+        return replace(self, frozen=True)
+
+    def unfreeze(self):
+        return replace(self, frozen=False)
+
+    def initialize(self, df, cols, order=None) -> KMeans:
+        """Starting centroids; ``order`` is a column or a list of columns that makes the first rows well defined."""
         if self.centroids is not None:
             return self
         whole = df.dropna(subset=cols)
@@ -166,11 +313,14 @@ class KMeans:
             return replace(self, centroids=self._spread(whole.select(*cols)))
         else:
             raise ValueError("unknown init")
-        return replace(self, centroids=np.array([[float(r[c]) for c in cols] for r in rows.collect()]))
-
-    def _spread(self, rows, bound: int = 2000) -> np.ndarray:
-        """Greedy submodular choice over a sample of at most ``bound`` rows."""
-        x = np.array(rows.orderBy(F.rand(self.seed)).limit(bound).collect(), float)
+        got = np.array([[float(r[c]) for c in cols] for r in rows.collect()])
+        if len(got) < self.k:
+            raise ValueError("fewer complete rows than clusters")
+        return replace(self, centroids=got)
+
+    def _spread(self, rows) -> np.ndarray:
+        """Greedy submodular choice over a sample of at most ``sample`` rows."""
+        x = np.array(rows.orderBy(F.rand(self.seed)).limit(self.sample).collect(), float)
         chosen: list[int] = []
         if self.init == "submodular-facility-location":
             d = ((x[:, None] - x[None]) ** 2).sum(2)
@@ -189,7 +339,29 @@ class KMeans:
                 total += y[chosen[-1]]
         return x[chosen]
 
+    def _wide(self, d: int) -> bool:
+        return self.k * d > arrow.WIDE
+
+    def distances_np(self, X) -> np.ndarray:
+        ok = ~np.isnan(X)
+        Z, n = np.where(ok, X, 0.0), ok.sum(1)
+        out = np.empty((len(X), self.k))
+        for i, c in enumerate(self.centroids):
+            out[:, i] = (np.where(ok, Z - c, 0.0) ** 2).sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.sqrt(out / np.where(n > 0, n, np.nan)[:, None])
+
     def distances(self, cols):
+        if self._wide(len(cols)):
+            kernel = self.distances_np
+
+            @F.pandas_udf("array<double>")
+            def far(*s: pd.Series) -> pd.Series:
+                d = kernel(np.stack([x.to_numpy(float, na_value=np.nan) for x in s], 1))
+                return pd.Series([None if np.isnan(r[0]) else r for r in d])
+
+            return far(*[c.cast("double") for c in cols])
+
         def one(c):
             n = sum((F.when(x.isNotNull(), 1).otherwise(0) for x in cols[1:]), F.when(cols[0].isNotNull(), 1).otherwise(0))
             return F.sqrt(E.total([(x - float(v)) * (x - float(v)) for x, v in zip(cols, c)]) / F.when(n > 0, n))
@@ -197,26 +369,60 @@ class KMeans:
         return F.array(*[one(c) for c in self.centroids])
 
     def predict(self, df: DataFrame, cols, out="prediction") -> DataFrame:
-        return df.withColumn("d_", self.distances([F.col(c) for c in cols])).withColumn(out, E.argmin(F.col("d_"))).drop("d_")
+        """Nearest cluster, the first of equals; rows without any value have none."""
+        near = F.col("d_")
+        return df.withColumn("d_", self.distances([F.col(c) for c in cols])).withColumn(out, F.when(near[0].isNotNull(), E.argmin(near))).drop("d_")
 
     def transform(self, df: DataFrame, cols, out="distances") -> DataFrame:
         return df.withColumn(out, self.distances([F.col(c) for c in cols]))
 
-    def one_step(self, df, cols, weight=None):
+    def summarize(self, df, cols, weight=None) -> dict[str, float]:
+        """Additive statistics: weights and weighted sums of each cluster and column, and the unweighted sum of distances."""
         ws = _weights(weight, len(cols))
+        if self._wide(len(cols)):
+
+            def kernel(X, W):
+                d = self.distances_np(X)
+                ok = ~np.isnan(d[:, 0])
+                X, W, d = X[ok], W[ok], d[ok]
+                at, seen = d.argmin(1), ~np.isnan(X)
+                out = {"objective": d.min(1).sum()} if len(d) else {}
+                for i in np.unique(at):
+                    mine = at == i
+                    w = np.where(seen[mine], W[mine], 0.0).sum(0)
+                    x = np.nansum(W[mine] * X[mine], 0)
+                    out |= {f"w{i}_{j}": w[j] for j in range(len(w))} | {f"xw{i}_{j}": x[j] for j in range(len(w))}
+                return out
+
+            return arrow.summed(df, cols, ws, kernel)
         e = df.withColumn("d_", self.distances([F.col(c) for c in cols])).withColumn("at_", E.argmin(F.col("d_")))
         aggs = [f for j, c in enumerate(cols) for f in (F.sum(F.when(F.col(c).isNotNull(), ws[j])).alias(f"w{j}"), F.sum(ws[j] * F.col(c)).alias(f"x{j}"))]
-        rows = e.groupBy("at_").agg(F.sum(F.array_min("d_")).alias("total"), *aggs).collect()
-        new = self.centroids.copy()  # an empty cluster keeps its centroid
-        for r in rows:
+        out = {"objective": 0.0}
+        for r in e.groupBy("at_").agg(F.sum(F.array_min("d_")).alias("total"), *aggs).collect():
             if r["at_"] is not None and 0 <= r["at_"] < self.k:
+                out["objective"] += r["total"] or 0.0
                 for j in range(len(cols)):
-                    if r[f"w{j}"]:
-                        new[r["at_"], j] = r[f"x{j}"] / r[f"w{j}"]
-        return sum(r["total"] or 0.0 for r in rows), replace(self, centroids=blend(self.centroids, new, self.inertia))
+                    out[f"w{r['at_']}_{j}"], out[f"xw{r['at_']}_{j}"] = r[f"w{j}"] or 0.0, r[f"x{j}"] or 0.0
+        return out
+
+    def from_summaries(self, *stats: dict[str, float]) -> KMeans:
+        """Centroids from the merged statistics of any number of batches; an empty cluster keeps its own."""
+        if self.frozen or self.inertia == 1:
+            return self
+        s, new = merge(*stats), self.centroids.copy()
+        for i, j in np.ndindex(*new.shape):
+            if s.get(f"w{i}_{j}"):
+                new[i, j] = s[f"xw{i}_{j}"] / s[f"w{i}_{j}"]
+        return replace(self, centroids=blend(self.centroids, new, self.inertia))
+
+    def one_step(self, df, cols, weight=None):
+        s = self.summarize(df, cols, weight)
+        return s["objective"], self.from_summaries(s)
 
-    def fit(self, df: DataFrame, cols, weight=None, order: str | None = None) -> KMeans:
-        m, last = self._started(df, cols, order), None
+    def fit(self, df: DataFrame, cols, weight=None, order=None) -> KMeans:
+        m, last = self.initialize(df, cols, order), None
+        if self.frozen:
+            return m
         df = df.cache()
         for _ in range(self.max_iter):
             total, new = m.one_step(df, cols, weight)

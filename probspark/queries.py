@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import distributions as D
+from .operators.distributions import from_dict
 from .operators.graph import BayesianNetwork, FactorGraph, chow_liu, mutual_information
 from .operators.mixture import BayesClassifier, GeneralMixtureModel, KMeans
 from .operators.sequence import DenseHMM, MarkovChain, SparseHMM
-from .sources.samples import sample, sample_sequences
+from .sources.samples import sample, sample_chains, sample_columns, sample_given, sample_sequences
+from .streaming.incremental import Incremental
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -186,13 +188,6 @@ def independent_components_logp(spark, sf):
     return m.log_probability(df, cols, "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
 
 
-@query()
-def zero_inflated_fit(spark, sf):
-    df = lineitem(spark, sf).select(F.when(F.col("l_tax") < 0.02, 0.0).otherwise(F.col("l_quantity")).alias("x"))
-    m = D.ZeroInflated(distribution=D.Poisson(), max_iter=20).fit(df, ["x"])
-    return params(spark, rate=m.distribution.lambdas, prior=m.priors)
-
-
 _MIX = "(SELECT event_id, value, ln(0.3)-ln(10.0)-value/10.0 AS e0, ln(0.7)-ln(60.0)-value/60.0 AS e1 FROM events)"
 
 
@@ -203,7 +198,7 @@ def _mix():
 @query(f"""SELECT event_id, round(greatest(e0,e1)+ln(exp(e0-greatest(e0,e1))+exp(e1-greatest(e0,e1))),6) AS lp, CASE WHEN e0 >= e1 THEN 0 ELSE 1 END AS k, round(1/(1+exp(e1-e0)),6) AS p0 FROM {_MIX}""")
 def mixture_score(spark, sf):
     m, df = _mix(), table(spark, sf, "events").select("event_id", "value")
-    df = m.predict_proba(m.predict(m.log_probability(df, ["value"], "lp"), ["value"], out="k"), ["value"], out="p")
+    df = m.predict_proba(m.predict(m.log_probability(df, ["value"], out="lp"), ["value"], out="k"), ["value"], out="p")
     return df.select("event_id", rounded(F.col("lp")).alias("lp"), "k", rounded(F.col("p")[0]).alias("p0"))
 
 
@@ -213,13 +208,6 @@ def mixture_step(spark, sf):
     return spark.createDataFrame([(i, round(float(d.scales[0]), 5), round(float(p), 6)) for i, (d, p) in enumerate(zip(m.distributions, m.priors))], "component int, scale double, prior double")
 
 
-@query()
-def mixture_fit(spark, sf):
-    df = table(spark, sf, "events").withColumn("lv", F.log("value"))
-    m = GeneralMixtureModel(distributions=[D.Normal(covariance_type="diag")] * 2, max_iter=10, tol=0.01).fit(df, ["lv"], order="event_id")
-    return m.predict(df, ["lv"], out="k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH d AS (SELECT l_quantity x, l_discount*100 y, sqrt(((l_quantity-10)*(l_quantity-10)+(l_discount*100-2)*(l_discount*100-2))/2) d0, sqrt(((l_quantity-40)*(l_quantity-40)+(l_discount*100-8)*(l_discount*100-8))/2) d1 FROM lineitem)
 SELECT CASE WHEN d0 <= d1 THEN 0 ELSE 1 END AS cluster, round(avg(x),6) AS x, round(avg(y),6) AS y FROM d GROUP BY 1""")
 def kmeans_step(spark, sf):
@@ -228,13 +216,6 @@ def kmeans_step(spark, sf):
     return spark.createDataFrame([(k, *[round(float(v), 6) for v in c]) for k, c in enumerate(m.centroids)], "cluster int, x double, y double")
 
 
-@query()
-def kmeans_fit(spark, sf):
-    df, cols = table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"]
-    m = KMeans(k=3, max_iter=5).fit(df, cols, order="c_custkey")
-    return m.predict(df, cols, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH p AS (SELECT l_linestatus s, avg(l_quantity) m, var_pop(l_quantity) v, count(*) n FROM lineitem GROUP BY 1), e AS (SELECT l_orderkey, l_linenumber, ln(a.n/(a.n+b.n))-0.5*ln(2*pi()*a.v)-(l_quantity-a.m)*(l_quantity-a.m)/(2*a.v) AS e0, ln(b.n/(a.n+b.n))-0.5*ln(2*pi()*b.v)-(l_quantity-b.m)*(l_quantity-b.m)/(2*b.v) AS e1 FROM lineitem, p a, p b WHERE a.s = 'F' AND b.s = 'O')
 SELECT l_orderkey, l_linenumber, round(1/(1+exp(e1-e0)),6) AS p0 FROM e""")
 def bayes_classifier_proba(spark, sf):
@@ -285,22 +266,6 @@ def hmm_sparse_logp(spark, sf):
     return _hmm(SparseHMM, edges=None, edge_list=tuple(e)).log_probability(table(spark, sf, "events"), "user_id", "event_id", ["value"], "lp").select("user_id", rounded(F.col("lp"), 5).alias("lp"))
 
 
-@query()
-def hmm_viterbi(spark, sf):
-    return _hmm().viterbi(table(spark, sf, "events"), "user_id", "event_id", ["value"])
-
-
-@query()
-def hmm_posterior(spark, sf):
-    return _hmm().predict(table(spark, sf, "events"), "user_id", "event_id", ["value"])
-
-
-@query()
-def hmm_fit(spark, sf):
-    m = _hmm(max_iter=3).fit(table(spark, sf, "events"), "user_id", "event_id", ["value"])
-    return spark.createDataFrame([(i, round(float(d.scales[0]), 3)) for i, d in enumerate(m.distributions)], "state int, scale double")
-
-
 @query(f"""WITH x AS {CODES}, nab AS (SELECT a, b, count(*) n FROM x GROUP BY 1, 2), na AS (SELECT a, count(*) n FROM x GROUP BY 1), nac AS (SELECT a, c, count(*) n FROM x GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, round(ln(na.n/(SELECT sum(n) FROM na))+ln(nab.n/na.n)+ln(nac.n/na.n),6) AS lp FROM x JOIN na USING (a) JOIN nab USING (a, b) JOIN nac USING (a, c)""")
 def bayesian_network_logp(spark, sf):
@@ -329,18 +294,6 @@ def mutual_information_pairs(spark, sf):
     return spark.createDataFrame([(n, round(float(-s[i, j]), 3)) for n, i, j in (("ab", 0, 1), ("ac", 0, 2), ("bc", 1, 2))], "pair string, mi double")
 
 
-@query()
-def chow_liu_structure(spark, sf):
-    t = chow_liu(mutual_information(codes(spark, sf), ["a", "b", "c"], {"a": 3, "b": 2, "c": 2}))
-    return spark.createDataFrame([(i, ",".join(map(str, p))) for i, p in enumerate(t)], "node int, parents string")
-
-
-@query()
-def exact_structure(spark, sf):
-    m = BayesianNetwork(algorithm="exact").fit(codes(spark, sf), ["a", "b", "c"])
-    return spark.createDataFrame([(i, ",".join(map(str, p))) for i, p in enumerate(m.structure)], "node int, parents string")
-
-
 @query(f"""WITH x AS {CODES}, n AS (SELECT a, b, count(*) s FROM x GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, round(ln(s/(SELECT sum(s) FROM n))+ln(1.0/3)+ln(0.5),6) AS lp FROM x JOIN n USING (a, b)""")
 def factor_graph_logp(spark, sf):
     df, g = codes(spark, sf), FactorGraph()
@@ -368,3 +321,431 @@ def sample_rows(spark, sf):
 @query()
 def sample_hmm(spark, sf):
     return sample_sequences(spark, _hmm(), 200, 10, ["x"])
+
+
+# ---- iterative fits: their steps unrolled in SQL, parameters compared ----
+
+
+def chain(first: str, step, n: int, last: str) -> str:
+    """p0 AS (first), p1 AS (step(p0)), ..., and the last select over the n-th."""
+    return "WITH " + ", ".join([f"p0 AS ({first})", *[f"p{i} AS ({step(f'p{i - 1}')})" for i in range(1, n + 1)]]) + " " + last.replace("{p}", f"p{n}")
+
+
+EVER = float("-inf")  # a tolerance under which a fit runs for all its rounds
+_ZI = "(SELECT CASE WHEN l_tax < 0.02 THEN 0.0 ELSE l_quantity END AS x FROM lineitem)"
+
+
+@query(
+    chain(
+        f"SELECT avg(x) AS m, 0.5::DOUBLE AS q FROM {_ZI}",
+        lambda p: f"SELECT sum(r*x)/sum(r) AS m, avg(r) AS q FROM (SELECT x, CASE WHEN x = 0 THEN q*exp(-m)/(q*exp(-m)+1-q) ELSE 1.0 END AS r FROM {_ZI}, {p})",
+        4,
+        "SELECT 0 AS feature, round(m,5) AS rate, round(q,5) AS prior FROM {p}",
+    )
+)
+def zero_inflated_fit(spark, sf):
+    df = lineitem(spark, sf).select(F.when(F.col("l_tax") < 0.02, 0.0).otherwise(F.col("l_quantity")).alias("x"))
+    m = D.ZeroInflated(distribution=D.Poisson(), max_iter=4, tol=EVER).fit(df, ["x"])
+    return spark.createDataFrame([(0, round(float(m.distribution.lambdas[0]), 5), round(float(m.priors[0]), 5))], "feature int, rate double, prior double")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, round(CASE WHEN x = 0 THEN ln(0.8*exp(-20.0)+0.2) ELSE ln(0.8)+x*ln(20.0)-20-lgamma(x+1) END,6) AS lp FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_tax < 0.02 THEN 0.0 ELSE l_quantity END AS x FROM lineitem)""")
+def zero_inflated_logp(spark, sf):
+    df = lineitem(spark, sf).select("l_orderkey", "l_linenumber", F.when(F.col("l_tax") < 0.02, 0.0).otherwise(F.col("l_quantity")).alias("x"))
+    m = D.ZeroInflated(distribution=D.Poisson(lambdas=[20.0]), priors=np.array([0.8]))
+    return m.log_probability(df, ["x"], "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+def _lloyd(x: str, cols: list[str], k: int):
+    """One step of Lloyd's algorithm over the sub-select x, from a table (c, cols...) of centroids."""
+
+    def step(p):
+        d = "sqrt((" + "+".join(f"(x.{c}-q.{c})*(x.{c}-q.{c})" for c in cols) + f")/{len(cols)})"
+        means = ", ".join(f"avg(x.{c}) AS {c}" for c in cols)
+        return f"SELECT c, {means} FROM (SELECT x.*, q.c, row_number() OVER (PARTITION BY x.id ORDER BY {d}, q.c) AS n FROM {x} x, {p} q) x WHERE n = 1 GROUP BY c"
+
+    return step
+
+
+_CUST = "(SELECT c_custkey AS id, c_acctbal AS x, c_nationkey::DOUBLE AS y FROM customer)"
+
+
+@query(chain(f"SELECT row_number() OVER (ORDER BY id) - 1 AS c, x, y FROM (SELECT * FROM {_CUST} ORDER BY id LIMIT 3)", _lloyd(_CUST, ["x", "y"], 3), 5, "SELECT c::INT AS cluster, round(x,4) AS x, round(y,4) AS y FROM {p}"))
+def kmeans_fit(spark, sf):
+    m = KMeans(k=3, max_iter=5, tol=EVER).fit(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], order="c_custkey")
+    return spark.createDataFrame([(k, *[round(float(v), 4) for v in c]) for k, c in enumerate(m.centroids)], "cluster int, x double, y double")
+
+
+_LOGS = "(SELECT event_id AS id, ln(value) AS x FROM events)"
+
+
+def _em(p: str) -> str:
+    e = "ln(q.p)-0.5*ln(2*pi()*q.v)-(x.x-q.m)*(x.x-q.m)/(2*q.v)"
+    return f"""SELECT c, sum(r*x)/sum(r) AS m, sum(r*x*x)/sum(r)-(sum(r*x)/sum(r))*(sum(r*x)/sum(r)) AS v, sum(r)/(SELECT count(*) FROM {_LOGS}) AS p
+FROM (SELECT x.x, q.c, exp({e})/sum(exp({e})) OVER (PARTITION BY x.id) AS r FROM {_LOGS} x, {p} q) GROUP BY c"""
+
+
+_STARTED = (
+    f"WITH k0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, x FROM (SELECT * FROM {_LOGS} ORDER BY id LIMIT 2)), "
+    + ", ".join(f"k{i} AS ({_lloyd(_LOGS, ['x'], 2)(f'k{i - 1}')})" for i in (1, 2, 3))
+    + f" SELECT c, avg(x) AS m, var_pop(x) AS v, count(*)/(SELECT count(*) FROM {_LOGS}) AS p FROM (SELECT x.x, q.c, row_number() OVER (PARTITION BY x.id ORDER BY abs(x.x-q.x), q.c) AS n FROM {_LOGS} x, k3 q) WHERE n = 1 GROUP BY c"
+)
+
+
+@query(chain(_STARTED, _em, 3, "SELECT c::INT AS component, round(m,4) AS mean, round(v,4) AS var, round(p,4) AS prior FROM {p}"))
+def mixture_fit(spark, sf):
+    """Started from three rounds of k-means, then three rounds of EM."""
+    df = table(spark, sf, "events").withColumn("lv", F.log("value"))
+    m = GeneralMixtureModel(distributions=[D.Normal(covariance_type="diag")] * 2, max_iter=3, tol=EVER).fit(df, ["lv"], order="event_id")
+    return _gaussians(spark, m)
+
+
+def _gaussians(spark, m):
+    return spark.createDataFrame([(i, *[round(float(v), 4) for v in (d.means[0], d.covs[0], p)]) for i, (d, p) in enumerate(zip(m.distributions, m.priors))], "component int, mean double, var double, prior double")
+
+
+_TWO = "SELECT 0 AS c, 1.0::DOUBLE AS m, 0.5::DOUBLE AS v, 0.4::DOUBLE AS p UNION ALL SELECT 1, 3.5, 1.0, 0.6"
+
+
+def _two(**kw):
+    return GeneralMixtureModel(distributions=[D.Normal([1.0], [0.5], "diag"), D.Normal([3.5], [1.0], "diag")], priors=[0.4, 0.6], **kw)
+
+
+@query(chain(_TWO, _em, 1, "SELECT c::INT AS component, round(m,4) AS mean, round(v,4) AS var, round(p,4) AS prior FROM {p}"))
+def mixture_batches(spark, sf):
+    """summarize() of two halves, from_summaries() of both."""
+    df = table(spark, sf, "events").withColumn("lv", F.log("value"))
+    m = _two()
+    return _gaussians(spark, m.from_summaries(*[m.summarize(df.where(F.col("event_id") % 2 == k), ["lv"]) for k in (0, 1)]))
+
+
+@query(chain(_TWO, _em, 2, "SELECT c::INT AS component, round(m,4) AS mean, round(v,4) AS var, round(p,4) AS prior FROM {p}"))
+def mixture_incremental(spark, sf):
+    """Two passes over micro-batches, as a stream feeds them, one of them sent twice."""
+    df, inc = table(spark, sf, "events").withColumn("lv", F.log("value")), Incremental(_two(), ["lv"])
+    for _ in range(2):
+        for k in (0, 1, 1, 2):
+            inc(df.where(F.col("event_id") % 3 == k), k)
+        inc.advance()
+    return _gaussians(spark, inc.start)
+
+
+@query(f"""SELECT event_id, round(ln(0.2*exp(e0)+0.8*exp(e1)),6) AS lp, round(0.2*exp(e0)+0.8*exp(e1),8) AS p, round(ln(0.2)+e0-ln(0.2*exp(e0)+0.8*exp(e1)),6) AS lp0 FROM {_MIX}""")
+def mixture_prior_score(spark, sf):
+    """Scores under a prior of each row's own."""
+    m, df = _mix(), table(spark, sf, "events").select("event_id", "value", F.array(F.lit(0.2), F.lit(0.8)).alias("prior"))
+    df = m.predict_log_proba(m.probability(m.log_probability(df, ["value"], "prior", "lp"), ["value"], "prior", "p"), ["value"], "prior", "l")
+    return df.select("event_id", rounded(F.col("lp")).alias("lp"), rounded(F.col("p"), 8).alias("p"), rounded(F.col("l")[0]).alias("lp0"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(sqrt(((l_quantity-10)*(l_quantity-10)+(l_discount*100-2)*(l_discount*100-2))/2),6) AS d0, CASE WHEN (l_quantity-10)*(l_quantity-10)+(l_discount*100-2)*(l_discount*100-2) <= (l_quantity-40)*(l_quantity-40)+(l_discount*100-8)*(l_discount*100-8) THEN 0 ELSE 1 END AS k FROM lineitem""")
+def kmeans_predict(spark, sf):
+    df, m = lineitem(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_discount") * 100).alias("y")), KMeans(centroids=[[10.0, 2.0], [40.0, 8.0]])
+    return m.predict(m.transform(df, ["l_quantity", "y"]), ["l_quantity", "y"], "k").select("l_orderkey", "l_linenumber", rounded(F.col("distances")[0]).alias("d0"), "k")
+
+
+@query(ORACLES["kmeans_step"])
+def kmeans_batches(spark, sf):
+    df, m = lineitem(spark, sf).select("l_orderkey", "l_quantity", (F.col("l_discount") * 100).alias("y")), KMeans(centroids=[[10.0, 2.0], [40.0, 8.0]])
+    m = m.from_summaries(*[m.summarize(df.where(F.col("l_orderkey") % 2 == k), ["l_quantity", "y"]) for k in (0, 1)])
+    return spark.createDataFrame([(k, *[round(float(v), 6) for v in c]) for k, c in enumerate(m.centroids)], "cluster int, x double, y double")
+
+
+@query("""SELECT CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS y, round(avg(l_quantity),6) AS mean, round(var_pop(l_quantity),6) AS var, round(count(*)/(SELECT count(*) FROM lineitem),6) AS prior FROM lineitem GROUP BY 1""")
+def bayes_classifier_fit(spark, sf):
+    df = lineitem(spark, sf).withColumn("y", F.expr(STATUS))
+    m = BayesClassifier(distributions=[D.Normal(covariance_type="diag")] * 2).fit(df, ["l_quantity"], "y")
+    return spark.createDataFrame([(i, *[round(float(v), 6) for v in (d.means[0], d.covs[0], p)]) for i, (d, p) in enumerate(zip(m.distributions, m.priors))], "y int, mean double, var double, prior double")
+
+
+# ---- the common protocol ----
+
+
+@query("""SELECT event_id, round(exp(-value/40.0)/40.0,9) AS p FROM events""")
+def exponential_probability(spark, sf):
+    return D.Exponential(scales=[40.0]).probability(table(spark, sf, "events"), ["value"], "p").select("event_id", rounded(F.col("p"), 9).alias("p"))
+
+
+@query("""SELECT 0 AS feature, round(avg(l_quantity),6) AS mean, round(var_pop(l_quantity),6) AS var FROM lineitem WHERE l_quantity > 5 UNION ALL SELECT 1, round(sum(l_tax*l_discount)/sum(l_tax),6), round(sum(l_tax*l_discount*l_discount)/sum(l_tax)-(sum(l_tax*l_discount)/sum(l_tax))*(sum(l_tax*l_discount)/sum(l_tax)),6) FROM lineitem""")
+def masked_weighted_fit(spark, sf):
+    """Missing cells in one column, weights of its own for each."""
+    df = lineitem(spark, sf).select(F.when(F.col("l_quantity") > 5, F.col("l_quantity")).alias("x"), "l_discount", "l_tax", F.lit(1.0).alias("one"))
+    m = D.Normal(covariance_type="diag").fit(df, ["x", "l_discount"], ["one", "l_tax"])
+    return params(spark, mean=m.means, var=m.covs)
+
+
+@query("""SELECT 0 AS feature, round(1000000000+avg(l_discount),4) AS mean, round(var_pop(l_discount),7) AS var FROM lineitem""")
+def shifted_batches(spark, sf):
+    """Values far from zero, in two batches whose sums are about different centres."""
+    df = lineitem(spark, sf).select("l_orderkey", (F.col("l_discount") + 1e9).alias("x"))
+    m = D.Normal(covariance_type="diag")
+    m = m.from_summaries(*[m.summarize(df.where(F.col("l_orderkey") % 2 == k), ["x"]) for k in (0, 1)])
+    return spark.createDataFrame([(0, round(float(m.means[0]), 4), round(float(m.covs[0]), 7))], "feature int, mean double, var double")
+
+
+@query("""SELECT 'blend' AS how, round(0.3*10+0.7*avg(value),6) AS scale FROM events UNION ALL SELECT 'frozen', 10.0 UNION ALL SELECT 'unfrozen', round(avg(value),6) FROM events""")
+def inertia_and_freezing(spark, sf):
+    df, m = table(spark, sf, "events"), D.Exponential(scales=[10.0])
+    got = {"blend": D.Exponential(scales=[10.0], inertia=0.3).fit(df, ["value"]), "frozen": m.freeze().fit(df, ["value"]), "unfrozen": m.freeze().unfreeze().fit(df, ["value"])}
+    return spark.createDataFrame([(k, round(float(x.scales[0]), 6)) for k, x in got.items()], "how string, scale double")
+
+
+@query(ORACLES["joint_categorical_logp"])
+def joint_categorical_batches(spark, sf):
+    df, cols, m = codes(spark, sf), ["a", "b", "c"], D.JointCategorical(n_categories=(3, 2, 2))
+    m = m.from_summaries(*[m.summarize(df.where(F.col("l_orderkey") % 2 == k), cols) for k in (0, 1)])
+    return m.log_probability(df, cols, "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query(f"""WITH x AS {CODES} SELECT l_orderkey, l_linenumber, CASE WHEN a = 2 THEN '-Infinity'::DOUBLE ELSE round(ln(CASE WHEN a = 0 THEN 0.25 ELSE 0.75 END),6) END AS lp FROM x""")
+def categorical_beyond(spark, sf):
+    """Codes that the table does not have are impossible."""
+    return D.Categorical(probs=[[0.25, 0.75]]).log_probability(codes(spark, sf), ["a"], "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query(ORACLES["mixture_score"])
+def stored_mixture_score(spark, sf):
+    """A model that has been to JSON and back."""
+    import json
+
+    m, df = from_dict(json.loads(_mix().to_json())), table(spark, sf, "events").select("event_id", "value")
+    df = m.predict_proba(m.predict(m.log_probability(df, ["value"], out="lp"), ["value"], out="k"), ["value"], out="p")
+    return df.select("event_id", rounded(F.col("lp")).alias("lp"), "k", rounded(F.col("p")[0]).alias("p0"))
+
+
+# ---- sequences ----
+
+_SEQ = "(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t, event_id, value, -ln(20.0)-value/20.0 AS e0, -ln(80.0)-value/80.0 AS e1 FROM events)"
+
+
+def _lse(a: str, b: str) -> str:
+    return f"(greatest({a},{b})+ln(exp({a}-greatest({a},{b}))+exp({b}-greatest({a},{b}))))"
+
+
+_L = {(0, 0): "ln(0.7)", (0, 1): "ln(0.2)", (1, 0): "ln(0.3)", (1, 1): "ln(0.6)"}
+_PASSES = f"""WITH RECURSIVE s AS (SELECT * FROM {_SEQ}), l AS (SELECT user_id, max(t) AS n FROM s GROUP BY 1),
+f AS (SELECT user_id, t, ln(0.6)+e0 AS f0, ln(0.4)+e1 AS f1 FROM s WHERE t = 1 UNION ALL
+SELECT s.user_id, s.t, {_lse(f"(f0+{_L[0, 0]})", f"(f1+{_L[1, 0]})")}+e0, {_lse(f"(f0+{_L[0, 1]})", f"(f1+{_L[1, 1]})")}+e1 FROM f JOIN s ON s.user_id = f.user_id AND s.t = f.t + 1),
+b AS (SELECT user_id, n AS t, ln(0.1) AS b0, ln(0.1) AS b1 FROM l UNION ALL
+SELECT s.user_id, s.t - 1, {_lse(f"(b0+e0+{_L[0, 0]})", f"(b1+e1+{_L[0, 1]})")}, {_lse(f"(b0+e0+{_L[1, 0]})", f"(b1+e1+{_L[1, 1]})")} FROM b JOIN s ON s.user_id = b.user_id AND s.t = b.t WHERE s.t > 1),
+g AS (SELECT s.*, f0, f1, b0, b1, n, {_lse("(f0+b0)", "(f1+b1)")} AS z FROM s JOIN f USING (user_id, t) JOIN b USING (user_id, t) JOIN l USING (user_id))
+"""
+_STEP = ("user_id", "event_id", ["value"])
+
+
+@query(_PASSES + "SELECT user_id, event_id, round(f0,5) AS f0, round(f1,5) AS f1 FROM g")
+def hmm_forward(spark, sf):
+    return _hmm().forward(table(spark, sf, "events"), *_STEP, "f").select("user_id", "event_id", rounded(F.col("f")[0], 5).alias("f0"), rounded(F.col("f")[1], 5).alias("f1"))
+
+
+@query(_PASSES + "SELECT user_id, event_id, round(b0,5) AS b0, round(b1,5) AS b1 FROM g")
+def hmm_backward(spark, sf):
+    return _hmm().backward(table(spark, sf, "events"), *_STEP, "b").select("user_id", "event_id", rounded(F.col("b")[0], 5).alias("b0"), rounded(F.col("b")[1], 5).alias("b1"))
+
+
+@query(_PASSES + "SELECT user_id, event_id, CASE WHEN f0+b0 >= f1+b1 THEN 0 ELSE 1 END AS prediction FROM g")
+def hmm_posterior(spark, sf):
+    return _hmm().predict(table(spark, sf, "events"), *_STEP)
+
+
+@query(_PASSES + "SELECT user_id, event_id, round(exp(f0+b0-z),6) AS p0 FROM g")
+def hmm_sparse_posterior(spark, sf):
+    return _sparse().predict_proba(table(spark, sf, "events"), *_STEP, "p").select("user_id", "event_id", rounded(F.col("p")[0]).alias("p0"))
+
+
+def _sparse(**kw):
+    return _hmm(SparseHMM, edges=None, edge_list=tuple((i, j, _HMM["edges"][i][j]) for i in (0, 1) for j in (0, 1)), **kw)
+
+
+_BAUM = (
+    _PASSES
+    + ", x AS (SELECT "
+    + ", ".join(f"sum(exp(a.f{i}+{_L[i, j]}+c.e{j}+c.b{j}-a.z)) AS t{i}{j}" for i in (0, 1) for j in (0, 1))
+    + " FROM g a JOIN g c ON a.user_id = c.user_id AND c.t = a.t + 1), y AS (SELECT "
+    + ", ".join(f"sum(exp(f{i}+b{i}-z)) FILTER (t = 1) AS s{i}, sum(exp(f{i}+b{i}-z)) FILTER (t = n) AS e{i}, sum(exp(f{i}+b{i}-z)*value)/sum(exp(f{i}+b{i}-z)) AS m{i}" for i in (0, 1))
+    + " FROM g) "
+    + " UNION ALL ".join(f"SELECT {i} AS state, round(m{i},4) AS scale, round(s{i}/(s0+s1),5) AS start, round(e{i}/(e{i}+t{i}0+t{i}1),5) AS stop, round(t{i}0/(e{i}+t{i}0+t{i}1),5) AS to0, round(t{i}1/(e{i}+t{i}0+t{i}1),5) AS to1 FROM x, y" for i in (0, 1))
+)
+
+
+def _states(spark, m):
+    edges = {(a, b): p for a, b, p in m.edge_list} if isinstance(m, SparseHMM) else {(i, j): m.edges[i, j] for i in (0, 1) for j in (0, 1)}
+    rows = [(i, round(float(d.scales[0]), 4), *[round(float(v), 5) for v in (m.starts[i], m.ends[i], edges[i, 0], edges[i, 1])]) for i, d in enumerate(m.distributions)]
+    return spark.createDataFrame(rows, "state int, scale double, start double, stop double, to0 double, to1 double")
+
+
+@query(_BAUM)
+def hmm_fit(spark, sf):
+    """One round of Baum-Welch."""
+    return _states(spark, _hmm(max_iter=1).fit(table(spark, sf, "events"), *_STEP))
+
+
+@query(_BAUM)
+def hmm_sparse_fit(spark, sf):
+    return _states(spark, _sparse(max_iter=1).fit(table(spark, sf, "events"), *_STEP))
+
+
+@query(_BAUM)
+def hmm_batches(spark, sf):
+    """summarize() of two halves of the sequences, from_summaries() of both."""
+    m, df = _hmm(), table(spark, sf, "events")
+    return _states(spark, m.from_summaries(*[m.summarize(df.where(F.col("user_id") % 2 == k), *_STEP) for k in (0, 1)]))
+
+
+_VITERBI = f"""WITH RECURSIVE s AS (SELECT * FROM {_SEQ}), l AS (SELECT user_id, max(t) AS n FROM s GROUP BY 1),
+v AS (SELECT user_id, t, ln(0.6)+e0 AS v0, ln(0.4)+e1 AS v1, [0] AS p0, [1] AS p1 FROM s WHERE t = 1 UNION ALL
+SELECT s.user_id, s.t, greatest(v0+{_L[0, 0]}, v1+{_L[1, 0]})+e0, greatest(v0+{_L[0, 1]}, v1+{_L[1, 1]})+e1,
+list_append(CASE WHEN v0+{_L[0, 0]} >= v1+{_L[1, 0]} THEN p0 ELSE p1 END, 0), list_append(CASE WHEN v0+{_L[0, 1]} >= v1+{_L[1, 1]} THEN p0 ELSE p1 END, 1) FROM v JOIN s ON s.user_id = v.user_id AND s.t = v.t + 1),
+w AS (SELECT v.user_id, CASE WHEN v0 >= v1 THEN p0 ELSE p1 END AS path FROM v JOIN l ON v.user_id = l.user_id AND v.t = l.n)
+SELECT s.user_id, s.event_id, path[s.t]::INT AS prediction FROM s JOIN w USING (user_id)"""
+
+
+@query(_VITERBI)
+def hmm_viterbi(spark, sf):
+    return _hmm().viterbi(table(spark, sf, "events"), *_STEP)
+
+
+@query(_VITERBI)
+def hmm_sparse_viterbi(spark, sf):
+    return _sparse().viterbi(table(spark, sf, "events"), *_STEP)
+
+
+@query(_FWD.replace("-ln(20.0)-value/20.0 e0, -ln(80.0)-value/80.0 e1", "ln(0.25)-ln(20.0)-value/20.0 e0, ln(0.75)-ln(80.0)-value/80.0 e1"))
+def hmm_prior_logp(spark, sf):
+    """With a prior for each step's state."""
+    df = table(spark, sf, "events").withColumn("prior", F.array(F.lit(0.25), F.lit(0.75)))
+    return _hmm().log_probability(df, *_STEP, "lp", "prior").select("user_id", rounded(F.col("lp"), 5).alias("lp"))
+
+
+@query(f"""WITH s AS (SELECT user_id, {KIND} AS x, event_id % 2 AS z, lag({KIND}) OVER w AS y, lag(event_id % 2) OVER w AS u FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, round(sum(CASE WHEN y IS NULL THEN ln(0.25)+ln(0.5) ELSE CASE WHEN x = y THEN ln(0.4) ELSE ln(0.2) END+CASE WHEN z = u THEN ln(0.9) ELSE ln(0.1) END END),6) AS lp FROM s GROUP BY 1""")
+def markov_chain_two_columns(spark, sf):
+    """A chain for each of two columns; the second has two codes of four."""
+    df = table(spark, sf, "events").select("user_id", "event_id", F.expr(KIND).alias("x"), (F.col("event_id") % 2).cast("int").alias("z"))
+    first = np.array([[0.25] * 4, [0.5, 0.5, 0.0, 0.0]])
+    second = np.stack([np.full((4, 4), 0.2) + 0.2 * np.eye(4), np.array([[0.9, 0.1, 0, 0], [0.1, 0.9, 0, 0], [0.25] * 4, [0.25] * 4])])
+    return MarkovChain(tables=[first, second]).log_probability(df, "user_id", "event_id", ["x", "z"], "lp").select("user_id", rounded(F.col("lp")).alias("lp"))
+
+
+@query(ORACLES["markov_chain_fit"])
+def markov_chain_batches(spark, sf):
+    df, m = table(spark, sf, "events").withColumn("x", F.expr(KIND)), MarkovChain(k=1)
+    m = m.from_summaries(*[m.summarize(df.where(F.col("user_id") % 2 == k), "user_id", "event_id", "x") for k in (0, 1)])
+    return spark.createDataFrame([(i, j, round(float(p), 6)) for (i, j), p in np.ndenumerate(m.tables[1]) if p > 0], "a int, b int, p double")
+
+
+# ---- graphs ----
+
+
+def _scores(cols: str = "abc") -> str:
+    """(node, parents as a bit mask, score) of every family of three columns."""
+    card, out = {"a": 3, "b": 2, "c": 2}, []
+    for i, c in enumerate(cols):
+        for mask in range(8):
+            if mask >> i & 1:
+                continue
+            ps = [q for j, q in enumerate(cols) if mask >> j & 1]
+            by = f"PARTITION BY {', '.join(ps)}" if ps else ""
+            size = (card[c] - 1) * int(np.prod([card[q] for q in ps]))
+            out.append(f"SELECT {i} AS node, {mask} AS ps, {len(ps)} AS size, sum(n*log2(n/m))-0.5*log2((SELECT count(*) FROM x))*{size} AS score FROM (SELECT n, sum(n) OVER ({by}) AS m FROM (SELECT {', '.join([*ps, c])}, count(*) AS n FROM x GROUP BY ALL))")
+    return " UNION ALL ".join(out)
+
+
+_ORDERS = ", ".join(f"({i}, {j}, {k})" for i in range(3) for j in range(3) for k in range(3) if len({i, j, k}) == 3)
+
+
+@query(
+    f"""WITH x AS {CODES}, s AS ({_scores()}), o(i, j, k) AS (VALUES {_ORDERS}), v AS (SELECT i, j, k, u.node, CASE u.node WHEN i THEN 0 WHEN j THEN 1 << i ELSE (1 << i) + (1 << j) END AS may FROM o, (VALUES (0), (1), (2)) u(node)),
+b AS (SELECT v.*, s.ps, s.score, row_number() OVER (PARTITION BY i, j, k, v.node ORDER BY round(s.score, 6) DESC, s.size, s.ps) AS r FROM v JOIN s ON s.node = v.node AND s.ps & ~v.may = 0),
+t AS (SELECT i, j, k, sum(score) AS total FROM b WHERE r = 1 GROUP BY ALL), w AS (SELECT i, j, k FROM t WHERE total >= (SELECT max(total) FROM t) - 1e-6 ORDER BY i, j, k LIMIT 1)
+SELECT node::INT AS node, concat_ws(',', CASE WHEN ps & 1 > 0 THEN '0' END, CASE WHEN ps & 2 > 0 THEN '1' END, CASE WHEN ps & 4 > 0 THEN '2' END) AS parents FROM b JOIN w USING (i, j, k) WHERE r = 1"""
+)
+def exact_structure(spark, sf):
+    m = BayesianNetwork(algorithm="exact").fit(codes(spark, sf), ["a", "b", "c"])
+    return spark.createDataFrame([(i, ",".join(map(str, p))) for i, p in enumerate(m.structure)], "node int, parents string")
+
+
+@query(
+    f"""WITH x AS {CODES}, m AS (SELECT {_mi('a', 'b')} AS ab, {_mi('a', 'c')} AS ac, {_mi('b', 'c')} AS bc)
+SELECT 0 AS node, '' AS parents UNION ALL SELECT 1, CASE WHEN ab >= ac OR ab >= bc THEN '0' ELSE '2' END FROM m UNION ALL SELECT 2, CASE WHEN ab >= ac AND bc > ac THEN '1' ELSE '0' END FROM m"""
+)
+def chow_liu_structure(spark, sf):
+    t = chow_liu(mutual_information(codes(spark, sf), ["a", "b", "c"], {"a": 3, "b": 2, "c": 2}))
+    return spark.createDataFrame([(i, ",".join(map(str, p))) for i, p in enumerate(t)], "node int, parents string")
+
+
+@query(ORACLES["bayesian_network_logp"])
+def bayesian_network_batches(spark, sf):
+    df, cols, m = codes(spark, sf), ["a", "b", "c"], BayesianNetwork(structure=((), (0,), (0,)))
+    m = m.from_summaries(*[m.summarize(df.where(F.col("l_orderkey") % 2 == k), cols) for k in (0, 1)])
+    return m.log_probability(df, cols, "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query(f"""WITH x AS {CODES} SELECT l_orderkey, l_linenumber, round((CASE a WHEN 0 THEN 0.2 WHEN 1 THEN 0.5 ELSE 0.3 END)*(CASE b WHEN 0 THEN 0.4 ELSE 0.6 END)*(CASE WHEN (a + b) % 2 = c THEN 0.9 ELSE 0.1 END),6) AS p FROM x""")
+def bayesian_network_built(spark, sf):
+    """A network put together node by node and edge by edge."""
+    m = BayesianNetwork()
+    a, b = m.add_distributions([D.Categorical(probs=[[0.2, 0.5, 0.3]]), D.Categorical(probs=[[0.4, 0.6]])])
+    c = m.add_distribution(D.ConditionalCategorical(probs=[[[0.9, 0.1] if (i + j) % 2 == 0 else [0.1, 0.9] for j in (0, 1)] for i in (0, 1, 2)]))
+    m.add_edges([(a, c), (b, c)])
+    return m.probability(codes(spark, sf), ["a", "b", "c"], "p").select("l_orderkey", "l_linenumber", rounded(F.col("p")).alias("p"))
+
+
+@query(ORACLES["factor_graph_logp"])
+def factor_graph_batches(spark, sf):
+    df, g = codes(spark, sf), FactorGraph()
+    f = g.add_factor(D.JointCategorical(probs=np.full((3, 2), 1 / 6)))
+    for k in (3, 2):
+        g.add_edge(g.add_marginal(D.Categorical(probs=np.full((1, k), 1 / k))), f)
+    g = g.from_summaries(*[g.summarize(df.where(F.col("l_orderkey") % 2 == k), ["a", "b"]) for k in (0, 1)])
+    return g.log_probability(df, ["a", "b"], "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query("""SELECT * FROM (VALUES (0, 0, round(0.1*0.5/(0.1*0.5+0.3*0.3+0.1*0.2),5), 1), (0, 1, round(0.3*0.3/(0.1*0.5+0.3*0.3+0.1*0.2),5), 1), (0, 2, round(0.1*0.2/(0.1*0.5+0.3*0.3+0.1*0.2),5), 1), (1, 0, round(0.2*0.5/(0.2*0.5+0.1*0.3+0.2*0.2),5), 0), (1, 1, round(0.1*0.3/(0.2*0.5+0.1*0.3+0.2*0.2),5), 0), (1, 2, round(0.2*0.2/(0.2*0.5+0.1*0.3+0.2*0.2),5), 0)) t(b, a, p, best)""")
+def factor_graph_predict(spark, sf):
+    """Posterior and best value of one variable for each value of the other, by enumeration in the SQL."""
+    g = FactorGraph()
+    f = g.add_factor(D.JointCategorical(probs=[[0.1, 0.2], [0.3, 0.1], [0.1, 0.2]]))
+    for p in ([0.5, 0.3, 0.2], [0.5, 0.5]):
+        g.add_edge(g.add_marginal(D.Categorical(probs=[p])), f)
+    ask = spark.createDataFrame([(None, 0), (None, 1)], "a int, b int")
+    got = g.predict(g.predict_proba(ask, ["a", "b"], "p"), ["a", "b"], "q")
+    return got.select("b", F.col("q")[0].alias("best"), F.posexplode(F.col("p")[0]).alias("a", "p")).select("b", "a", rounded(F.col("p"), 5).alias("p"), "best")
+
+
+# ---- sampling ----
+
+
+def _u(seed: int, stream: int) -> str:
+    return f"((('0x' || substr(md5(concat_ws(':', event_id, '{seed}', '{stream}')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+@query(f"""SELECT event_id, round(-2.0*ln({_u(3, 0)}),6) AS x, round(1.0+2.0*sqrt(-2*ln({_u(3, 2)}))*cos(2*pi()*{_u(3, 3)}),6) AS y, CASE WHEN {_u(3, 4)} >= 0.7 THEN 2.0 WHEN {_u(3, 4)} >= 0.2 THEN 1.0 ELSE 0.0 END AS z FROM events""")
+def sample_independent(spark, sf):
+    m = D.IndependentComponents(distributions=[D.Exponential(scales=[2.0]), D.Normal([1.0], [4.0], "diag"), D.Categorical(probs=[[0.2, 0.5, 0.3]])])
+    got = sample_columns(table(spark, sf, "events").select("event_id"), m, "event_id", ["x", "y", "z"], 3)
+    return got.select("event_id", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"), "z")
+
+
+@query(f"""SELECT event_id, CASE WHEN {_u(5, 0)} < 0.3 THEN round(-10.0*ln({_u(5, 2)}),6) ELSE round(5.0+{_u(5, 4)}*2.0,6) END AS x FROM events""")
+def sample_mixture(spark, sf):
+    m = GeneralMixtureModel(distributions=[D.Exponential(scales=[10.0]), D.Uniform(mins=[5.0], maxs=[7.0])], priors=[0.3, 0.7])
+    return sample_columns(table(spark, sf, "events").select("event_id"), m, "event_id", ["x"], 5).select("event_id", rounded(F.col("x")).alias("x"))
+
+
+@query("""SELECT 64 AS sequences, 640 AS steps, 0 AS impossible""")
+def sample_markov_chain(spark, sf):
+    """A chain that never stays: no step may repeat the one before."""
+    m = MarkovChain(tables=[np.full(3, 1 / 3), (np.ones((3, 3)) - np.eye(3)) / 2])
+    x = sample_chains(spark, m, 64, 10)
+    from pyspark.sql import Window
+
+    x = x.withColumn("y", F.lag("x").over(Window.partitionBy("seq").orderBy("t")))
+    return x.agg(F.count_distinct("seq").cast("int").alias("sequences"), F.count(F.lit(1)).cast("int").alias("steps"), F.coalesce(F.sum((F.col("x") == F.col("y")).cast("int")), F.lit(0)).cast("int").alias("impossible"))
+
+
+@query(f"""WITH x AS {CODES} SELECT a, (a + 1) % 3 AS z, count(*) AS n FROM x GROUP BY 1, 2""")
+def sample_conditional(spark, sf):
+    """Draws given parents, from a table that leaves no choice."""
+    m = D.ConditionalCategorical(probs=np.roll(np.eye(3), 1, 1))
+    return sample_given(codes(spark, sf), m, ["a"], "z", "l_orderkey").groupBy("a", F.col("z").cast("int").alias("z")).agg(F.count(F.lit(1)).alias("n"))
