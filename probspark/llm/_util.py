@@ -173,6 +173,58 @@ def run_pairs(starts, n: int, most: int = 1 << 20):
         yield np.concatenate(held_i), np.concatenate(held_j)
 
 
+def scattered(key, parts: int, columns: dict):
+    """Rows of a slice as one binary row a part: (part, blob), the part by the key's high bits, a blob the columns one after the other.
+
+    What is exchanged by a key in millions of small rows goes through the shuffle as a few rows of arrays; see gathered().
+    All columns are 64 bits wide, the key among them.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    part = (key >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(part.astype(np.uint32), kind="stable")
+    part = part[order]
+    edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+    cols = [np.ascontiguousarray(c[order]).view(np.uint8).reshape(-1, 8) for c in columns.values()]
+    blobs = [b"".join(c[a:b].tobytes() for c in cols) for a, b in zip(edge, edge[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+
+def gathered(batches, columns: list[str], key: str):
+    """The other side of scattered(), of rows sorted by part: of each part the columns (int64) sorted by the key, and where its runs start."""
+    import numpy as np
+
+    def whole(blobs):
+        n = len(columns)
+        parts = [np.frombuffer(b, np.int64).reshape(n, -1) for b in blobs]
+        x = np.concatenate(parts, 1)
+        order = np.argsort(x[columns.index(key)], kind="stable")
+        a = {c: x[i][order] for i, c in enumerate(columns)}
+        return a, np.flatnonzero(np.append(True, a[key][1:] != a[key][:-1]))
+
+    now, held = None, []
+    for b in batches:
+        for p, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist()):
+            if p != now:
+                if held:
+                    yield whole(held)
+                now, held = p, []
+            held.append(blob)
+    if held:
+        yield whole(held)
+
+
+def exchanged(df: DataFrame) -> DataFrame:
+    """Rows of scattered(), each part in one task."""
+    return df.repartition(fan_out(df.sparkSession), "part").sortWithinPartitions("part")
+
+
+def parts_of(spark: SparkSession) -> int:
+    """Parts for scattered(): a few a partition, so that one is small and partitions are even."""
+    return 4 * fan_out(spark)
+
+
 class Forest:
     """Union-find over a task's own links, so that it hands on a tree instead of every link."""
 
@@ -242,10 +294,7 @@ def split_words(texts: list[str]):
             gap = space(whole[at:to])
         cut = len(gap) - int(gap[::-1].argmax())  # after the last white space; the text ends in a line feed
         x, gap = whole[at : at + cut], gap[:cut]
-        if len(_hashing["power"]) <= cut:
-            base = _hashing["base"]
-            _hashing["power"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(cut, np.uint64(base))]), dtype=np.uint64)
-            _hashing["inverse"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(cut, np.uint64(pow(base, -1, 1 << 64)))]), dtype=np.uint64)
+        _powers(cut)
         total = np.empty(cut + 1, np.uint64)
         total[0] = 0
         np.cumsum(value[x] * _hashing["power"][:cut], out=total[1:])
@@ -267,6 +316,41 @@ def split_words(texts: list[str]):
     return whole, joined(starts, np.int64), joined(ends, np.int64), joined(hashes, np.uint64), joined(line_of, np.int64), lines
 
 
+def hashed_spans(x, start, stop):
+    """64-bit hashes of the spans [start, stop) of an array of bytes, case and all; spans ascend."""
+    import numpy as np
+
+    if not _hashing:
+        split_words([""])
+    if "cased" not in _hashing:
+        _hashing["cased"] = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64)
+    out, at, k = np.empty(len(start), np.uint64), 0, 0
+    while k < len(start):
+        to = max(k + 1, int(np.searchsorted(stop, start[k] + _SEGMENT, "right")))
+        at = int(start[k])
+        n = int(stop[to - 1]) - at
+        _powers(n)
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_hashing["cased"][x[at : at + n]] * _hashing["power"][:n], out=total[1:])
+        s, e = start[k:to] - at, stop[k:to] - at
+        h = (total[e] - total[s]) * _hashing["inverse"][s]
+        h ^= h >> np.uint64(32)
+        out[k:to] = h * np.uint64(0xD6E8FEB86659FD93)
+        k = to
+    return out
+
+
+def _powers(n: int) -> None:
+    """Powers of the hashing base, and their inverses, up to the n-th."""
+    import numpy as np
+
+    if len(_hashing["power"]) <= n:
+        base, n = _hashing["base"], max(n, _SEGMENT)
+        _hashing["power"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(base))]), dtype=np.uint64)
+        _hashing["inverse"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(base, -1, 1 << 64)))]), dtype=np.uint64)
+
+
 def word_hashes(texts: list[str]):
     """(hash of each word, its text, its line among all lines, number of lines of each text); see split_words()."""
     import numpy as np

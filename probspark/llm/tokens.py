@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import Staged, fan_out
+from ._util import Staged, fan_out, hashed_spans
 
 MAGIC = b"PSTOKENS"
 VERSION = 1
@@ -33,31 +33,107 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 20_000, 64 << 10
 _HEAD = struct.Struct("<8sHH8sI")
 #: White space other than the space and the line feed.
 _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Signs that are neither letters, digits, white space nor the pattern's apostrophe.
-_SIGNS = ".,!?;:*#$%&|()[]{}-"
-#: Entries of a worker's memory of encoded chunks; fewer cost time only.
-_MEMORY = 700_000
+#: Words that a worker remembers at most; fewer cost time only.
+_MEMORY = 1 << 20
+_MIX = np.random.default_rng(1).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
 _loaded: dict = {}
+#: Signs that are neither letters, digits, white space nor the pattern's apostrophe, and ASCII letters.
+_SIGN, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+class Memory:
+    """Words and their ids: hashes in an open-addressed table, ids in one long array.
+
+    A word is known by 64 bits of hash and another 56 of its length and three of its bytes, so that no two are ever taken
+    for each other in practice.  When full, words that were not met again go.
+    """
+
+    def __init__(self, kind: np.dtype):
+        self.kind = kind
+        self._fill(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind))
+
+    def _fill(self, h, check, at, size, ids, room: int = 0) -> None:
+        room = 1 << (max(room, _MEMORY) - 1).bit_length()
+        self.n, self.used = len(h), len(ids)
+        self.h, self.check, self.at, self.size = (np.zeros(room, x.dtype) for x in (h, check, at, size))
+        for own, x in ((self.h, h), (self.check, check), (self.at, at), (self.size, size)):
+            own[: len(x)] = x
+        self.again = np.zeros(room, bool)
+        self.ids = np.concatenate([ids, np.zeros(room, self.kind)])
+        self.slots = np.full(4 * room, -1, np.int32)
+        self._place(np.arange(self.n))
+
+    def _home(self, h):
+        return (h * _MIX[0] >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _place(self, todo) -> None:
+        mask, at = len(self.slots) - 1, self._home(self.h[todo])
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]
+            left = self.slots[at] != todo
+            todo, at = todo[left], at[left] + 1 & mask
+
+    def find(self, h, check) -> np.ndarray:
+        """Number of each word, or -1."""
+        mask, at = len(self.slots) - 1, self._home(h)
+        out = self.slots[at]
+        open_ = np.flatnonzero((out >= 0) & ((self.h[out] != h) | (self.check[out] != check)))
+        at = at[open_]
+        while len(open_):
+            at = at + 1 & mask
+            got = self.slots[at]
+            out[open_] = got
+            more = (got >= 0) & ((self.h[got] != h[open_]) | (self.check[got] != check[open_]))
+            open_, at = open_[more], at[more]
+        return out
+
+    def room(self, n: int) -> None:
+        """Make place for n words more."""
+        if self.n + n > len(self.h):
+            keep = np.flatnonzero(self.again[: self.n])
+            if len(keep) > _MEMORY // 2:
+                keep = keep[:0]
+            size = self.size[keep]
+            src = np.arange(size.sum()) + np.repeat(self.at[keep] - (np.cumsum(size) - size), size)
+            self._fill(self.h[keep], self.check[keep], np.cumsum(size) - size, size, self.ids[src], max(_MEMORY, 2 * (len(keep) + n)))
+
+    def add(self, h, check, ids: list[bytes]) -> None:
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), self.kind)])
+        new = slice(self.n, self.n + len(ids))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.h[new], self.check[new], self.size[new] = h, check, size
+        self.at[new] = self.used + np.cumsum(size) - size
+        self.used, self.n = self.used + len(flat), self.n + len(ids)
+        self._place(np.arange(new.start, new.stop))
 
 
 class Encoder:
-    """Whole-text encoding with a tokenizer file of the tokenizers library, remembering chunks between white space.
+    """Whole-text encoding with a tokenizer file of the tokenizers library, remembering the ids of words.
 
-    A space between two other characters always starts a new pre-token of the byte-level pattern, so a text is encoded
-    chunk by chunk there; texts with runs of white space or special-token strings are encoded whole.
+    Single spaces and line feeds between other characters always start a new pre-token of the byte-level pattern: a space
+    goes with the word after it, a line feed is one of its own.  So a text is encoded word by word there; texts with other
+    white space, runs or ends of it, or special-token strings are encoded whole.
     """
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # a word comes here once, so the library need not remember it as well
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for p, i in vocabulary.items() if p[0] == "\u0120"]] = True  # how byte-level vocabularies write a space
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()
-        self.tails: dict[str, bytes] = {}
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.memory = Memory(self.kind)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,71 +144,85 @@ class Encoder:
             at = to
         return out
 
-    def _encode_spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it.  Many words are encoded as one text: just their first ids hold a space."""
+    def _encode_words(self, words: list[str], spaced: bool) -> list[bytes]:
+        """Ids of each word with a space before it, or without.  Many words are encoded as one text: their first ids, or line feeds, divide it."""
         out, size = [], self.kind.itemsize
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            starts = np.flatnonzero(self.spaced[ids])
+            text = " " + " ".join(part) if spaced else "\n".join(["", *part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            starts = np.flatnonzero(self.spaced[ids] if spaced else ids == self.feed)
             if len(starts) != len(part):
-                out += self._encode([" " + w for w in part])
+                out += self._encode([" " + w for w in part] if spaced else part)
                 continue
             raw, edge = ids.tobytes(), [*(starts * size).tolist(), len(ids) * size]
-            out += [raw[a:b] for a, b in zip(edge, edge[1:])]
+            skip = 0 if spaced else size
+            out += [raw[a + skip : b] for a, b in zip(edge, edge[1:])]
         return out
 
-    def _remember(self, seen: set[str]) -> None:
-        """Encode those of the chunks that are not known; beyond ``_MEMORY`` entries only those that were met again stay."""
-        known = self.known
-        again = seen & known.keys()
-        self.again |= again
-        new = list(seen - again)
-        if len(known) + len(new) > _MEMORY:
-            if len(self.again) < _MEMORY // 2:
-                self.known = known = {c: known[c] for c in self.again}
-            else:
-                self.known = known = {c: known[c] for c in again}
-            self.again = set()
-        # letters followed by other signs are two pre-tokens, and the letters alone are met more often
-        parts = {}
-        for c in new:
-            w = c.rstrip(_SIGNS)
-            if w and len(w) < len(c) and w.isalpha():
-                parts[c] = w
-        fresh = list(dict.fromkeys([w for c in new if (w := parts.get(c, c)) not in known]))
-        known.update(zip(fresh, self._encode_spaced(fresh)))
-        for c, w in parts.items():
-            t = c[len(w) :]
-            tail = self.tails.get(t)
-            if tail is None:
-                tail = self.tails[t] = self._encode([t])[0]
-            known[c] = known[w] + tail
-        if len(self.tails) > _MEMORY // 8:
-            self.tails.clear()
+    def _regular(self, t: str) -> bool:
+        return bool(t) and not (t[0].isspace() or t[-1].isspace() or "  " in t or " \n" in t or "\n " in t or "\n\n" in t or "<|" in t or _RARE.search(t))
 
     def batch(self, texts: list[str], end: bytes) -> list[bytes]:
         """The ids of each text, followed by ``end``, as bytes."""
-        odd = lambda t: t.isspace() or "  " in t or " \n" in t or "\n " in t or "<|" in t or _RARE.search(t)
-        chunks = [t.split(" ") if t and not odd(t) else None for t in texts]
-        seen: set[str] = set()
-        for cs in chunks:
-            if cs:
-                seen.update(cs)
-        seen.discard("")
-        self._remember(seen)
-        get = self.known.__getitem__
-        first = iter(self._encode([cs[0] for cs in chunks if cs]))
-        whole = iter(self._encode([t for t, cs in zip(texts, chunks) if cs is None]))
-        out = []
-        for cs in chunks:
-            if cs is None:
-                out.append(next(whole) + end)
-            elif cs[-1]:
-                out.append(next(first) + b"".join(map(get, cs[1:])) + end)
-            else:  # a last space is a token of its own
-                out.append(next(first) + b"".join(map(get, cs[1:-1])) + self._encode([" "])[0] + end)
-        return out
+        regular = [self.feed is not None and self._regular(t) for t in texts]
+        whole = iter(self._encode([t for t, ok in zip(texts, regular) if not ok]))
+        known = iter(self._by_words([t for t, ok in zip(texts, regular) if ok], end))
+        return [next(known) if ok else next(whole) + end for ok in regular]
+
+    def _by_words(self, texts: list[str], end: bytes) -> list[bytes]:
+        if not texts:
+            return []
+        raw = [t.encode() for t in texts]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        x = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+        gap = (x == 32) | (x == 10)
+        stop = np.flatnonzero(gap)
+        start = np.append(0, stop[:-1] + 1)
+        spaced = np.append(False, x[stop[:-1]] == 32)
+        last = np.zeros(len(stop), bool)
+        last[np.searchsorted(stop, np.cumsum(lengths + 1) - 1)] = True
+        feed = ~spaced & np.append(False, ~last[:-1])  # a line feed within a text
+        # a sign after a letter is a pre-token of its own, and the word alone is met more often
+        before = x[np.maximum(stop - 2, 0)]
+        accent = (x[np.maximum(stop - 3, 0)] == 0xC3) & (before >= 128) & (before != 0x97) & (before != 0xB7) & (stop - start > 2)
+        sign = _SIGN[x[stop - 1]] & (_LETTER[before] & (stop - start > 1) | accent)
+        of = np.repeat(np.arange(len(stop)), 1 + sign)
+        second = np.append(False, of[1:] == of[:-1])
+        start, stop = np.where(second, stop[of] - 1, start[of]), stop[of] - (sign[of] & ~second)
+        spaced, feed, last = spaced[of] & ~second, feed[of] & ~second, last[of] & (second | ~sign[of])
+        h = hashed_spans(x, start, stop) * np.where(spaced, _MIX[1], _MIX[2])
+        h ^= h >> np.uint64(32)
+        byte = lambda i: x[i].astype(np.int64)
+        check = (stop - start) << 24 | byte(start) << 16 | byte(start + stop >> 1) << 8 | byte(stop - 1)
+        m = self.memory
+        at = m.find(h, check)
+        m.again[at[at >= 0]] = True
+        view = None
+        while len(new := np.flatnonzero(at < 0)):  # again if the memory has let some go to make room
+            _, one = np.unique(h[new], return_index=True)
+            one = new[one]
+            m.room(len(one))
+            view = view or x.tobytes()
+            for flag in (True, False):
+                part = one[spaced[one] == flag]
+                if len(part):
+                    found = [view[a:b].decode() for a, b in zip(start[part].tolist(), stop[part].tolist())]
+                    m.add(h[part], check[part], self._encode_words(found, flag))
+            at = m.find(h, check)
+        size = m.size[at]
+        total = size + feed + last
+        to = np.cumsum(total)
+        begin = to - total + feed
+        out = np.empty(to[-1], self.kind)
+        out[begin[feed] - 1] = self.feed
+        out[to[last] - 1] = np.frombuffer(end, self.kind)[0]
+        step = np.arange(size.sum())
+        shift = np.cumsum(size) - size
+        out[step + np.repeat(begin - shift, size)] = m.ids[step + np.repeat(m.at[at] - shift, size)]
+        flat, width = out.tobytes(), self.kind.itemsize
+        edge = [0, *(to[last] * width).tolist()]
+        return [flat[a:b] for a, b in zip(edge, edge[1:])]
 
 
 def _encoder(path: str, width: int) -> Encoder:
@@ -151,21 +241,20 @@ def id_width(path: str) -> int:
 def train_dictionary(documents: DataFrame, path: str, end_id: int, width: int) -> bytes:
     """Shared dictionary from the serialized ids of a bounded sample: the SAMPLE_DOCS texts of up to SAMPLE_CHARS characters with the smallest hashes.
 
-    Fewer than 16 usable texts give the empty dictionary (plain frames).
+    Where samples are too few or too alike to train on, they are the dictionary as they are; without any it is end ids alone.
     """
+    end = end_id.to_bytes(width, "little")
     # the hashes first: of each task only so many longs reach the driver, and then the texts of the chosen alone
     short = documents.select(F.xxhash64("doc_id").alias("h"), "text").where(f"length(text) between 1 and {SAMPLE_CHARS}")
     least = short.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
     if least is None:
-        return b""
+        return end * 16
     texts = [r["text"] for r in short.where(F.col("h") <= least).orderBy("h", "text").limit(SAMPLE_DOCS).collect()]
-    if len(texts) < 16:
-        return b""
-    samples = _encoder(path, width).batch(texts, end_id.to_bytes(width, "little"))
+    samples = _encoder(path, width).batch(texts, end)
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return (end * 16 + b"".join(samples))[-DICTIONARY_BYTES:]
 
 
 def write_block(docs: list[tuple[int | None, bytes]], width: int, dictionary: bytes, level: int = 3) -> bytes:
@@ -225,7 +314,7 @@ def _write(path: str, end_id: int, width: int, dictionary: bytes):
             at = 0
             while at < len(texts):
                 size, to = 0, at
-                while to < len(texts) and (size == 0 or size + len(texts[to]) < 4 << 20):
+                while to < len(texts) and (size == 0 or size + len(texts[to]) < 1 << 20):
                     size, to = size + len(texts[to]) + 1, to + 1
                 for d, x in zip(ids[at:to], enc.batch(texts[at:to], end)):
                     docs.append((d, x))
@@ -244,14 +333,16 @@ def _write(path: str, end_id: int, width: int, dictionary: bytes):
 def write_tokens(documents: DataFrame, path: str, end_id: int) -> tuple[Staged, bytes]:
     """Encode every whole text (null: empty), append ``end_id``, and write blocks in ascending doc_id order (null ids first).
 
-    Rows are range-partitioned by doc_id; equal ids stay in one partition in any order.  Returns the table of blocks and the
-    dictionary, which is needed to read them.
+    Rows are range-partitioned by doc_id and, so that rows of one id (or none) can be many, by a hash of the text; that is
+    their order too, so reruns agree.  Other columns play no part; an empty table has no blocks.  Returns the table of
+    blocks and the dictionary, which is needed to read them.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = id_width(path)
     dictionary = train_dictionary(docs, path, end_id, width)
     spark = docs.sparkSession
-    dealt = docs.repartitionByRange(fan_out(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit(""))).asc()]
+    dealt = docs.repartitionByRange(fan_out(spark), *order).sortWithinPartitions(*order)
     blocks = Staged(dealt.mapInArrow(_write(path, end_id, width, dictionary), _BLOCKS), "tokens", "uncompressed")
     return blocks, dictionary
 
@@ -295,8 +386,11 @@ def read_tokens(blocks: DataFrame, dictionary: bytes, digest_only: bool = False)
 
 
 def read_document(blocks: DataFrame, dictionary: bytes, doc_id: int) -> list[int] | None:
-    """Ids of one document: the scan is cut to blocks whose range holds it, and one frame is decompressed."""
-    for r in blocks.where((F.col("first_doc").isNull() | (F.col("first_doc") <= doc_id)) & (F.col("last_doc") >= doc_id)).select("blob").collect():
+    """Ids of one document, or None: the scan is cut to blocks whose range holds it, and one frame is decompressed.
+
+    Of several documents with the id it is the first in the table's order.
+    """
+    for r in blocks.where((F.col("first_doc").isNull() | (F.col("first_doc") <= doc_id)) & (F.col("last_doc") >= doc_id)).orderBy("shard", "block").select("blob").toLocalIterator():
         block = Block(bytes(r["blob"]), dictionary)
         for k in np.flatnonzero(block.doc_ids == doc_id):
             return block.ids(int(k)).tolist()
@@ -304,6 +398,7 @@ def read_document(blocks: DataFrame, dictionary: bytes, doc_id: int) -> list[int
 
 
 def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents as read back from their blocks; nulls, ties and repeated rows as in write_tokens()."""
     import public_tokenizers
 
     blocks, dictionary = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), 2)
