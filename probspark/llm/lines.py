@@ -2,28 +2,35 @@
 
 A line is the set of its words (A-Z lower-cased, separated by ASCII white space).  A line goes if an earlier line, by
 (doc_id, line number), has a Jaccard similarity of ``least`` or more; lines without words stay.  Equal sets are found by
-their hash.  For different sets, words are ordered by rarity and two sets can only be similar if they share a word of their
+128 bits of hash.  For different sets, words are ordered by rarity and two sets can only be similar if they share a word of their
 prefixes; pairs met there pass a length filter, a positional filter and a parity filter (a bound of the symmetric difference
 from 128 parity bits), and then the sets themselves are compared.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._util import Staged, by_size, deal_blocks, distinct, fan_out, run_pairs, whole_runs, word_hashes
+from ._util import Staged, by_size, distinct, exchanged, fan_out, gathered, parts_of, run_pairs, scattered, whole_runs, word_hashes
 
 #: Word frequencies are counted in 2^SKETCH_BITS buckets: a fixed size to broadcast (a byte each), whatever the corpus.
 #: Any common order of words gives the same result; rare words first just give the fewest pairs.
 SKETCH_BITS = 22
 _CHUNK = 4096
+#: Frequencies are kept as levels of one byte, so many to a doubling: enough for 2^42.
+LEVELS = 6
 #: A word's postings beyond this are dealt out in pairs of blocks.
 BLOCK = 1024
 _FLAGS = 1 << 23
+#: Characters of text that are looked at together.
+_SLICE = 1 << 20
 
 
 def _documents(documents: DataFrame) -> DataFrame:
@@ -42,10 +49,13 @@ def _split(texts: list[str]):
 
 def _sets(line: np.ndarray, rank: np.ndarray):
     """Distinct words of each line in rank order: (rank of each, start of each line that has words, those lines, set sizes)."""
-    key = np.sort((line << 24) | rank)
+    bits = int(rank.max(initial=0)).bit_length()
+    if bits + int(line.max(initial=0)).bit_length() > 63:
+        raise ValueError("too many words and lines in one slice")
+    key = np.sort((line << bits) | rank)
     if len(key):
         key = key[np.append(True, key[1:] != key[:-1])]
-    line, rank = key >> 24, key & ((1 << 24) - 1)
+    line, rank = key >> bits, key & ((1 << bits) - 1)
     start = np.flatnonzero(np.diff(line, prepend=-1))
     return rank, start, line[start], np.diff(np.append(start, len(line)))
 
@@ -53,36 +63,39 @@ def _sets(line: np.ndarray, rank: np.ndarray):
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _set_hash(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
-    x = hashes * _MIX
+def _set_hash(hashes: np.ndarray, start: np.ndarray, mix: np.uint64 = _MIX) -> np.ndarray:
+    x = hashes * mix
     x ^= x >> np.uint64(29)
-    return np.add.reduceat(x * _MIX, start) if len(start) else x[:0]
+    return np.add.reduceat(x * mix, start) if len(start) else x[:0]
+
+
+_MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _first(batches):
     """Lines with their set hashes (kind 0), and this task's word counts in chunks of buckets (kind 1)."""
-    names = ["kind", "doc", "h", "line", "hash", "chunk"]
+    names = ["kind", "doc", "h", "line", "hash", "more", "chunk"]
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for b in batches:
-        for (docs, hs), texts in by_size(b, ["doc", "h"]):
+        for (docs, hs), texts in by_size(b, ["doc", "h"], most=_SLICE):
             doc, no, words, ids, hashes = _split(texts)
             np.add.at(sketch, (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.bincount(ids, minlength=len(hashes)).astype(np.uint32))
             rank, start, line, _ = _sets(words, ids)
-            sets = _set_hash(hashes[rank], start).view(np.int64)
+            sets, more = (_set_hash(hashes[rank], start, mix).view(np.int64) for mix in (_MIX, _MIX2))
             d = doc[line]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(line), np.int8)), pa.array(np.array(docs)[d]), pa.array(np.array(hs)[d]), pa.array(no[line].astype(np.int32)), pa.array(sets), pa.nulls(len(line), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(line), np.int8)), pa.array(np.array(docs)[d]), pa.array(np.array(hs)[d]), pa.array(no[line].astype(np.int32)), pa.array(sets), pa.array(more), pa.nulls(len(line), pa.binary())], names)
     chunks = sketch.reshape(-1, _CHUNK)
     at = np.flatnonzero(chunks.any(1))
     zero = np.zeros(len(at), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int8) + np.int8(1)), pa.array(zero), pa.array(zero), pa.array(zero.astype(np.int32)), pa.array(at), pa.array([chunks[i].tobytes() for i in at], pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int8) + np.int8(1)), pa.array(zero), pa.array(zero), pa.array(zero.astype(np.int32)), pa.array(at), pa.array(zero), pa.array([chunks[i].tobytes() for i in at], pa.binary())], names)
 
 
 def _summed(batches):
-    """Sums chunks sorted by number and turns counts into levels of one byte, sixteen to a doubling."""
+    """Sums chunks sorted by number and turns counts into levels of one byte."""
     now, total = None, None
 
     def row():
-        level = np.minimum(255, np.round(16 * np.log2(1.0 + total))).astype(np.uint8)
+        level = np.minimum(255, np.round(LEVELS * np.log2(1.0 + total))).astype(np.uint8)
         return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([level.tobytes()], pa.binary())], ["hash", "chunk"])
 
     for b in batches:
@@ -100,14 +113,18 @@ def _need(k, least: float):
     return np.ceil(least * k - 1e-9).astype(np.int64)
 
 
-def _postings(levels: np.ndarray, least: float):
-    """A row for each prefix word of each distinct set of a task's slices, for sets that can resemble another at all."""
+def _postings(levels: np.ndarray, least: float, parts: int):
+    """Of each distinct set of a slice that can resemble another at all, its prefix words, scattered by word and pair of blocks.
+
+    A word that was counted once in all lines is in no other set, and is left out.
+    """
 
     def run(batches):
         for b in batches:
-            for _, texts in by_size(b, []):
+            for _, texts in by_size(b, [], most=_SLICE):
                 _, _, words, ids, hashes = _split(texts)
-                order = np.lexsort((hashes, levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                level = levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                order = np.lexsort((hashes, level))
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
                 r, start, _, k = _sets(words, rank[ids])
@@ -123,31 +140,40 @@ def _postings(levels: np.ndarray, least: float):
                 size = (k - _need(k, least) + 1)[one]
                 pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 at = np.repeat(start[one], size) + pos
-                word, mine = h[at], np.repeat(sets[one], size)
+                mine = np.repeat(one, size)
+                seen = level[order][r[at]] > LEVELS  # in more than one place
+                at, pos, mine = at[seen], pos[seen], mine[seen]
                 # of a frequent word's postings no task gets all: they go to pairs of about sqrt(frequency / BLOCK) blocks
-                most = np.exp2((levels[(word >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.float64) + 1) / 16)
+                most = np.exp2((level[order][r[at]].astype(np.float64) + 1) / LEVELS)
                 nb = np.maximum(1, np.ceil(np.sqrt(most / BLOCK))).astype(np.int64)
-                blk = ((mine >> np.uint64(20)) % nb.astype(np.uint64)).astype(np.int64)
-                meta = np.repeat(k[one], size) << 39 | pos << 17 | blk
-                cols = [word.view(np.int64), mine.view(np.int64), np.repeat(p0[one], size).view(np.int64), np.repeat(p1[one], size).view(np.int64), meta]
+                blk = ((sets[mine] >> np.uint64(20)) % nb.astype(np.uint64)).astype(np.int64)
                 many = np.repeat(np.arange(len(nb)), nb)
                 other = np.arange(len(many)) - np.repeat(np.cumsum(nb) - nb, nb)
-                pair = np.minimum(blk[many], other) << 32 | np.maximum(blk[many], other)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c[many]) for c in cols], pa.array(pair)], ["word", "hash", "p0", "p1", "meta", "pair"])
+                lo, hi = np.minimum(blk[many], other), np.maximum(blk[many], other)
+                own = mine[many]
+                key = (h[at][many] + (lo << 32 | hi).astype(np.uint64) * _MIX2) * _MIX
+                key ^= key >> np.uint64(31)
+                meta = k[own] << 40 | pos[many] << 18 | np.where(lo == hi, 0, 1 + (blk[many] == hi))
+                yield scattered(key, parts, {"key": key, "hash": sets[own], "p0": p0[own], "p1": p1[own], "meta": meta})
 
     return run
 
 
+_COLUMNS = ["key", "hash", "p0", "p1", "meta"]
+
+
+def _sides(meta: np.ndarray):
+    """0: within one block, where all pairs are looked at; 1 and 2: the two blocks of a pair of blocks, where those across are."""
+    return meta & 3
+
+
 def _plausible(least: float):
     """Of each word's postings those with a partner that passes the length, positional and parity filters."""
-    keys = ["word", "pair"]
-    low = (1 << 17) - 1
 
     def run(batches):
-        for a, starts in whole_runs(batches, [*keys, "hash", "p0", "p1", "meta"], keys):
+        for a, starts in gathered(batches, _COLUMNS, "key"):
             keep = np.zeros(len(a["meta"]), bool)
-            k, pos, blk = a["meta"] >> 39, a["meta"] >> 17 & (1 << 22) - 1, a["meta"] & low
-            cross = a["pair"] >> 32 != (a["pair"] & 0xFFFFFFFF)
+            k, pos, side = a["meta"] >> 40, a["meta"] >> 18 & (1 << 22) - 1, _sides(a["meta"])
             for i, j in run_pairs(starts, len(keep)):
                 ok = np.minimum(k[i], k[j]) >= _need(np.maximum(k[i], k[j]), least)
                 i, j = i[ok], j[ok]
@@ -156,10 +182,10 @@ def _plausible(least: float):
                 ok = np.minimum(k[i] - pos[i], k[j] - pos[j]) >= share
                 i, j, both, share = i[ok], j[ok], both[ok], share[ok]
                 odd = np.bitwise_count((a["p0"][i] ^ a["p0"][j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((a["p1"][i] ^ a["p1"][j]).view(np.uint64))
-                ok = (odd <= both - 2 * share) & (a["hash"][i] != a["hash"][j]) & (~cross[i] | (blk[i] != blk[j]))
+                ok = (odd <= both - 2 * share) & (a["hash"][i] != a["hash"][j]) & ((side[i] == 0) | (side[i] != side[j]))
                 keep[i[ok]] = True
                 keep[j[ok]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(a["word"][keep]), pa.array(a["hash"][keep])], ["word", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(a["key"][keep]), pa.array(a["hash"][keep]), pa.array(side[keep].astype(np.int8))], ["key", "hash", "side"])
 
     return run
 
@@ -191,7 +217,7 @@ def _members(flags: np.ndarray):
 
     def run(batches):
         for b in batches:
-            for (docs, hs), texts in by_size(b, ["doc", "h"]):
+            for (docs, hs), texts in by_size(b, ["doc", "h"], most=_SLICE):
                 at, found = [], []
                 for d, h, t in zip(docs, hs, texts):
                     for i, x in enumerate(t.split("\n")):
@@ -207,30 +233,32 @@ def _members(flags: np.ndarray):
 
 
 def _verified(least: float):
-    """Sets for which some earlier set of a word's postings is similar; for each the search ends at the first."""
-    keys = ["word", "bi", "bj"]
+    """First lines of the sets for which some earlier set of a word's postings is similar; for each the search ends at the first."""
+    keys = ["key"]
 
     def run(batches):
-        gone: set[int] = set()
-        for a, starts in whole_runs(batches, [*keys, "blk", "hash", "doc", "h", "line", "words"], keys):
+        gone: set[tuple] = set()
+        for a, starts in whole_runs(batches, [*keys, "side", "doc", "h", "line", "words"], keys):
             found = []
-            for s, e in zip(starts, [*starts[1:], len(a["hash"])]):
+            for s, e in zip(starts, [*starts[1:], len(a["key"])]):
                 if e - s < 2:
                     continue
-                rows = sorted(range(s, e), key=lambda i: (a["doc"][i], a["h"][i], a["line"][i]))
+                at = list(zip(a["doc"][s:e].tolist(), a["h"][s:e].tolist(), a["line"][s:e].tolist()))
+                rows = sorted(range(s, e), key=lambda i: at[i - s])
                 raw = [np.frombuffer(a["words"][i], np.uint64) for i in rows]
                 size = np.array([len(x) for x in raw])
                 one = np.uint64(1)
                 parity = np.array([np.bitwise_xor.reduce(one << (x & np.uint64(63))) for x in raw])
                 sets: list = [None] * len(rows)
-                cross = a["bi"][s] != a["bj"][s]
+                side = a["side"][rows]
                 for q in range(1, len(rows)):
-                    if (mine := a["hash"][rows[q]]) in gone:
+                    if (mine := at[rows[q] - s]) in gone:
                         continue
                     both = size[:q] + size[q]
                     ok = np.bitwise_count(parity[:q] ^ parity[q]) <= both - 2 * _need(both, least / (1 + least))
+                    ok &= (side[:q] == 0) | (side[:q] != side[q])
                     for p in np.flatnonzero(ok):
-                        if a["hash"][rows[p]] == mine or cross and a["blk"][rows[p]] == a["blk"][rows[q]]:
+                        if at[rows[p] - s] == mine:
                             continue
                         for x in (p, q):
                             if sets[x] is None:
@@ -241,7 +269,7 @@ def _verified(least: float):
                             found.append(mine)
                             break
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.int64))], ["hash"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc", "h", "line"])
             if len(gone) > 1_000_000:
                 gone.clear()
 
@@ -260,23 +288,23 @@ def removed_lines(documents: DataFrame, least: float = 0.8) -> tuple[DataFrame,
     """(lines, gone): (doc, h, line) of all lines with words, and of those that an earlier line resembles."""
     spark, n = documents.sparkSession, fan_out(documents.sparkSession)
     docs = _documents(documents)
-    first = Staged(docs.mapInArrow(_first, "kind byte, doc long, h long, line int, hash long, chunk binary"), "lines").df
-    lines = first.where("kind = 0").select("doc", "h", "line", "hash")
+    first = Staged(docs.mapInArrow(_first, "kind byte, doc long, h long, line int, hash long, more long, chunk binary"), "lines").df
+    lines = first.where("kind = 0").select("doc", "h", "line", "hash", "more")
     chunks = first.where("kind = 1").select("hash", "chunk").repartition(n, "hash").sortWithinPartitions("hash")
     levels = _gather(chunks.mapInArrow(_summed, "hash long, chunk binary"), 1 << SKETCH_BITS, np.uint8)
-    posts = docs.select("text").mapInArrow(_postings(levels, least), "word long, hash long, p0 long, p1 long, meta long, pair long")
-    order = ["word", "bi", "bj"]
-    likely = Staged(posts.repartition(n, "word", "pair").sortWithinPartitions("word", "pair").mapInArrow(_plausible(least), "word long, hash long").distinct(), "plausible").df
-    reps = Staged(lines.groupBy("hash").agg(F.min(F.struct("doc", "h", "line")).alias("at"), F.count(F.lit(1)).alias("n")).select("hash", "at.doc", "at.h", "at.line", "n"), "reps").df
-    wanted = Staged(reps.join(likely.select("hash").distinct(), "hash").select("hash", "doc", "h", "line"), "wanted").df
-    flags = wanted.mapInArrow(_flag_rows, "hash long, chunk binary").repartition(n, "hash").mapInArrow(_flags_joined, "hash long, chunk binary")
+    posts = docs.select("text").mapInArrow(_postings(levels, least, parts_of(spark)), "part int, blob binary")
+    likely = Staged(exchanged(posts).mapInArrow(_plausible(least), "key long, hash long, side byte").distinct(), "plausible")
+    reps = Staged(lines.groupBy("hash", "more").agg(F.min(F.struct("doc", "h", "line")).alias("at"), F.count(F.lit(1)).alias("n")).select("hash", "more", "at.doc", "at.h", "at.line", "n"), "reps").df
+    wanted = Staged(reps.join(likely.df.select("hash").distinct(), "hash").select("hash", "doc", "h", "line"), "wanted")
+    flags = wanted.df.mapInArrow(_flag_rows, "hash long, chunk binary").repartition(n, "hash").mapInArrow(_flags_joined, "hash long, chunk binary")
     members = docs.mapInArrow(_members(_gather(flags, _FLAGS // 8, np.uint8)), "doc long, h long, line int, words binary").dropDuplicates(["doc", "h", "line"])
-    members = Staged(members.join(wanted, ["doc", "h", "line"]), "members").df
-    met = deal_blocks(likely.join(members, "hash"), ["word"], ["hash"], BLOCK).repartition(n, *order).sortWithinPartitions(*order)
-    similar = met.mapInArrow(_verified(least), "hash long").distinct()
-    near = reps.join(similar, "hash").select("doc", "h", "line")
-    copies = reps.where("n > 1").select("hash", F.col("doc").alias("d0"), F.col("h").alias("h0"), F.col("line").alias("l0"))
-    later = lines.join(copies, "hash").where(F.struct("doc", "h", "line") > F.struct(F.col("d0").alias("doc"), F.col("h0").alias("h"), F.col("l0").alias("line"))).select("doc", "h", "line")
+    members = Staged(members.join(wanted.df, ["doc", "h", "line"]), "members")
+    met = likely.df.join(members.df, "hash").repartition(n, "key").sortWithinPartitions("key")
+    near = Staged(met.mapInArrow(_verified(least), "doc long, h long, line int").distinct(), "similar").df
+    for x in (likely, wanted, members):
+        x.drop()
+    copies = reps.where("n > 1").select("hash", "more", F.col("doc").alias("d0"), F.col("h").alias("h0"), F.col("line").alias("l0"))
+    later = lines.join(copies, ["hash", "more"]).where(F.struct("doc", "h", "line") > F.struct(F.col("d0").alias("doc"), F.col("h0").alias("h"), F.col("l0").alias("line"))).select("doc", "h", "line")
     return lines, near.unionByName(later).distinct()
 
 
@@ -299,17 +327,37 @@ def dedup_lines(documents: DataFrame, least: float = 0.8) -> DataFrame:
     Null texts without a removed line stay null; a document may lose all its lines and then has an empty text.
     """
     _, gone = removed_lines(documents, least)
-    by_doc = Staged(gone.groupBy("doc", "h").agg(F.collect_list("line").alias("removed_")), "removed").df
+    tag = uuid.uuid4().hex[:8]  # names that no column of the documents has
+    doc, h, removed, at = (f"{c}_{tag}" for c in ("doc", "h", "removed", "at"))
+    by_doc = Staged(gone.groupBy("doc", "h").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed").df.select(F.col("doc").alias(doc), F.col("h").alias(h), F.col("removed").alias(removed))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = documents.withColumns({"doc_": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "h_": F.xxhash64(text)})
-    d = keyed.join(by_doc.withColumnsRenamed({"doc": "doc_", "h": "h_"}), ["doc_", "h_"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed_", i)), "\n")
-    d = d.withColumn("text", F.when(F.col("removed_").isNull(), F.col("text")).otherwise(kept))
+    keyed = documents.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), h: F.xxhash64(text)})
+    d = keyed.join(by_doc, [doc, h], "left")
+    same = d.where(F.col(removed).isNull()).select(*documents.columns)
+    kept = d.where(F.col(removed).isNotNull()).withColumn("text", F.col("text").cast("string"))
+    rest = [f for f in kept.schema.fields if f.name not in (doc, h, removed)]
+    kept = kept.drop(doc, h).mapInArrow(_cut_out(removed), T.StructType(rest))
     if "n_chars" in documents.columns:
-        d = d.withColumn("n_chars", F.when(F.col("removed_").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return d.select(*documents.columns)
+        kept = kept.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return same.withColumn("text", F.col("text").cast("string")).select(*documents.columns).unionByName(kept.select(*documents.columns))
+
+
+def _cut_out(removed: str):
+    """The texts without the lines whose ascending numbers are in the column ``removed``."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for i, gone in enumerate(b.column(removed).to_pylist()):
+                gone = set(gone)
+                texts[i] = "\n".join(x for k, x in enumerate((texts[i] or "").split("\n")) if k not in gone)
+            names = [c for c in b.schema.names if c != removed]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
+
+    return run
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the removed lines of each document; nulls, empties, ties and repeated rows as in decisions()."""
     d = decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return d.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
