@@ -191,8 +191,11 @@ def scattered(key, parts: int, columns: dict):
     return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
-def gathered(batches, columns: list[str], key: str):
-    """The other side of scattered(), of rows sorted by part: of each part the columns (int64) sorted by the key, and where its runs start."""
+def gathered(batches, columns: list[str], key: str, shift: int = 0):
+    """The other side of scattered(), of rows sorted by part: of each part the columns (int64) sorted by the key, and where its runs start.
+
+    The lowest ``shift`` bits of the key do not part runs.
+    """
     import numpy as np
 
     def whole(blobs):
@@ -201,7 +204,8 @@ def gathered(batches, columns: list[str], key: str):
         x = np.concatenate(parts, 1)
         order = np.argsort(x[columns.index(key)], kind="stable")
         a = {c: x[i][order] for i, c in enumerate(columns)}
-        return a, np.flatnonzero(np.append(True, a[key][1:] != a[key][:-1]))
+        k = a[key] >> shift
+        return a, np.flatnonzero(np.append(True, k[1:] != k[:-1]))
 
     now, held = None, []
     for b in batches:

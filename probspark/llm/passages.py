@@ -5,20 +5,24 @@ on, and an anchor is the smallest five-word shingle hash of some ``window`` cons
 around them alone, so any passage of ``length + window`` - 1 words has the same paragraphs wherever it stands: with the
 defaults every passage of over 50 words that is repeated word by word is found.
 
-Paragraphs do not cover the texts, so a repeated one is extended word by word, on either side, as far as some earlier
-document with a paragraph of its cluster goes on alike, ``window`` - 1 words at most.  That covers the whole passage: what a
-repeated passage has beyond its last common paragraph, before its first, or between two is never longer, as a window of
-shingles more would have a common anchor.
+Paragraphs do not cover the texts.  What few words stand between two neighbouring ones that are both repeated goes with
+them, and where a run of repeated paragraphs ends it is extended word by word as far as some earlier document with a
+paragraph of its cluster goes on alike, ``window`` - 1 words at most.  That covers the whole passage: what a repeated passage
+has beyond its last common paragraph or before its first is never longer, as a window of shingles more would have a common
+anchor.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import Forest, Staged, by_size, connected, deal_blocks, fan_out, whole_runs, word_hashes
+from ._util import Forest, Staged, by_size, connected, deal_blocks, exchanged, fan_out, gathered, parts_of, run_pairs, scattered, whole_runs, word_hashes
 
 SHINGLE = 5
 LENGTH, WINDOW = 24, 28
@@ -27,6 +31,9 @@ BANDS, ROWS = 4, 2
 #: Words to which a repeated paragraph is extended on either side at most.
 REACH = WINDOW - 1
 BLOCK = 512
+#: Bits of a band key that hold the parity of the paragraph's shingles.
+PARITY = 24
+_SLICE = 1 << 20
 _FLAGS = 1 << 23
 _CHUNK = 4096
 _M = np.random.default_rng(9).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -97,101 +104,182 @@ def _bands(rows: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-_PARTS = "doc long, content long"
+def _parity(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each paragraph one bit of PARITY flipped a shingle: two that share all but d of theirs differ in d bits at most."""
+    bit = np.uint64(1) << ((rows * _M[58] >> np.uint64(40)) % np.uint64(PARITY))
+    own = np.arange(rows.shape[1])[None, :] <= (size - SHINGLE)[:, None]
+    return np.bitwise_xor.reduce(np.where(own, bit, np.uint64(0)), 1)
 
 
-def _cut(batches):
-    for b in batches:
-        for (docs,), texts in by_size(b, ["doc"]):
-            owner, _, _, _, content, *_ = _paragraphs(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64)[owner]), pa.array(content.view(np.int64))], ["doc", "content"])
+class Seen:
+    """The contents that a task has met, each with its first document."""
 
+    def __init__(self):
+        self.content, self.doc, self.told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def find(self, content: np.ndarray) -> np.ndarray:
+        """Place of each content, or -1."""
+        at = np.searchsorted(self.content, content)
+        hit = np.append(self.content, np.uint64(0))[at] == content
+        hit &= at < len(self.content)
+        return np.where(hit, at, -1)
+
+    def add(self, content: np.ndarray, doc: np.ndarray) -> None:
+        if len(content):
+            all_ = np.concatenate([self.content, content])
+            order = np.argsort(all_, kind="stable")
+            self.content, self.doc = all_[order], np.concatenate([self.doc, doc])[order]
+            self.told = np.concatenate([self.told, np.zeros(len(content), bool)])[order]
+
+
+def _banded(parts: int):
+    """Each paragraph of a task's texts, once, scattered by its band keys, whose lowest bits are its parity."""
+
+    def run(batches):
+        seen = Seen()
+        for b in batches:
+            for _, texts in by_size(b, [], most=_SLICE):
+                _, _, size, rows, content, *_ = _paragraphs(texts)
+                content, one = np.unique(content, return_index=True)
+                new = seen.find(content) < 0
+                content, one = content[new], one[new]
+                seen.add(content, np.zeros(len(content), np.int64))
+                low = np.uint64((1 << PARITY) - 1)
+                band = _bands(rows[one]) & ~low | _parity(rows[one], size[one])[:, None]
+                yield scattered(band.ravel(), parts, {"band": band.ravel(), "content": np.repeat(content, BANDS)})
+
+    return run
 
-def _banded(batches):
-    """(band, content, h) of each paragraph of a slice of texts, each once; h is its text's hash."""
-    for b in batches:
-        for (hs,), texts in by_size(b, ["h"]):
-            owner, _, _, rows, content, *_ = _paragraphs(texts)
-            h, content = np.array(hs, np.int64)[owner], content.view(np.int64)
-            one = np.lexsort((h, content))
-            one = one[np.append(True, (np.diff(content[one]) != 0) | (np.diff(h[one]) != 0))[: len(one)]]
-            if len(one):
-                yield pa.RecordBatch.from_arrays([pa.array(_bands(rows[one]).view(np.int64).ravel()), pa.array(np.repeat(content[one], BANDS)), pa.array(np.repeat(h[one], BANDS))], ["band", "content", "h"])
 
+def _plausible(least: float):
+    """Of each band key's contents those with a partner that may be similar by its parity; of large groups all."""
+    most = int((LENGTH - SHINGLE + 1) * 2 * (1 - least) / (1 + least) + 1e-9)  # shingles that a similar pair does not share
+
+    def run(batches):
+        for a, _ in gathered(batches, ["band", "content"], "band", PARITY):
+            order = np.lexsort((a["content"], a["band"]))  # several tasks may have sent one content
+            band, content = a["band"][order], a["content"][order]
+            new = np.append(True, (band[1:] != band[:-1]) | (content[1:] != content[:-1]))
+            a = {"band": band[new], "content": content[new]}
+            starts = np.flatnonzero(np.append(True, a["band"][1:] >> PARITY != a["band"][:-1] >> PARITY))
+            n = len(a["band"])
+            length = np.diff(np.append(starts, n))
+            keep = np.repeat(length > BLOCK, length)
+            small = starts[(length <= BLOCK) & (length > 1)]
+            at = np.concatenate([np.arange(s, s + m) for s, m in zip(small, length[(length <= BLOCK) & (length > 1)])]) if len(small) else small
+            own = np.cumsum(length[(length <= BLOCK) & (length > 1)])
+            band, content = a["band"][at], a["content"][at]
+            for i, j in run_pairs(np.append(0, own[:-1]) if len(own) else own, len(at)):
+                odd = np.bitwise_count((band[i] ^ band[j]).view(np.uint64))  # keys are alike but for the parity
+                ok = (odd <= most) & (content[i] != content[j])
+                keep[at[i[ok]]] = True
+                keep[at[j[ok]]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(a["band"][keep] >> PARITY), pa.array(a["content"][keep])], ["band", "content"])
+
+    return run
 
-def _chains(words: np.ndarray) -> np.ndarray:
-    """Row by row, a hash of the first one, two, ... words."""
-    return np.cumsum(words * _M[: words.shape[1]], 1, dtype=np.uint64)
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    width = rows.shape[1] * 8
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
 
+#: What an occurrence is sent for: the task's first of its content, to be kept if others tell of another document; a word
+#: that there is another document; or one that is known to be repeated.
+FIRST, TOLD, KNOWN = 0, 1, 2
 
-_FOUND = "doc long, h long, pos int, n int, content long, before int, after int, left binary, right binary"
 
+def _occurring(parts: int):
+    """Each paragraph's occurrences: document, text, first word, number in the text and length.
 
-def _flagged(flags: np.ndarray):
-    """Paragraphs whose flag is set, with how many words stand around them (REACH at most) and the hashes of these, outwards."""
+    The first of a task goes to its content's part, and so does one word if another document of the task has it too; all
+    further ones are known to be repeated and go anywhere.  So of a paragraph that is everywhere a part gets two rows a task.
+    """
 
     def run(batches):
+        seen = Seen()
         for b in batches:
-            for (docs, hs), texts in by_size(b, ["doc", "h"], most=1 << 20):
-                owner, pos, size, _, content, a, (n, w) = _paragraphs(texts)
-                f = (content % np.uint64(_FLAGS)).astype(np.int64)
-                at = np.flatnonzero(flags[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1)
-                owner, pos, size, content, a = owner[at], pos[at], size[at], content[at], a[at]
-                k = np.arange(REACH)
-                left = _chains(w[np.maximum(a[:, None] - 1 - k, 0)])
-                right = _chains(w[np.minimum((a + size)[:, None] + k, len(w) - 1)])
-                around = [np.minimum(pos, REACH), np.minimum(n[owner] - pos - size, REACH)]
-                cols = [np.array(docs, np.int64)[owner], np.array(hs, np.int64)[owner], *[x.astype(np.int32) for x in (pos, size)], content.view(np.int64), *[x.astype(np.int32) for x in around]]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], _binary(left), _binary(right)], [x.split()[0] for x in _FOUND.split(", ")])
+            for (docs, hs), texts in by_size(b, ["doc", "h"], most=_SLICE):
+                owner, pos, size, _, content, *_ = _paragraphs(texts)
+                begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else owner
+                number = np.arange(len(owner)) - np.repeat(begin, np.diff(np.append(begin, len(owner))))
+                doc, h = np.array(docs, np.int64)[owner], np.array(hs, np.int64)[owner]
+                _, one = np.unique(content, return_index=True)
+                one = one[seen.find(content[one]) < 0]
+                kind = np.full(len(content), KNOWN)
+                kind[one] = FIRST
+                seen.add(content[one], doc[one])
+                at = seen.find(content)
+                other = np.flatnonzero((seen.doc[at] != doc) & ~seen.told[at])
+                _, some = np.unique(content[other], return_index=True)
+                other = other[some]
+                seen.told[at[other]] = True
+                row = np.concatenate([np.arange(len(content)), other])
+                kind = np.concatenate([kind, np.full(len(other), TOLD)])
+                spread = _mixed(content[row]) + np.where(kind == KNOWN, _mixed(h[row].view(np.uint64)), np.uint64(0))
+                yield scattered(_mixed(spread), parts, {"content": content[row], "doc": doc[row], "h": h[row], "pos": pos[row], "number": kind << 56 | number[row] << 8 | size[row]})
+
+    return run
+
+
+def _repeated(flags: np.ndarray):
+    """The occurrences of contents in two documents or more, or whose flag is set (all that are similar to others, and a few more)."""
+    names = ["content", "doc", "h", "pos", "number"]
+
+    def run(batches):
+        for a, _ in gathered(batches, names, "content"):
+            kind = a["number"] >> 56
+            a["number"] &= (1 << 56) - 1
+            own = kind != KNOWN
+            starts = np.flatnonzero(np.append(True, np.diff(a["content"][own]) != 0)) if own.any() else np.zeros(0, np.int64)
+            keep = kind == KNOWN
+            if len(starts):
+                doc, content = a["doc"][own], a["content"][own]
+                many = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
+                f = (content[starts].view(np.uint64) % np.uint64(_FLAGS)).astype(np.int64)
+                many |= (flags[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1).astype(bool)
+                keep[own] = np.repeat(many, np.diff(np.append(starts, len(doc)))) & (kind[own] == FIRST)
+            yield pa.RecordBatch.from_arrays([pa.array(a[c][keep]) for c in names], names)
 
     return run
 
 
-def _reach(run: np.ndarray, doc: np.ndarray, around: np.ndarray, chains) -> np.ndarray:
-    """How many words of each row's side an earlier document of its run has too."""
-    chains = np.frombuffer(b"".join(chains), np.uint64).reshape(-1, REACH)
-    out, live = np.zeros(len(run), np.int64), np.arange(len(run))
-    for r in range(REACH):
-        live = live[around[live] > r]
-        if not len(live):
-            break
-        live = live[np.lexsort((chains[live, r], run[live]))]
-        new = np.append(True, (np.diff(run[live]) != 0) | (np.diff(chains[live, r]) != 0))
-        start = np.flatnonzero(new)
-        first, last = np.minimum.reduceat(doc[live], start), np.maximum.reduceat(doc[live], start)
-        group = np.cumsum(new) - 1
-        out[live[doc[live] > first[group]]] = r + 1
-        live = live[(first < last)[group]]
-    return out
-
-
-_SPANS = "doc long, h long, pos int, n int, cluster long, first_doc long, a int, b int"
-
-
-def _extended(batches):
-    """Paragraphs sorted by cluster, with the span [a, b) of words that each repeats."""
-    names = [x.split()[0] for x in _SPANS.split(", ")]
-    for x, starts in whole_runs(batches, [*names[:-2], "before", "after", "left", "right"], ["cluster"]):
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x["doc"]))))
-        a = x["pos"] - _reach(run, x["doc"], x["before"], x["left"])
-        b = x["pos"] + x["n"] + _reach(run, x["doc"], x["after"], x["right"])
-        yield pa.RecordBatch.from_arrays([*[pa.array(x[c]) for c in names[:-2]], pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names)
-
-
-def _shared(batches):
-    """Of each band key's contents those that are not alone in it; overlapping paragraphs of one text do not count as met."""
-    for a, starts in whole_runs(batches, ["band", "content", "h"], ["band"]):
-        n = len(a["band"])
-        length = np.diff(np.append(starts, n))
-        lo, hi = np.minimum.reduceat(a["content"], starts), np.maximum.reduceat(a["content"], starts)
-        texts = np.minimum.reduceat(a["h"], starts) != np.maximum.reduceat(a["h"], starts)
-        keep = np.repeat((lo != hi) & texts, length)
-        yield pa.RecordBatch.from_arrays([pa.array(a[c][keep]) for c in ("band", "content")], ["band", "content"])
+def _some(flags: np.ndarray):
+    """The texts whose flag is set."""
+
+    def run(batches):
+        for b in batches:
+            f = (b.column("h").to_numpy().view(np.uint64) % np.uint64(_FLAGS)).astype(np.int64)
+            yield b.filter(pa.array((flags[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return run
+
+
+def _around(wanted: str):
+    """Hashes of the first one, two, ... words beyond each wanted end: a row (key, doc, h, pos, side, reach) each.
+
+    Keys are of the cluster, the side, and the words; ``wanted`` is the column of a text's ends (place, side, cluster, pos).
+    """
+
+    def run(batches):
+        names = ["key", "doc", "h", "pos", "side", "reach"]
+        for b in batches:
+            for (docs, hs, ends), texts in by_size(b, ["doc", "h", wanted], most=_SLICE):
+                w, of, _, _ = word_hashes(texts)
+                begin = np.searchsorted(of, np.arange(len(texts) + 1))
+                out = []
+                for i, (doc, h) in enumerate(zip(docs, hs)):
+                    lo, hi = begin[i], begin[i + 1]
+                    for e in ends[i]:
+                        at = lo + e["at"]
+                        x = w[at : min(hi, at + REACH)] if e["side"] else w[max(lo, at - REACH) : at][::-1]
+                        if len(x):
+                            key = _mixed(np.cumsum(x * _M[: len(x)], dtype=np.uint64) + np.uint64((e["cluster"] * 2 + e["side"]) * int(_M[61]) & (1 << 64) - 1))
+                            out.append((key, doc, h, e["pos"], e["side"]))
+                if out:
+                    n = np.array([len(x[0]) for x in out])
+                    cols = [np.repeat(np.array(c, np.int64), n) for c in list(zip(*out))[1:]]
+                    reach = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), *[pa.array(c) for c in cols[:3]], pa.array(cols[3].astype(np.int8)), pa.array(reach.astype(np.int32))], names)
+
+    return run
 
 
 def _flag_rows(batches):
@@ -226,7 +314,7 @@ def _members(flags: np.ndarray):
 
     def run(batches):
         for b in batches:
-            for _, texts in by_size(b, []):
+            for _, texts in by_size(b, [], most=_SLICE):
                 _, _, _, rows, content, *_ = _paragraphs(texts)
                 f = (content % np.uint64(_FLAGS)).astype(np.int64)
                 at = np.flatnonzero(flags[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1)
@@ -265,6 +353,23 @@ def _verified(least: float):
     return run
 
 
+def clusters(documents: DataFrame, least: float = 0.8) -> Staged:
+    """(node, component): paragraphs by content that are similar to others, and their components."""
+    spark = documents.sparkSession
+    n, docs = fan_out(spark), _documents(documents)
+    bands = docs.select("text").mapInArrow(_banded(parts_of(spark)), "part int, blob binary")
+    shared = Staged(exchanged(bands).mapInArrow(_plausible(least), "band long, content long").distinct(), "shared")
+    wanted = shared.df.select("content").distinct()
+    members = docs.select("text").mapInArrow(_members(_flags(shared.df)), "content long, shingles binary")
+    members = Staged(members.join(wanted, "content", "left_semi").dropDuplicates(["content"]), "members")
+    order = ["band", "bi", "bj"]
+    met = deal_blocks(shared.df.join(members.df, "content"), ["band"], ["content"], BLOCK).repartition(n, *order).sortWithinPartitions(*order)
+    comp = connected(met.mapInArrow(_verified(least), "a long, b long"), "a", "b")
+    shared.drop()
+    members.drop()
+    return comp
+
+
 def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     """(doc, h, pos, n, cluster, first_doc, a, b): every paragraph of a cluster that occurs in two documents or more.
 
@@ -272,31 +377,46 @@ def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     five-word shingles; ``first_doc`` is the smallest doc_id with one.  Repeats within a document alone are left alone.
     Texts of fewer than five words have no paragraph; those of fewer words than a paragraph are one.  Rows with one doc_id
     are one document here, h (the text's hash) tells their texts apart; null doc_ids are the smallest long.  Words a to b are
-    the paragraph and what around it an earlier document with one of the cluster has too, word by word.
+    the paragraph, what stands between it and a repeated neighbour, and at the ends of a run of repeated paragraphs what an
+    earlier document with one of the cluster has too, word by word.
     """
     spark = documents.sparkSession
-    n = fan_out(spark)
     docs = _documents(documents)
-    parts = Staged(docs.select("doc", "text").mapInArrow(_cut, _PARTS), "paragraphs")
-    bands = docs.select("h", "text").mapInArrow(_banded, "band long, content long, h long")
-    shared = Staged(bands.repartition(n, "band").sortWithinPartitions("band").mapInArrow(_shared, "band long, content long").distinct(), "shared")
-    wanted = shared.df.select("content").distinct()
-    members = docs.select("text").mapInArrow(_members(_flags(shared.df)), "content long, shingles binary")
-    members = Staged(members.join(wanted, "content", "left_semi").dropDuplicates(["content"]), "members")
-    order = ["band", "bi", "bj"]
-    met = deal_blocks(shared.df.join(members.df, "content"), ["band"], ["content"], BLOCK).repartition(n, *order).sortWithinPartitions(*order)
-    comp = connected(met.mapInArrow(_verified(least), "a long, b long"), "a", "b").df
-    shared.drop()
-    members.drop()
-    by_content = parts.df.groupBy("content").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"))
-    rooted = by_content.join(comp.withColumnRenamed("node", "content"), "content", "left").where("d0 < d1 or component is not null")
-    rooted = Staged(rooted.select("content", F.coalesce("component", "content").alias("cluster"), "d0", "d1"), "rooted").df
-    parts.drop()
-    whole = rooted.groupBy("cluster").agg(F.min("d0").alias("first_doc"), F.max("d1").alias("last_doc")).where("first_doc < last_doc")
-    named = Staged(rooted.select("content", "cluster").join(whole.select("cluster", "first_doc"), "cluster"), "named").df
-    some = docs.mapInArrow(_flagged(_flags(named)), _FOUND)  # most paragraphs are in no cluster and need no shuffle
-    found = some.join(named, "content").drop("content").repartition(n, "cluster").sortWithinPartitions("cluster")
-    return found.mapInArrow(_extended, _SPANS)
+    comp = clusters(documents, least).df
+    flags = _flags(comp.select(F.col("node").alias("content")))
+    found = exchanged(docs.mapInArrow(_occurring(parts_of(spark)), "part int, blob binary")).mapInArrow(_repeated(flags), "content long, doc long, h long, pos long, number long")
+    found = Staged(found.distinct().select("content", "doc", "h", "pos", F.shiftright("number", 8).alias("number"), F.col("number").bitwiseAND(255).alias("n")), "occurring")
+    equal = found.df.groupBy("content").agg(F.min("doc").alias("equal_doc"))
+    named = equal.join(comp.withColumnRenamed("node", "content"), "content", "left").select("content", "equal_doc", F.coalesce("component", "content").alias("cluster"))
+    found = Staged(found.df.join(named, "content").drop("content"), "found")
+    whole = found.df.groupBy("cluster").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    text, later = Window.partitionBy("doc", "h").orderBy("number"), F.col("doc") > F.col("first_doc")
+    # a neighbour that an earlier document has word by word ends where it ends there; one that is similar may hang over
+    equal = F.when(F.col("doc") > F.col("equal_doc"), F.col("number"))
+    rows = found.df.join(whole, "cluster").withColumns({
+        "before": F.when(F.lag(equal).over(text) == F.col("number") - 1, F.lag(F.col("pos") + F.col("n")).over(text)),
+        "after": F.when(F.lead(equal).over(text) == F.col("number") + 1, F.lead("pos").over(text)),
+    })
+    rows = Staged(rows, "repeated")
+    found.drop()
+    # clusters at the ends of runs in later documents, and for those the words around all their occurrences
+    ends = [rows.df.where(later & F.col(c).isNull()).select("cluster", F.lit(side).cast("byte").alias("side")) for side, c in enumerate(("before", "after"))]
+    ends = ends[0].unionByName(ends[1]).distinct()
+    at = F.when(F.col("side") == 0, F.col("pos")).otherwise(F.col("pos") + F.col("n"))
+    wanted = rows.df.join(ends, "cluster").groupBy("doc", "h").agg(F.collect_list(F.struct(at.cast("int").alias("at"), "side", "cluster", "pos")).alias("ends"))
+    wanted = Staged(wanted, "wanted")
+    some = docs.mapInArrow(_some(_flags(wanted.df.select(F.col("h").alias("content")))), docs.schema)  # most texts need no shuffle
+    around = some.join(wanted.df, ["doc", "h"])
+    keys = Staged(around.mapInArrow(_around("ends"), "key long, doc long, h long, pos long, side byte, reach int"), "around")
+    first = keys.df.groupBy("key").agg(F.min("doc").alias("d0"))
+    reach = keys.df.join(first, "key").where("doc > d0").groupBy("doc", "h", "pos").pivot("side", [0, 1]).agg(F.max("reach"))
+    reach = Staged(reach.select("doc", "h", "pos", F.col("0").alias("left"), F.col("1").alias("right")), "reach").df
+    keys.drop()
+    wanted.drop()
+    out = rows.df.join(reach, ["doc", "h", "pos"], "left")
+    a = F.when(F.col("before").isNull(), F.col("pos") - F.coalesce("left", F.lit(0))).otherwise(F.col("pos"))
+    b = F.when(F.col("after").isNull(), F.col("pos") + F.col("n") + F.coalesce("right", F.lit(0))).otherwise(F.greatest("after", F.col("pos") + F.col("n")))
+    return out.select("doc", "h", F.col("pos").cast("int").alias("pos"), F.col("n").cast("int").alias("n"), "cluster", "first_doc", a.cast("int").alias("a"), b.cast("int").alias("b"))
 
 
 def repeats(documents: DataFrame, least: float = 0.8) -> DataFrame:
@@ -323,33 +443,38 @@ def repeats(documents: DataFrame, least: float = 0.8) -> DataFrame:
     return g.select(back("doc").alias("doc_id"), "h", "n_repeated", "n_removed", merged.alias("spans"), back("first_doc").alias("first_doc_id"))
 
 
-def _without(batches):
-    import re
-
+def _without(column: str):
     word = re.compile("[^ \t\n\r\x0b\x0c]+")
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        for i, spans in enumerate(b.column("spans_").to_pylist()):
-            if spans:
-                at = [m.span() for m in word.finditer(texts[i])]
-                out, done = [], 0
-                for s in spans:
-                    out.append(texts[i][done : at[s["a"]][0]])
-                    done = at[s["b"] - 1][1]
-                texts[i] = "".join([*out, texts[i][done:]])
-        cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in b.schema.names if c != "spans_"]
-        yield pa.RecordBatch.from_arrays(cols, [c for c in b.schema.names if c != "spans_"])
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for i, spans in enumerate(b.column(column).to_pylist()):
+                if spans:
+                    at = [m.span() for m in word.finditer(texts[i])]
+                    out, done = [], 0
+                    for s in spans:
+                        out.append(texts[i][done : at[s["a"]][0]])
+                        done = at[s["b"] - 1][1]
+                    texts[i] = "".join([*out, texts[i][done:]])
+            names = [c for c in b.schema.names if c != column]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
+
+    return run
 
 
 def remove_repeats(documents: DataFrame, least: float = 0.8) -> DataFrame:
     """The documents without the words of later occurrences; other columns as they are."""
-    r = repeats(documents, least).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_"), F.col("h").alias("h_"), F.col("spans").alias("spans_"))
-    keyed = documents.withColumn("text", F.col("text").cast("string")).withColumns({"doc_": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "h_": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    d = keyed.join(r, ["doc_", "h_"], "left").select(*documents.columns, "spans_")
-    return d.mapInArrow(_without, d.drop("spans_").schema)
+    tag = uuid.uuid4().hex[:8]  # names that no column of the documents has
+    doc, h, spans = (f"{c}_{tag}" for c in ("doc", "h", "spans"))
+    r = repeats(documents, least).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(doc), F.col("h").alias(h), F.col("spans").alias(spans))
+    keyed = documents.withColumn("text", F.col("text").cast("string")).withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), h: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    d = keyed.join(r, [doc, h], "left").select(*documents.columns, spans)
+    return d.mapInArrow(_without(spans), d.drop(spans).schema)
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs and removed words of each document that has any; nulls, empties and repeated rows as in occurrences()."""
     r = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["a"].cast("string"), s["b"].cast("string"))), ",")
     return r.select("doc_id", "first_doc_id", "n_repeated", "n_removed", spans.alias("removed_words"))
