@@ -158,7 +158,14 @@ def run_pairs(starts, n: int, most: int = 1 << 20):
     import numpy as np
 
     length = np.diff(np.append(starts, n))
-    left = np.repeat(starts + length, length) - np.arange(n) - 1  # rows after each in its run
+    yield from near_pairs(np.repeat(starts + length, length), most)
+
+
+def near_pairs(end, most: int = 1 << 20):
+    """Index pairs (i, j), i < j < end[i], in arrays of about ``most`` at a time."""
+    import numpy as np
+
+    left = end - np.arange(len(end)) - 1
     lag, i, held_i, held_j, held = 1, np.flatnonzero(left > 0), [], [], 0
     while len(i):
         held_i.append(i)

@@ -13,12 +13,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import Staged, by_size, distinct, exchanged, fan_out, gathered, parts_of, run_pairs, scattered, whole_runs, word_hashes
+from ._util import Staged, by_size, distinct, exchanged, fan_out, gathered, near_pairs, parts_of, run_pairs, scattered, whole_runs, word_hashes
 
 #: Word frequencies are counted in 2^SKETCH_BITS buckets: a fixed size to broadcast (a byte each), whatever the corpus.
 #: Any common order of words gives the same result; rare words first just give the fewest pairs.
@@ -167,19 +166,27 @@ def _sides(meta: np.ndarray):
     return meta & 3
 
 
+def _by_length(a: dict, starts: np.ndarray, k: np.ndarray, least: float):
+    """Rows of each run in the order of their set sizes, and for each where those end that are not too large for it."""
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(k))))
+    both = run << 24 | k
+    order = np.argsort(both, kind="stable")
+    limit = np.floor(k[order] / least + 1e-9).astype(np.int64)
+    return {c: v[order] for c, v in a.items()}, k[order], np.searchsorted(both[order], run[order] << 24 | np.minimum(limit, (1 << 24) - 1), "right")
+
+
 def _plausible(least: float):
     """Of each word's postings those with a partner that passes the length, positional and parity filters."""
 
     def run(batches):
         for a, starts in gathered(batches, _COLUMNS, "key"):
-            keep = np.zeros(len(a["meta"]), bool)
-            k, pos, side = a["meta"] >> 40, a["meta"] >> 18 & (1 << 22) - 1, _sides(a["meta"])
-            for i, j in run_pairs(starts, len(keep)):
-                ok = np.minimum(k[i], k[j]) >= _need(np.maximum(k[i], k[j]), least)
-                i, j = i[ok], j[ok]
+            a, k, end = _by_length(a, starts, a["meta"] >> 40, least)
+            keep = np.zeros(len(k), bool)
+            after, side = k - (a["meta"] >> 18 & (1 << 22) - 1), _sides(a["meta"])
+            for i, j in near_pairs(end, 1 << 17):
                 both = k[i] + k[j]
                 share = _need(both, least / (1 + least))
-                ok = np.minimum(k[i] - pos[i], k[j] - pos[j]) >= share
+                ok = np.minimum(after[i], after[j]) >= share
                 i, j, both, share = i[ok], j[ok], both[ok], share[ok]
                 odd = np.bitwise_count((a["p0"][i] ^ a["p0"][j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((a["p1"][i] ^ a["p1"][j]).view(np.uint64))
                 ok = (odd <= both - 2 * share) & (a["hash"][i] != a["hash"][j]) & ((side[i] == 0) | (side[i] != side[j]))
@@ -190,15 +197,16 @@ def _plausible(least: float):
     return run
 
 
-def _flag(doc, h, line) -> int:
-    return xxhash.xxh64_intdigest(b"%d %d %d" % (doc, h, line)) % _FLAGS
+def _flag(doc: np.ndarray, h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    x = (doc.view(np.uint64) * _MIX ^ h.view(np.uint64)) * _MIX2 + line.astype(np.uint64)
+    x ^= x >> np.uint64(29)
+    return ((x * _MIX) >> np.uint64(64 - (_FLAGS.bit_length() - 1))).astype(np.int64)
 
 
 def _flag_rows(batches):
     bits = np.zeros(_FLAGS, bool)
     for b in batches:
-        for x in zip(*(b.column(c).to_pylist() for c in ("doc", "h", "line"))):
-            bits[_flag(*x)] = True
+        bits[_flag(*(b.column(c).to_numpy() for c in ("doc", "h", "line")))] = True
     chunks = np.packbits(bits).reshape(-1, _CHUNK)
     at = np.flatnonzero(chunks.any(1))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([chunks[i].tobytes() for i in at], pa.binary())], ["hash", "chunk"])
@@ -218,56 +226,60 @@ def _members(flags: np.ndarray):
     def run(batches):
         for b in batches:
             for (docs, hs), texts in by_size(b, ["doc", "h"], most=_SLICE):
-                at, found = [], []
-                for d, h, t in zip(docs, hs, texts):
-                    for i, x in enumerate(t.split("\n")):
-                        if flags[(f := _flag(d, h, i)) >> 3] >> (7 - (f & 7)) & 1:
-                            at.append((d, h, i))
-                            found.append(x)
-                w, of, _, _ = word_hashes(found)
-                cut = np.searchsorted(of, np.arange(len(found) + 1))
-                sets = [np.unique(w[a:b]).tobytes() for a, b in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([*[pa.array([r[c] for r in at], k) for c, k in enumerate((pa.int64(), pa.int64(), pa.int32()))], pa.array(sets, pa.binary())], ["doc", "h", "line", "words"])
+                split = [t.split("\n") for t in texts]
+                n = np.fromiter(map(len, split), np.int64, len(split))
+                of = np.repeat(np.arange(len(n)), n)
+                line = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                doc, h = np.array(docs, np.int64)[of], np.array(hs, np.int64)[of]
+                f = _flag(doc, h, line)
+                at = np.flatnonzero(flags[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1)
+                if not len(at):
+                    continue
+                w, own, _, _ = word_hashes([split[i][k] for i, k in zip(of[at].tolist(), line[at].tolist())])
+                order = np.lexsort((w, own))
+                w, own = w[order], own[order]
+                new = np.append(True, (w[1:] != w[:-1]) | (own[1:] != own[:-1])) if len(w) else np.zeros(0, bool)
+                w, own = w[new], own[new]
+                cut = np.searchsorted(own, np.arange(len(at) + 1))
+                sets = [w[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(h[at]), pa.array(line[at].astype(np.int32)), pa.array(sets, pa.binary())], ["doc", "h", "line", "words"])
 
     return run
 
 
 def _verified(least: float):
     """First lines of the sets for which some earlier set of a word's postings is similar; for each the search ends at the first."""
-    keys = ["key"]
+    columns = ["key", "side", "doc", "h", "line", "words"]
 
     def run(batches):
         gone: set[tuple] = set()
-        for a, starts in whole_runs(batches, [*keys, "side", "doc", "h", "line", "words"], keys):
+        for a, starts in whole_runs(batches, columns, ["key"]):
+            n = len(a["key"])
+            size = np.fromiter(map(len, a["words"]), np.int64, n) >> 3
+            flat = np.frombuffer(b"".join(a["words"]), np.uint64)
+            parity = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), np.cumsum(size) - size)
+            order = np.lexsort((a["line"], a["h"], a["doc"]))
+            rank = np.empty(n, np.int64)
+            rank[order] = np.arange(n)
+            at = list(zip(a["doc"].tolist(), a["h"].tolist(), a["line"].tolist()))
+            sets: dict[int, frozenset] = {}
             found = []
-            for s, e in zip(starts, [*starts[1:], len(a["key"])]):
-                if e - s < 2:
-                    continue
-                at = list(zip(a["doc"][s:e].tolist(), a["h"][s:e].tolist(), a["line"][s:e].tolist()))
-                rows = sorted(range(s, e), key=lambda i: at[i - s])
-                raw = [np.frombuffer(a["words"][i], np.uint64) for i in rows]
-                size = np.array([len(x) for x in raw])
-                one = np.uint64(1)
-                parity = np.array([np.bitwise_xor.reduce(one << (x & np.uint64(63))) for x in raw])
-                sets: list = [None] * len(rows)
-                side = a["side"][rows]
-                for q in range(1, len(rows)):
-                    if (mine := at[rows[q] - s]) in gone:
+            for i, j in run_pairs(starts, n, 1 << 17):
+                both = size[i] + size[j]
+                ok = np.bitwise_count(parity[i] ^ parity[j]) <= both - 2 * _need(both, least / (1 + least))
+                ok &= (a["side"][i] == 0) | (a["side"][i] != a["side"][j])
+                i, j = i[ok], j[ok]
+                late = rank[i] > rank[j]
+                for p, q in zip(np.where(late, j, i).tolist(), np.where(late, i, j).tolist()):
+                    if at[q] in gone or at[p] == at[q]:
                         continue
-                    both = size[:q] + size[q]
-                    ok = np.bitwise_count(parity[:q] ^ parity[q]) <= both - 2 * _need(both, least / (1 + least))
-                    ok &= (side[:q] == 0) | (side[:q] != side[q])
-                    for p in np.flatnonzero(ok):
-                        if at[rows[p] - s] == mine:
-                            continue
-                        for x in (p, q):
-                            if sets[x] is None:
-                                sets[x] = frozenset(raw[x].tolist())
-                        shared = len(sets[p] & sets[q])
-                        if shared >= least * (both[p] - shared) - 1e-9:
-                            gone.add(mine)
-                            found.append(mine)
-                            break
+                    for x in (p, q):
+                        if x not in sets:
+                            sets[x] = frozenset(np.frombuffer(a["words"][x], np.uint64).tolist())
+                    shared = len(sets[p] & sets[q])
+                    if shared >= least * (len(sets[p]) + len(sets[q]) - shared) - 1e-9:
+                        gone.add(at[q])
+                        found.append(at[q])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc", "h", "line"])
             if len(gone) > 1_000_000:
