@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 from math import comb
 
@@ -16,6 +17,8 @@ from ._util import Forest, Staged, connected, deal_blocks, fan_out, run_pairs, w
 BITS = 64
 #: A bucket with more fingerprints is dealt out in pairs of blocks of about this many.
 BLOCK = 1024
+#: Shingles whose bits are counted at a time.
+PART = 1 << 16
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -35,10 +38,11 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
         starts = np.concatenate([[0], ends[:-1] + 1])[: len(w) - words + 1].tolist()
         digest = xxhash.xxh64_digest
         h = b"".join([digest(joined[s:e], seed) for s, e in zip(starts, ends[words - 1 :].tolist())])
-    n = len(h) // 8
-    bits = np.unpackbits(np.frombuffer(h, np.uint8)).reshape(n, BITS)
-    whole = n // 255 * 255  # sums of 255 bits stay within a byte
-    count = bits[:whole].reshape(-1, 255, BITS).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
+    n, count = len(h) // 8, np.zeros(BITS, np.int64)
+    for at in range(0, n, PART):  # bits of some shingles at a time, however long the text
+        bits = np.unpackbits(np.frombuffer(h, np.uint8, 8 * min(PART, n - at), 8 * at)).reshape(-1, BITS)
+        whole = len(bits) // 255 * 255  # sums of 255 bits stay within a byte
+        count += bits[:whole].reshape(-1, 255, BITS).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 
@@ -158,17 +162,23 @@ def keep_first(documents: DataFrame, words: int = 5, most: int = 4) -> DataFrame
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
     fps = Staged(keyed.mapInArrow(_hashed_fingerprints(words), "doc_id long, h long, fp long"), "simhash").df
     comp = components(fps.select("doc_id", "fp"), most).select("fp", "component_id").distinct()
-    return first_rows(documents, fps.join(comp, "fp"), "component_id")
+    return first_rows(documents, fps, "fp", comp, "component_id")
 
 
-def first_rows(documents: DataFrame, named: DataFrame, group: str) -> DataFrame:
-    """Of each group of the rows (doc_id, h, group) the documents' row with the smallest doc_id (null last) and text hash h, once."""
-    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def first_rows(documents: DataFrame, rows: DataFrame, key: str, groups: DataFrame, group: str) -> DataFrame:
+    """Of each group of the rows (doc_id, h, key) the documents' row with the smallest doc_id (null last) and text hash h, once.
+
+    ``groups`` names the group of a key; a key that it does not name is a group of its own.  Rows of one key, which copies
+    can make many, are reduced to their first before anything is joined.
+    """
+    tag = uuid.uuid4().hex[:8]  # names that no column of the documents has
+    d, h = f"d_{tag}", f"h_{tag}"
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     last = F.lit((1 << 63) - 1)
-    best = named.groupBy(group).agg(F.min(F.struct(F.coalesce("doc_id", last).alias("d"), F.col("h"))).alias("b")).select("b.d", "b.h")
-    best = best.withColumnsRenamed({"d": "d_", "h": "h_"})
-    d = documents.withColumns({"d_": F.coalesce(F.col("doc_id").cast("long"), last), "h_": h}).join(best, ["d_", "h_"], "left_semi")
-    return d.dropDuplicates(["d_", "h_"]).select(*documents.columns)
+    best = rows.groupBy(key).agg(F.min(F.struct(F.coalesce("doc_id", last).alias(d), F.col("h").alias(h))).alias("b"))
+    best = best.join(groups, key, "left").groupBy(F.coalesce(F.col(group), F.col(key)).alias("g"), F.col(group).isNull().alias("own")).agg(F.min("b").alias("b")).select(f"b.{d}", f"b.{h}")
+    out = documents.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), last), h: text}).join(best, [d, h], "left_semi")
+    return out.dropDuplicates([d, h]).select(*documents.columns)
 
 
 def _hashed_fingerprints(words: int):
@@ -181,5 +191,6 @@ def _hashed_fingerprints(words: int):
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; nulls, empties and repeated rows as in fingerprint() and components()."""
     d = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
