@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._util import Forest, Staged, connected, deal_blocks, fan_out, run_pairs, whole_runs
+from ._util import Forest, Staged, connected, deal_blocks, exchanged, fan_out, gathered, parts_of, run_pairs, scattered, whole_runs
 
 #: A cell with more entries is dealt out in pairs of blocks of about this many.
 BLOCK = 2048
@@ -101,7 +102,20 @@ def _by_length(vectors: list):
         yield at, _unit([vectors[i] for i in at])
 
 
-def _entries(lattice: Lattice):
+_MIX = np.random.default_rng(88).integers(1, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
+
+
+def _key(group: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """A key of 63 bits for a group's cell (whose code holds its table), shifted by one."""
+    x = group.view(np.uint64) * _MIX[0] + cell.view(np.uint64) * _MIX[1]
+    x ^= x >> np.uint64(31)
+    x *= _MIX[2]
+    return (x ^ (x >> np.uint64(29))) << np.uint64(1)
+
+
+def _entries(lattice: Lattice, parts: int):
+    """The own and the probed cells of each vector, scattered by cell; the key's lowest bit tells own ones."""
+
     def run(batches):
         for b in batches:
             rep, group = b.column("rep").to_numpy(), b.column("grp").to_numpy()
@@ -110,41 +124,45 @@ def _entries(lattice: Lattice):
                 own, probed, signs = lattice.codes(x)
                 code = np.concatenate([own[:, :, None], probed], 2)
                 per = code[0].size
-                table = np.broadcast_to(np.arange(lattice.tables, dtype=np.int32)[None, :, None], code.shape).ravel()
-                is_own = np.zeros(code.shape, bool)
-                is_own[:, :, 0] = True
-                cols = [np.repeat(group[at], per), table, code.ravel(), is_own.ravel(), np.repeat(rep[at], per), *[np.repeat(signs[:, k], per) for k in range(SKETCH_WORDS)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["grp", "tab", "cell", "own", "rep", *[f"s{k}" for k in range(SKETCH_WORDS)]])
+                is_own = np.zeros(code.shape, np.uint64)
+                is_own[:, :, 0] = 1
+                key = _key(np.repeat(group[at], per), code.ravel()) | is_own.ravel()
+                yield scattered(key, parts, {"key": key, "rep": np.repeat(rep[at], per), **{f"s{k}": np.repeat(signs[:, k], per) for k in range(SKETCH_WORDS)}})
 
     return run
 
 
 def _likely(lattice: Lattice):
-    """Of the entries of each cell those with a partner in it whose sketch is near enough."""
-    keys = ["grp", "tab", "cell", "bi", "bj"]
+    """Of the entries of each cell those with a partner in it whose sketch is near enough; of large cells all."""
+    names = ["key", "rep", *[f"s{k}" for k in range(SKETCH_WORDS)]]
 
     def run(batches):
-        for a, starts in whole_runs(batches, [*keys, "blk", "own", "rep", "s0", "s1"], keys):
-            keep = np.zeros(len(a["rep"]), bool)
-            for i, j in run_pairs(starts, len(keep)):
-                ok = (a["own"][i] | a["own"][j]) & ((a["bi"][i] == a["bj"][i]) | (a["blk"][i] != a["blk"][j])) & (a["rep"][i] != a["rep"][j])
+        for a, starts in gathered(batches, names, "key", 1):
+            length = np.diff(np.append(starts, len(a["rep"])))
+            keep = np.repeat(length > BLOCK, length)
+            small = (length > 1) & (length <= BLOCK)
+            at = np.flatnonzero(np.repeat(small, length))
+            own = a["key"] & 1 == 1
+            for i, j in run_pairs(np.cumsum(length[small]) - length[small], len(at), 1 << 17):
+                i, j = at[i], at[j]
+                ok = (own[i] | own[j]) & (a["rep"][i] != a["rep"][j])
                 i, j = i[ok], j[ok]
-                far = sum(np.bitwise_count((a[s][i] ^ a[s][j]).view(np.uint64)).astype(np.int32) for s in ("s0", "s1"))
+                far = sum(np.bitwise_count((a[s][i] ^ a[s][j]).view(np.uint64)).astype(np.int32) for s in names[2:])
                 keep[i[far <= lattice.sketch]] = True
                 keep[j[far <= lattice.sketch]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(a[c][keep]) for c in ("grp", "tab", "cell", "own", "rep")], ["grp", "tab", "cell", "own", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(a["key"][keep] >> 1), pa.array(a["rep"][keep])], ["key", "rep"])
 
     return run
 
 
 def _verified(lattice: Lattice, least: float):
     """Links counted once, in the first table in which a pair meets and in one of its cells there; hands on sums and trees."""
-    keys = ["grp", "tab", "cell", "bi", "bj"]
+    keys = ["key", "bi", "bj"]
 
     def run(batches):
-        for a, starts in whole_runs(batches, [*keys, "blk", "own", "rep", "mult", "embedding"], keys):
+        for a, starts in whole_runs(batches, [*keys, "blk", "rep", "grp", "mult", "embedding"], keys):
             n = len(a["rep"])
-            x, own, probed = np.zeros((n, 0)), np.zeros((n, lattice.tables), np.int64), np.zeros((n, lattice.tables, lattice.probes), np.int64)
+            own, probed = np.zeros((n, lattice.tables), np.int64), np.zeros((n, lattice.tables, lattice.probes), np.int64)
             lengths = np.array([len(v) for v in a["embedding"]])
             x = np.zeros((n, max(lengths, default=0)))
             for at, u in _by_length(a["embedding"]):
@@ -152,7 +170,7 @@ def _verified(lattice: Lattice, least: float):
                 own[at], probed[at], _ = lattice.codes(u)
             links, forest = np.zeros(n, np.int64), Forest()
             for i, j in run_pairs(starts, n, 1 << 14):
-                ok = (a["own"][i] | a["own"][j]) & ((a["bi"][i] == a["bj"][i]) | (a["blk"][i] != a["blk"][j])) & (a["rep"][i] != a["rep"][j])
+                ok = ((a["bi"][i] == a["bj"][i]) | (a["blk"][i] != a["blk"][j])) & (a["rep"][i] != a["rep"][j]) & (a["grp"][i] == a["grp"][j]) & (lengths[i] == lengths[j])
                 i, j = i[ok], j[ok]
                 ok = (x[i] * x[j]).sum(1) >= least
                 i, j = i[ok], j[ok]
@@ -164,7 +182,8 @@ def _verified(lattice: Lattice, least: float):
                 first = (same | ij | ji).argmax(1)
                 r = np.arange(len(i))
                 cell = np.where(same[r, first] | ij[r, first], own[i, first], own[j, first])
-                ok = (first == a["tab"][i]) & (cell == a["cell"][i])
+                ok = (_key(a["grp"][i], cell) >> np.uint64(1)).view(np.int64) == a["key"][i] & ((1 << 63) - 1)
+                ok &= (same | ij | ji).any(1)
                 i, j = i[ok], j[ok]
                 np.add.at(links, i, a["mult"][j])
                 np.add.at(links, j, a["mult"][i])
@@ -186,30 +205,37 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, lattice: Lattice =
     Equal vectors of a label are hashed once and linked to each other without making pairs; each other pair is looked at
     where its lattice cells meet and verified in double precision.  Vectors that are null, empty, zero, or hold null or
     non-finite components, and those without label or vec_id, link with nothing; vectors of different lengths do not meet.
-    Rows with one vec_id are vectors of their own, which share that id.
+    Rows with one vec_id are vectors of their own, which share that id; labels may be of any type.  Single-precision
+    vectors stay so until their cosine; all others are double.  Other columns play no part; an empty table gives no rows.
     """
     spark = embeddings.sparkSession
-    v = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("grp"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = embeddings.schema["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    whole = isinstance(embeddings.schema["label"].dataType, T.IntegralType)
+    label = F.col("label").cast("long") if whole else F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string")))
+    v = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("grp"), F.col("embedding").cast(f"array<{'float' if single else 'double'}>").alias("embedding"))
     bad = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     sound = F.coalesce((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda c: c != 0) & F.col("grp").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     v = Staged(v.withColumn("sound", sound), "vectors").df
-    d = Staged(v.where("sound").groupBy("grp", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")), "distinct").df
-    keys = ["grp", "tab", "cell"]
-    entries = Staged(d.mapInArrow(_entries(lattice), "grp long, tab int, cell long, own boolean, rep long, s0 long, s1 long"), "entries")
-    order = [*keys, "bi", "bj"]
-    deal = lambda df: deal_blocks(df, keys, ["rep"], BLOCK).repartition(fan_out(spark), *order).sortWithinPartitions(*order)
-    likely = Staged(deal(entries.df).mapInArrow(_likely(lattice), "grp long, tab int, cell long, own boolean, rep long").distinct(), "likely")
-    entries.drop()
-    met = deal(likely.df.join(d.select("grp", "rep", "mult", "embedding"), ["grp", "rep"]))
-    found = Staged(met.mapInArrow(_verified(lattice, least), "rep long, to long, n long"), "links").df
-    comp = connected(found.where("to is not null").select("rep", "to"), "rep", "to").df
-    count = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    named = d.join(count, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("grp", "embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    d = v.where("sound").groupBy("grp", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("mult"))
+    d = Staged(d.withColumn("rep", F.monotonically_increasing_id()), "distinct").df  # numbered once, as written
+    entries = exchanged(d.mapInArrow(_entries(lattice, parts_of(spark)), "part int, blob binary"))
+    likely = Staged(entries.mapInArrow(_likely(lattice), "key long, rep long").distinct(), "likely")
+    order = ["key", "bi", "bj"]
+    met = deal_blocks(likely.df.join(d.select("rep", "grp", "mult", "embedding"), "rep"), ["key"], ["rep"], BLOCK).repartition(fan_out(spark), *order).sortWithinPartitions(*order)
+    found = Staged(met.mapInArrow(_verified(lattice, least), "rep long, to long, n long"), "links")
+    likely.drop()
+    comp = connected(found.df.where("to is not null").select("rep", "to"), "rep", "to").df
+    count = found.df.groupBy("rep").agg(F.sum("n").alias("n"))
+    named = d.join(count, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    smallest = d.select("rep", "first").join(comp.withColumnRenamed("node", "rep"), "rep").groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(smallest, "component", "left")
+    named = named.select("grp", "embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     linked = v.where("sound").join(named, ["grp", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = v.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors; nulls, broken and repeated rows as in near_vectors()."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

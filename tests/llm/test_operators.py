@@ -213,6 +213,11 @@ def test_embeddings(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df).collect()}
     assert got == {i: (n[i], up[i], up[i] == i) for i in range(len(x))} | {i: (0, i, True) for i, *_ in odd}
     assert embeddings.near_vectors(df.where("1 = 0")).count() == 0
+    # rows with one vec_id are vectors of their own, in one label or two; labels need not be numbers, nor vectors single
+    a, b = rng.normal(size=64), rng.normal(size=64)
+    again = [(5, a, "x"), (6, a + 1e-3, "x"), (5, b, "y"), (9, b + 1e-3, "y"), (5, a + 2e-3, "x"), (7, a, "y"), (7, a, "y")]
+    got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist(), g) for i, v, g in again], "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(5, 1, 5), (5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 1, 7), (7, 1, 7), (9, 1, 5)]
 
 
 def test_lattice():
