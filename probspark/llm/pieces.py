@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The normaliser (dummy prefix, escaped white space), the pieces and the byte fallback are compiled into one transducer from
-characters to piece ids.  Composed with an input it gives a lattice whose states are the positions of the text; encoding is
-its shortest path in the tropical semiring.  For a unigram model an arc weighs the piece's negative score.  For a BPE model
-pieces are composed with an acceptor of piece pairs as well: a sequence of pieces is what the merges give exactly if each two
-neighbours are what the merges give for those two alone, so an arc between such neighbours weighs 0, any other infinity, and
-one path of finite weight is left.  The acceptor's transitions are expanded when first met.
+Three machines are compiled into one that reads characters and writes piece ids: the normaliser (one state: a space and the
+escape sign are read as the escape sign, any other character as itself, after a dummy prefix), the pieces (one arc a piece,
+which weighs its negative score in a unigram model), and the byte fallback (one arc a character that no piece holds, which
+writes its bytes' pieces and weighs more than any piece).  The composition with a text is a lattice whose states are the
+places in it; encoding is its shortest path in the tropical semiring, where weights of alternatives are compared and those
+along a path added up.  For a BPE model the machine is composed with an acceptor of pairs of arcs as well: a sequence of
+pieces is what the merges give exactly if each two neighbours are what the merges give for those two alone, so a pair weighs
+0 then and infinity otherwise, and one path of finite weight is left.  The acceptor's transitions and the fallback's arcs
+are as many as there are pairs and characters, so they are expanded when first met.
 """
 
 from __future__ import annotations
@@ -68,7 +71,7 @@ class Transducer:
         self.bpe = trainer.get(3, 1) == 2
         if not self.bpe and trainer.get(3, 1) != 1:
             raise ValueError("only unigram and BPE models")
-        self.ids: dict[str, int] = {}
+        self.writes: dict[str, bytes] = {}  # arcs by what they read: the ids they write
         self.score: dict[str, float] = {}
         self.bytes = [0] * 256
         self.surface: list[bytes] = []
@@ -83,22 +86,23 @@ class Transducer:
                 self.bytes[int(piece[3:5], 16)], fallback = n, True
                 self.surface[-1] = bytes([int(piece[3:5], 16)])
             elif kind in (1, 4):
-                self.ids[piece] = n
-                self.score[piece] = p.get(2, 0.0)
+                reads = piece.replace(SPACE, " ")  # composed with the normaliser
+                self.writes[reads] = np.int32(n).tobytes()
+                self.score[reads] = p.get(2, 0.0)
         self.fallback = fallback
         self.is_byte = np.zeros(len(self.surface), bool)
         if fallback:
             self.is_byte[self.bytes] = True
-        self.longest = max(map(len, self.ids), default=1)
+        self.longest = max(map(len, self.score), default=1)
         self.penalty = 10.0 - min(self.score.values(), default=0.0)
-        chars = set("".join(self.ids))
+        chars = set("".join(self.score))
         #: Where no piece reaches across, a text is cut: before white space, and around line ends if no piece holds them.
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        inner = any(" " in p.lstrip(" ") for p in self.score)
         cut = "" if "\n" in chars else "\n"
-        self.chunks = None if inner else re.compile(f"{cut or '(?!)'}|{SPACE}*[^{SPACE}{cut}]+|{SPACE}+")
+        self.chunks = None if inner else re.compile(f"{cut or '(?!)'}| *[^ {cut}]+| +")
         if self.bpe:
             self.automaton = ahocorasick.Automaton()
-            for p in self.ids:
+            for p in self.score:
                 self.automaton.add_word(p, p)
             self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -123,7 +127,7 @@ class Transducer:
         return ok
 
     def path(self, s: str) -> list[str]:
-        """Pieces (or single unknown characters) of the shortest path through the lattice of a normalised string."""
+        """What the arcs of the shortest path through the lattice of a text read: pieces, or single characters for the fallback."""
         n = len(s)
         last = [""] * (n + 1)
         if self.bpe:  # one path reaches each position: arcs come longest first for each end, and one of them is accepted
@@ -162,31 +166,36 @@ class Transducer:
             ok = self.pairs[p, ""] = self._merged(p) == [p]
         return ok
 
-    def _emit(self, pieces: list[str]) -> list[int]:
-        out, unknown = [], False
-        for p in pieces:
-            k = self.ids.get(p)
-            if k is not None:
-                out.append(k)
-            elif self.fallback:
-                out += [self.bytes[c] for c in p.encode()]
-            elif not unknown:  # neighbouring unknown characters are one unknown piece
-                out.append(self.unk)
-            unknown = k is None
-        return out
+    def _written(self, path: list[str]) -> bytes:
+        """The ids that the arcs of a path write."""
+        writes, out, unknown = self.writes, [], False
+        for p in path:
+            ids = writes.get(p)
+            if ids is None:
+                if self.fallback:  # an arc of the byte fallback is made
+                    ids = writes[p] = np.array([self.bytes[c] for c in p.encode()], np.int32).tobytes()
+                elif unknown:  # neighbouring unknown characters are one unknown piece
+                    continue
+                else:
+                    out.append(np.int32(self.unk).tobytes())
+                    unknown = True
+                    continue
+            unknown = False
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; null and empty texts have none."""
         if not text:
             return np.zeros(0, np.int32)
-        s = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        s = (" " if self.prefix else "") + text.replace(SPACE, " ")
         if self.chunks is None:
-            return np.array(self._emit(self.path(s)), np.int32)
+            return np.frombuffer(self._written(self.path(s)), np.int32)
         known, out = self.known, []
         for c in self.chunks.findall(s):
             x = known.get(c)
             if x is None:
-                x = np.array(self._emit(self.path(c)), np.int32).tobytes()
+                x = self._written(self.path(c))
                 if len(known) >= _MEMORY:
                     known.clear()
                 if len(c) < 64:
@@ -279,4 +288,5 @@ def model_path() -> str:
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents and of the texts they decode to; nulls, empties and repeated rows as in round_trip()."""
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), model_path())
