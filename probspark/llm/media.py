@@ -29,7 +29,7 @@ def decode(media: bytes) -> np.ndarray:
         if int.from_bytes(media[28:30], "little") != 24 or int.from_bytes(media[30:34], "little"):
             raise ValueError("only uncompressed 24-bit BMP")
         row = (3 * w + 3) // 4 * 4
-        if len(media) < off + row * abs(h):
+        if len(media) < 54 or len(media) < off + row * abs(h):
             raise ValueError("BMP is cut")
         a = np.frombuffer(media, np.uint8, row * abs(h), off).reshape(abs(h), row)[:, : 3 * w].reshape(abs(h), w, 3)
         return (a[::-1] if h > 0 else a)[:, :, ::-1]
@@ -45,6 +45,8 @@ def decode(media: bytes) -> np.ndarray:
         at = mm.end()
     if kind == 4:
         row = (w + 7) // 8
+        if len(media) < at + 1 + row * h:
+            raise ValueError("Netpbm is cut")
         a = np.frombuffer(media, np.uint8, row * h, at + 1).reshape(h, row)
         return ((1 - np.unpackbits(a, axis=1)[:, :w]) * 255).astype(np.uint8).reshape(h, w, 1)
     if kind in (5, 6):
@@ -52,7 +54,7 @@ def decode(media: bytes) -> np.ndarray:
             raise ValueError("Netpbm is cut")
         return np.frombuffer(media, np.uint8, w * h * c, at + 1).reshape(h, w, c)
     body = re.sub(rb"#[^\n]*", b"", media[at:])
-    a = np.array(re.findall(rb"[01]", body) if kind == 1 else body.split(), dtype=np.int64)[: w * h * c]
+    a = np.array(re.findall(rb"[01]", body) if kind == 1 else body.split() or [], dtype=np.int64)[: w * h * c]
     if a.size < w * h * c:
         raise ValueError("Netpbm is cut")
     return ((1 - a) * 255 if kind == 1 else a).astype(np.uint8).reshape(h, w, c)
@@ -126,7 +128,13 @@ def _media_rows(side: int):
         for b in batches:
             out = []
             for doc, n, media in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
-                a = decode(media)
+                try:
+                    a = decode(media or b"")
+                    if not a.size:
+                        raise ValueError("an image without samples")
+                except ValueError:  # null, cut or unknown: a row without features
+                    out.append((doc, n, *[None] * (len(names) - 2)))
+                    continue
                 p = a.tobytes()
                 out.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), hashlib.sha256(media).hexdigest(), dhash(a), npy_tile(a, side)))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * len(names), kinds)], names)
@@ -144,11 +152,15 @@ def text_media(documents: DataFrame, width: int = 64) -> DataFrame:
 
 
 def media_features(media: DataFrame, side: int = 16) -> DataFrame:
-    """Features of a stored media column (doc_id, n_bytes, media): digests of what is read back, difference hash, NPY tile."""
+    """Features of a stored media column (doc_id, n_bytes, media): digests of what is read back, difference hash, NPY tile.
+
+    A null, broken or empty image gives nulls in all of them.  Repeated rows stay rows of their own; an empty table gives no rows.
+    """
     return media.mapInArrow(_media_rows(side), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary")
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
+    """Digests and features of all documents' texts as stored images; nulls, empties and repeated rows as in text_media()."""
     stored = Staged(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
     f = media_features(stored.df)
     return f.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", "dhash", F.sha2("tile", 256)).alias("feature"))

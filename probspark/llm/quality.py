@@ -144,7 +144,12 @@ def training_rows(feats: DataFrame, labels: DataFrame, folds: int = 5) -> DataFr
 
 
 def classify(documents: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3) -> tuple[DataFrame, Discriminant]:
-    """Score all documents with a model fitted on the labelled ones outside the held-out fold; texts are read once."""
+    """Score all documents with a model fitted on the labelled ones outside the held-out fold; texts are read once.
+
+    Null and empty texts have statistics and a score like others; null doc_ids are in no fold and match no label.  Several
+    labels of one doc_id are examples each; repeated rows are scored row by row.  An empty table gives no rows; without
+    labels all scores are 0.5.
+    """
     feats = Staged(features(documents), "features").df
     model = fit(training_rows(feats, labels, folds))
     return score(feats, model, threshold), model
@@ -165,5 +170,6 @@ def keep(documents: DataFrame, model: Discriminant, threshold: float = 0.3) -> D
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents; nulls, empties, repeated rows and missing labels as in classify()."""
     scored, _ = classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
