@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import Forest, Staged, by_size, connected, deal_blocks, exchanged, fan_out, gathered, parts_of, run_pairs, scattered, whole_runs, word_hashes
+from ._util import Forest, Staged, by_size, connected, exchanged, fan_out, gathered, parts_of, run_pairs, scattered, word_hashes
 
 SHINGLE = 5
 LENGTH, WINDOW = 24, 28
@@ -30,7 +30,8 @@ LENGTH, WINDOW = 24, 28
 BANDS, ROWS = 4, 2
 #: Words to which a repeated paragraph is extended on either side at most.
 REACH = WINDOW - 1
-BLOCK = 512
+#: Paragraphs under one band key beyond this are dealt out in pairs of blocks.
+BLOCK = 1024
 #: Bits of a band key that hold the parity of the paragraph's shingles.
 PARITY = 24
 _SLICE = 1 << 20
@@ -151,34 +152,140 @@ def _banded(parts: int):
     return run
 
 
-def _plausible(least: float):
-    """Of each band key's contents those with a partner that may be similar by its parity; of large groups all."""
+#: A bit for each hash of a band key under which similar paragraphs may meet, and a byte for how many do: fixed sizes to
+#: broadcast.  What a bit lets through by chance is a group without a similar pair, and a byte that is too large deals a
+#: group out in more blocks than it needs.
+_BAND_BITS, _BAND_SIZES = 26, 20
+
+
+def _may_meet(least: float):
+    """Of a task's band keys those with two contents that may be similar by their parity, and the sizes of large groups, in chunks."""
     most = int((LENGTH - SHINGLE + 1) * 2 * (1 - least) / (1 + least) + 1e-9)  # shingles that a similar pair does not share
 
     def run(batches):
+        bits, sizes = np.zeros(1 << _BAND_BITS, bool), np.zeros(1 << _BAND_SIZES, np.uint8)
         for a, _ in gathered(batches, ["band", "content"], "band", PARITY):
             order = np.lexsort((a["content"], a["band"]))  # several tasks may have sent one content
             band, content = a["band"][order], a["content"][order]
             new = np.append(True, (band[1:] != band[:-1]) | (content[1:] != content[:-1]))
-            a = {"band": band[new], "content": content[new]}
-            starts = np.flatnonzero(np.append(True, a["band"][1:] >> PARITY != a["band"][:-1] >> PARITY))
-            n = len(a["band"])
-            length = np.diff(np.append(starts, n))
-            keep = np.repeat(length > BLOCK, length)
-            small = starts[(length <= BLOCK) & (length > 1)]
-            at = np.concatenate([np.arange(s, s + m) for s, m in zip(small, length[(length <= BLOCK) & (length > 1)])]) if len(small) else small
-            own = np.cumsum(length[(length <= BLOCK) & (length > 1)])
-            band, content = a["band"][at], a["content"][at]
-            for i, j in run_pairs(np.append(0, own[:-1]) if len(own) else own, len(at)):
-                odd = np.bitwise_count((band[i] ^ band[j]).view(np.uint64))  # keys are alike but for the parity
-                ok = (odd <= most) & (content[i] != content[j])
-                keep[at[i[ok]]] = True
-                keep[at[j[ok]]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(a["band"][keep] >> PARITY), pa.array(a["content"][keep])], ["band", "content"])
+            band, content = band[new], content[new]
+            key = (band.view(np.uint64) >> np.uint64(PARITY)).view(np.int64)
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            length = np.diff(np.append(starts, len(band)))
+            small, large = (length > 1) & (length <= BLOCK), length > BLOCK
+            at = np.flatnonzero(np.repeat(small, length))
+            for i, j in run_pairs(np.cumsum(length[small]) - length[small], len(at), 1 << 17):
+                i, j = at[i], at[j]
+                ok = np.bitwise_count((band[i] ^ band[j]).view(np.uint64)) <= most  # keys are alike but for the parity
+                bits[_band_hash(key[i[ok]], _BAND_BITS)] = True
+            hot = _band_hash(key[starts[large]], _BAND_SIZES)
+            np.maximum.at(sizes, hot, np.minimum(255, np.ceil(6 * np.log2(length[large]))).astype(np.uint8))
+            bits[_band_hash(key[starts[large]], _BAND_BITS)] = True
+        chunks = np.concatenate([np.packbits(bits), sizes]).reshape(-1, _CHUNK)
+        at = np.flatnonzero(chunks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([chunks[i].tobytes() for i in at], pa.binary())], ["k", "chunk"])
 
     return run
 
 
+def _band_hash(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key.view(np.uint64) * _M[57] >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _widest(batches):
+    """The chunks of all tasks in one: bits joined, sizes at their largest."""
+    chunks: dict = {}
+    edge = (1 << _BAND_BITS) // 8 // _CHUNK
+    for b in batches:
+        for k, c in zip(b.column("k").to_pylist(), b.column("chunk").to_pylist()):
+            c = np.frombuffer(c, np.uint8)
+            chunks[k] = c if k not in chunks else chunks[k] | c if k < edge else np.maximum(chunks[k], c)
+    yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int64()), pa.array([c.tobytes() for c in chunks.values()], pa.binary())], ["k", "chunk"])
+
+
+_WIDE = (LENGTH - SHINGLE + 1 + 1) // 2
+_MEETING = ["band", "content", *[f"s{k}" for k in range(_WIDE)]]
+
+
+def _meeting(flags: np.ndarray, parts: int):
+    """Under each band key where similar paragraphs may meet, the paragraphs with their shingles (32 bits of hash each).
+
+    Keys of many paragraphs are dealt out in pairs of blocks; the lowest bits of a key tell a row's side.
+    """
+    bits, sizes = flags[: (1 << _BAND_BITS) // 8], flags[(1 << _BAND_BITS) // 8 :]
+
+    def run(batches):
+        seen = Seen()
+        for b in batches:
+            for _, texts in by_size(b, [], most=_SLICE):
+                _, _, _, rows, content, *_ = _paragraphs(texts)
+                content, one = np.unique(content, return_index=True)
+                new = seen.find(content) < 0
+                content, rows = content[new], rows[one[new]]
+                seen.add(content, np.zeros(len(content), np.int64))
+                key = (_bands(rows) >> np.uint64(PARITY)).ravel()
+                own = np.repeat(np.arange(len(content)), BANDS)
+                f = _band_hash(key, _BAND_BITS)
+                on = np.flatnonzero(bits[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1)
+                key, own = key[on], own[on]
+                level = sizes[_band_hash(key, _BAND_SIZES)].astype(np.float64)
+                nb = np.where(level > 0, np.ceil(np.exp2(level / 6) / BLOCK), 1).astype(np.int64)
+                blk = ((content[own] >> np.uint64(20)) % nb.astype(np.uint64)).astype(np.int64)
+                many = np.repeat(np.arange(len(nb)), nb)
+                other = np.arange(len(many)) - np.repeat(np.cumsum(nb) - nb, nb)
+                lo, hi = np.minimum(blk[many], other), np.maximum(blk[many], other)
+                side = np.where(lo == hi, 0, 1 + (blk[many] == hi)).astype(np.uint64)
+                band = _mixed(key[many] * _M[60] + (lo << 32 | hi).astype(np.uint64)) & ~np.uint64(3) | side
+                own = own[many]
+                short = (_mixed(rows) >> np.uint64(32)).astype(np.uint32)
+                wide = np.concatenate([short, short[:, :1]], 1)[:, : 2 * _WIDE] if short.shape[1] % 2 else short
+                wide = np.ascontiguousarray(wide).view(np.uint64)[own]
+                yield scattered(band, parts, {"band": band, "content": content[own], **{f"s{k}": wide[:, k] for k in range(_WIDE)}})
+
+    return run
+
+
+def _shared(x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many different shingles the rows of x and of y share; ``first`` marks the different ones of x."""
+    found = np.zeros(x.shape, bool)
+    for k in range(y.shape[1]):
+        found |= x == y[:, k : k + 1]
+    return (found & first).sum(1)
+
+
+def _linked(least: float):
+    """Links of contents that meet and are similar, as trees."""
+
+    def run(batches):
+        for a, _ in gathered(batches, _MEETING, "band", 2):
+            order = np.lexsort((a["content"], a["band"]))  # several tasks may have sent one content
+            band, content = a["band"][order], a["content"][order]
+            new = np.append(True, (band[1:] != band[:-1]) | (content[1:] != content[:-1]))
+            band, content, order = band[new], content[new], order[new]
+            rows = np.stack([a[c][order] for c in _MEETING[2:]], 1).view(np.uint32)
+            by = np.sort(rows, 1)
+            size = 1 + (by[:, 1:] != by[:, :-1]).sum(1)
+            first = np.ones(rows.shape, bool)
+            for k in range(1, rows.shape[1]):
+                first[:, k] = (rows[:, :k] != rows[:, k : k + 1]).all(1)
+            bit = np.where(first, np.uint64(1) << (rows & np.uint32(63)).astype(np.uint64), np.uint64(0))
+            parity = np.bitwise_xor.reduce(bit, 1)
+            side, key = band & 3, band >> 2
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            forest = Forest()
+            for i, j in run_pairs(starts, len(key), 1 << 15):
+                both = size[i] + size[j]
+                need = np.ceil(both * least / (1 + least) - 1e-9).astype(np.int64)
+                ok = (np.bitwise_count(parity[i] ^ parity[j]) <= both - 2 * need) & ((side[i] == 0) | (side[i] != side[j])) & (content[i] != content[j])
+                i, j, need = i[ok], j[ok], need[ok]
+                ok = _shared(rows[i], rows[j], first[i]) >= need
+                for x, y in zip(content[i[ok]].tolist(), content[j[ok]].tolist()):
+                    forest.join(x, y)
+            links = forest.links()
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 #: What an occurrence is sent for: the task's first of its content, to be kept if others tell of another document; a word
@@ -187,7 +294,7 @@ FIRST, TOLD, KNOWN = 0, 1, 2
 
 
 def _occurring(parts: int):
-    """Each paragraph's occurrences: document, text, first word, number in the text and length.
+    """Each paragraph's occurrences: document, text, and place: first word, number in the text and length in one number.
 
     The first of a task goes to its content's part, and so does one word if another document of the task has it too; all
     further ones are known to be repeated and go anywhere.  So of a paragraph that is everywhere a part gets two rows a task.
@@ -214,19 +321,19 @@ def _occurring(parts: int):
                 row = np.concatenate([np.arange(len(content)), other])
                 kind = np.concatenate([kind, np.full(len(other), TOLD)])
                 spread = _mixed(content[row]) + np.where(kind == KNOWN, _mixed(h[row].view(np.uint64)), np.uint64(0))
-                yield scattered(_mixed(spread), parts, {"content": content[row], "doc": doc[row], "h": h[row], "pos": pos[row], "number": kind << 56 | number[row] << 8 | size[row]})
+                yield scattered(_mixed(spread), parts, {"content": content[row], "doc": doc[row], "h": h[row], "at": kind << 62 | pos[row] << 32 | number[row] << 8 | size[row]})
 
     return run
 
 
 def _repeated(flags: np.ndarray):
     """The occurrences of contents in two documents or more, or whose flag is set (all that are similar to others, and a few more)."""
-    names = ["content", "doc", "h", "pos", "number"]
+    names = ["content", "doc", "h", "at"]
 
     def run(batches):
         for a, _ in gathered(batches, names, "content"):
-            kind = a["number"] >> 56
-            a["number"] &= (1 << 56) - 1
+            kind = a["at"] >> 62 & 3
+            a["at"] &= (1 << 62) - 1
             own = kind != KNOWN
             starts = np.flatnonzero(np.append(True, np.diff(a["content"][own]) != 0)) if own.any() else np.zeros(0, np.int64)
             keep = kind == KNOWN
@@ -252,36 +359,63 @@ def _some(flags: np.ndarray):
     return run
 
 
-def _around(wanted: str):
-    """Hashes of the first one, two, ... words beyond each wanted end: a row (key, doc, h, pos, side, reach) each.
+_CHAIN = (REACH + 1) // 2
+_AROUND = ["key", "doc", "h", "at", *[f"c{k}" for k in range(_CHAIN)]]
 
-    Keys are of the cluster, the side, and the words; ``wanted`` is the column of a text's ends (place, side, cluster, pos).
+
+def _around(wanted: str, parts: int):
+    """The words beyond each wanted end, as 32-bit hashes of the first one, two, ... of them, scattered by cluster, side and first word.
+
+    ``wanted`` is the column of a text's ends (place, side, cluster, pos).
     """
 
     def run(batches):
-        names = ["key", "doc", "h", "pos", "side", "reach"]
         for b in batches:
             for (docs, hs, ends), texts in by_size(b, ["doc", "h", wanted], most=_SLICE):
                 w, of, _, _ = word_hashes(texts)
                 begin = np.searchsorted(of, np.arange(len(texts) + 1))
-                out = []
-                for i, (doc, h) in enumerate(zip(docs, hs)):
-                    lo, hi = begin[i], begin[i + 1]
-                    for e in ends[i]:
-                        at = lo + e["at"]
-                        x = w[at : min(hi, at + REACH)] if e["side"] else w[max(lo, at - REACH) : at][::-1]
-                        if len(x):
-                            key = _mixed(np.cumsum(x * _M[: len(x)], dtype=np.uint64) + np.uint64((e["cluster"] * 2 + e["side"]) * int(_M[61]) & (1 << 64) - 1))
-                            out.append((key, doc, h, e["pos"], e["side"]))
-                if out:
-                    n = np.array([len(x[0]) for x in out])
-                    cols = [np.repeat(np.array(c, np.int64), n) for c in list(zip(*out))[1:]]
-                    reach = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), *[pa.array(c) for c in cols[:3]], pa.array(cols[3].astype(np.int8)), pa.array(reach.astype(np.int32))], names)
+                n = np.fromiter(map(len, ends), np.int64, len(ends))
+                text = np.repeat(np.arange(len(texts)), n)
+                flat = [e for x in ends for e in x]
+                at, side, cluster, pos = (np.array([e[c] for e in flat], np.int64) for c in ("at", "side", "cluster", "pos"))
+                left = np.where(side == 1, begin[text + 1] - begin[text] - at, at)
+                some = np.flatnonzero(left > 0)
+                if not len(some):
+                    continue
+                text, at, side, cluster, pos, left = (x[some] for x in (text, at, side, cluster, pos, left))
+                k = np.arange(2 * _CHAIN)
+                place = begin[text][:, None] + np.where(side[:, None] == 1, at[:, None] + k, at[:, None] - 1 - k)
+                x = np.where(k < np.minimum(left, REACH)[:, None], w[np.clip(place, 0, len(w) - 1)], np.uint64(0))
+                chain = np.cumsum(x * _M[: len(k)], 1, dtype=np.uint64)
+                key = _mixed(_mixed(cluster.view(np.uint64) * _M[61] + side.astype(np.uint64)) + x[:, 0])
+                short = (_mixed(chain) >> np.uint64(32)).astype(np.uint32)
+                short[k >= np.minimum(left, REACH)[:, None]] = 0  # no word: 0 is never met with another's
+                wide = np.ascontiguousarray(short).view(np.uint64)
+                yield scattered(key, parts, {"key": key, "doc": np.array(docs, np.int64)[text], "h": np.array(hs, np.int64)[text], "at": pos << 1 | side, **{f"c{i}": wide[:, i] for i in range(_CHAIN)}})
 
     return run
 
 
+def _reaching(batches):
+    """How many words of each end's an earlier document of its cluster has too, if any: (doc, h, pos, side, reach)."""
+    for a, starts in gathered(batches, _AROUND, "key"):
+        chain = np.stack([a[c] for c in _AROUND[4:]], 1).view(np.uint32)
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(a["doc"]))))
+        doc, out, live = a["doc"], np.zeros(len(run), np.int32), np.arange(len(run))
+        for r in range(REACH):
+            live = live[chain[live, r] != 0]
+            if not len(live):
+                break
+            live = live[np.lexsort((chain[live, r], run[live]))]
+            start = np.flatnonzero(np.append(True, (np.diff(run[live]) != 0) | (np.diff(chain[live, r]) != 0)))
+            first, last = np.minimum.reduceat(doc[live], start), np.maximum.reduceat(doc[live], start)
+            size = np.diff(np.append(start, len(live)))
+            out[live[doc[live] > np.repeat(first, size)]] = r + 1
+            live = live[np.repeat(first < last, size)]
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(a["h"][at]), pa.array(a["at"][at] >> 1), pa.array((a["at"][at] & 1).astype(np.int8)), pa.array(out[at])], ["doc", "h", "pos", "side", "reach"])
+
+
 def _flag_rows(batches):
     bits = np.zeros(_FLAGS, bool)
     for b in batches:
@@ -309,65 +443,17 @@ def _flags(contents: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _members(flags: np.ndarray):
-    """Contents and shingles of the paragraphs whose flag is set: all that are wanted, and some that the join drops."""
-
-    def run(batches):
-        for b in batches:
-            for _, texts in by_size(b, [], most=_SLICE):
-                _, _, _, rows, content, *_ = _paragraphs(texts)
-                f = (content % np.uint64(_FLAGS)).astype(np.int64)
-                at = np.flatnonzero(flags[f >> 3] >> (7 - (f & 7)).astype(np.uint8) & 1)
-                content, one = np.unique(content[at], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array([np.unique(r).tobytes() for r in rows[at[one]]], pa.binary())], ["content", "shingles"])
-
-    return run
-
-
-def _verified(least: float):
-    """Links of contents that meet in a band and are similar, as trees."""
-    keys = ["band", "bi", "bj"]
-
-    def run(batches):
-        for a, starts in whole_runs(batches, [*keys, "blk", "content", "shingles"], keys):
-            forest, sets = Forest(), {}
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(a["band"])]):
-                cross = a["bi"][s] != a["bj"][s]
-                for i in range(s, e):
-                    c = int(a["content"][i])
-                    if c not in sets:
-                        sets[c] = frozenset(np.frombuffer(a["shingles"][i], np.uint64).tolist())
-                for q in range(s + 1, e):
-                    cq = int(a["content"][q])
-                    for p in range(s, q):
-                        cp = int(a["content"][p])
-                        if cross and a["blk"][p] == a["blk"][q] or forest.find(cp) == forest.find(cq):
-                            continue
-                        shared = len(sets[cp] & sets[cq])
-                        if shared >= least * (len(sets[cp]) + len(sets[cq]) - shared) - 1e-9:
-                            forest.join(cp, cq)
-            links = forest.links()
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return run
-
-
 def clusters(documents: DataFrame, least: float = 0.8) -> Staged:
     """(node, component): paragraphs by content that are similar to others, and their components."""
     spark = documents.sparkSession
     n, docs = fan_out(spark), _documents(documents)
-    bands = docs.select("text").mapInArrow(_banded(parts_of(spark)), "part int, blob binary")
-    shared = Staged(exchanged(bands).mapInArrow(_plausible(least), "band long, content long").distinct(), "shared")
-    wanted = shared.df.select("content").distinct()
-    members = docs.select("text").mapInArrow(_members(_flags(shared.df)), "content long, shingles binary")
-    members = Staged(members.join(wanted, "content", "left_semi").dropDuplicates(["content"]), "members")
-    order = ["band", "bi", "bj"]
-    met = deal_blocks(shared.df.join(members.df, "content"), ["band"], ["content"], BLOCK).repartition(n, *order).sortWithinPartitions(*order)
-    comp = connected(met.mapInArrow(_verified(least), "a long, b long"), "a", "b")
-    shared.drop()
-    members.drop()
-    return comp
+    bands = exchanged(docs.select("text").mapInArrow(_banded(parts_of(spark)), "part int, blob binary"))
+    chunks = bands.mapInArrow(_may_meet(least), "k long, chunk binary").repartition(n, "k").mapInArrow(_widest, "k long, chunk binary")
+    flags = np.zeros((((1 << _BAND_BITS) // 8 + (1 << _BAND_SIZES)) // _CHUNK, _CHUNK), np.uint8)
+    for r in chunks.toLocalIterator():
+        flags[r["k"]] = np.frombuffer(r["chunk"], np.uint8)
+    met = exchanged(docs.select("text").mapInArrow(_meeting(flags.ravel(), parts_of(spark)), "part int, blob binary"))
+    return connected(met.mapInArrow(_linked(least), "a long, b long"), "a", "b")
 
 
 def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
@@ -384,8 +470,9 @@ def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     docs = _documents(documents)
     comp = clusters(documents, least).df
     flags = _flags(comp.select(F.col("node").alias("content")))
-    found = exchanged(docs.mapInArrow(_occurring(parts_of(spark)), "part int, blob binary")).mapInArrow(_repeated(flags), "content long, doc long, h long, pos long, number long")
-    found = Staged(found.distinct().select("content", "doc", "h", "pos", F.shiftright("number", 8).alias("number"), F.col("number").bitwiseAND(255).alias("n")), "occurring")
+    found = exchanged(docs.mapInArrow(_occurring(parts_of(spark)), "part int, blob binary")).mapInArrow(_repeated(flags), "content long, doc long, h long, at long")
+    place = [F.shiftright("at", 32).alias("pos"), F.shiftright("at", 8).bitwiseAND((1 << 24) - 1).alias("number"), F.col("at").bitwiseAND(255).alias("n")]
+    found = Staged(found.distinct().select("content", "doc", "h", *place), "occurring")
     equal = found.df.groupBy("content").agg(F.min("doc").alias("equal_doc"))
     named = equal.join(comp.withColumnRenamed("node", "content"), "content", "left").select("content", "equal_doc", F.coalesce("component", "content").alias("cluster"))
     found = Staged(found.df.join(named, "content").drop("content"), "found")
@@ -407,11 +494,10 @@ def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     wanted = Staged(wanted, "wanted")
     some = docs.mapInArrow(_some(_flags(wanted.df.select(F.col("h").alias("content")))), docs.schema)  # most texts need no shuffle
     around = some.join(wanted.df, ["doc", "h"])
-    keys = Staged(around.mapInArrow(_around("ends"), "key long, doc long, h long, pos long, side byte, reach int"), "around")
-    first = keys.df.groupBy("key").agg(F.min("doc").alias("d0"))
-    reach = keys.df.join(first, "key").where("doc > d0").groupBy("doc", "h", "pos").pivot("side", [0, 1]).agg(F.max("reach"))
-    reach = Staged(reach.select("doc", "h", "pos", F.col("0").alias("left"), F.col("1").alias("right")), "reach").df
-    keys.drop()
+    keys = exchanged(around.mapInArrow(_around("ends", parts_of(spark)), "part int, blob binary"))
+    reach = keys.mapInArrow(_reaching, "doc long, h long, pos long, side byte, reach int").groupBy("doc", "h", "pos")
+    reach = reach.agg(F.max(F.when(F.col("side") == 0, F.col("reach"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("reach"))).alias("right"))
+    reach = Staged(reach, "reach").df
     wanted.drop()
     out = rows.df.join(reach, ["doc", "h", "pos"], "left")
     a = F.when(F.col("before").isNull(), F.col("pos") - F.coalesce("left", F.lit(0))).otherwise(F.col("pos"))
