@@ -475,7 +475,8 @@ def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     found = Staged(found.distinct().select("content", "doc", "h", *place), "occurring")
     equal = found.df.groupBy("content").agg(F.min("doc").alias("equal_doc"))
     named = equal.join(comp.withColumnRenamed("node", "content"), "content", "left").select("content", "equal_doc", F.coalesce("component", "content").alias("cluster"))
-    found = Staged(found.df.join(named, "content").drop("content"), "found")
+    named = Staged(named, "named")  # so that the join can split a content with most of the occurrences
+    found = Staged(found.df.join(named.df, "content").drop("content"), "found")
     whole = found.df.groupBy("cluster").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
     text, later = Window.partitionBy("doc", "h").orderBy("number"), F.col("doc") > F.col("first_doc")
     # a neighbour that an earlier document has word by word ends where it ends there; one that is similar may hang over
