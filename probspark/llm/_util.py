@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ SPACES = " \t\n\r\x0b\x0c"
 def shared_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) is a folder of our own made and set.
+    Only on one machine, where no cluster names one, is a folder of our own made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="probspark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
@@ -32,19 +35,38 @@ def shared_root(spark: SparkSession) -> str:
 class Staged:
     """A DataFrame written as Parquet in the shared folder: lineage ends here, and lost executors lose nothing."""
 
+    made: list | None = None  # those of the present scope, see scratch()
+
     def __init__(self, df: DataFrame, name: str, sort_codec: str = "zstd"):
-        self.spark = df.sparkSession
+        self.spark, self.gone = df.sparkSession, False
+        if Staged.made is not None:
+            Staged.made.append(self)
         self.path = f"{shared_root(self.spark)}/probspark/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", sort_codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files; call it only when nothing still has to read them."""
+        if self.gone:
+            return
+        self.gone = True
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch():
+    """Tables staged within are dropped at its end but for those that are taken out of the list it gives."""
+    before, Staged.made = Staged.made, []
+    try:
+        yield Staged.made
+    finally:
+        made, Staged.made = Staged.made, before
+        for x in made:
+            x.drop()
+
+
 def remainder(column: str, n: int):
     """crc32 of an id written as text, modulo n (null ids: -1, so in no fold)."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(-1))
