@@ -282,17 +282,24 @@ class Forest:
         return [(x, self.find(x)) for x in list(self.up)]
 
 
-def by_size(batch, columns: list[str], text: str = "text", most: int = 4 << 20):
-    """Slices of an Arrow batch as lists, each of about ``most`` characters of text; null texts become empty."""
-    cols = [batch.column(c).to_pylist() for c in columns]
-    texts = [t or "" for t in batch.column(text).to_pylist()]
-    at = 0
-    while at < len(texts):
-        size, to = 0, at
-        while to < len(texts) and (size == 0 or size + len(texts[to]) <= most):
-            size, to = size + len(texts[to]) + 1, to + 1
-        yield [c[at:to] for c in cols], texts[at:to]
-        at = to
+def cut(batches, text: str = "text", most: int = 2 << 20):
+    """Arrow batches cut into slices of about ``most`` bytes of text, so that what is made of one stays small beside it."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def by_size(batch, columns: list[str], text: str = "text", most: int = 2 << 20):
+    """Slices of an Arrow batch as lists, each of about ``most`` bytes of text; null texts become empty."""
+    for part in cut([batch], text, most):
+        yield [part.column(c).to_pylist() for c in columns], [t or "" for t in part.column(text).to_pylist()]
 
 
 #: Bytes that are looked at together: few enough for their running sums to stay in a core's cache.

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import Staged, by_size, distinct, exchanged, fan_out, gathered, near_pairs, parts_of, run_pairs, scattered, whole_runs, word_hashes
+from ._util import Staged, by_size, cut, distinct, exchanged, fan_out, gathered, near_pairs, parts_of, run_pairs, scattered, whole_runs, word_hashes
 
 #: Word frequencies are counted in 2^SKETCH_BITS buckets: a fixed size to broadcast (a byte each), whatever the corpus.
 #: Any common order of words gives the same result; rare words first just give the fewest pairs.
@@ -358,7 +358,7 @@ def _cut_out(removed: str):
     """The texts without the lines whose ascending numbers are in the column ``removed``."""
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             texts = b.column("text").to_pylist()
             for i, gone in enumerate(b.column(removed).to_pylist()):
                 gone = set(gone)

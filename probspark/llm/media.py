@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Staged
+from ._util import Staged, cut
 
 _HEAD = re.compile(rb"P([1-6])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)")
 _MAX = re.compile(rb"(?:\s|#[^\n]*\n)+(\d+)")
@@ -107,7 +107,7 @@ def npy_tile(a: np.ndarray, side: int) -> bytes:
 
 def _store(width: int):
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             sizes, media = [], []
             for t in b.column("text").to_pylist():
                 p = (t or "").encode()
@@ -125,7 +125,7 @@ def _media_rows(side: int):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches, "media"):
             out = []
             for doc, n, media in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
                 try:

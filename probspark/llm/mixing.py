@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import Staged, fan_out
+from ._util import Staged, cut, fan_out
 
 #: Weights of the sources in code-point order, repeated as often as needed.
 WEIGHTS = (3, 1, 2)
@@ -21,7 +21,7 @@ LARGE = 0.01
 
 
 def _sizes(batches):
-    for b in batches:
+    for b in cut(batches):
         n = [0 if t is None else len(t.encode().split()) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64()), b.column("t")], ["doc_id", "source", "size", "t"])
 

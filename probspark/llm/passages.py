@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import Forest, Staged, by_size, connected, exchanged, fan_out, gathered, parts_of, run_pairs, scattered, word_hashes
+from ._util import Forest, Staged, by_size, connected, cut, exchanged, fan_out, gathered, parts_of, run_pairs, scattered, word_hashes
 
 SHINGLE = 5
 LENGTH, WINDOW = 24, 28
@@ -534,7 +534,7 @@ def _without(column: str):
     word = re.compile("[^ \t\n\r\x0b\x0c]+")
 
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             texts = b.column("text").to_pylist()
             for i, spans in enumerate(b.column(column).to_pylist()):
                 if spans:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._util import cut
+
 SPACE = "▁"
 _MEMORY = 600_000
 _loaded: dict = {}
@@ -220,7 +222,7 @@ def transducer(path: str) -> Transducer:
 def _encoded(path: str):
     def run(batches):
         t = transducer(path)
-        for b in batches:
+        for b in cut(batches):
             rows = [t.encode(x) for x in b.column("text").to_pylist()]
             offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -257,7 +259,7 @@ def _trip(path: str, keep: bool):
 
     def run(batches):
         t = transducer(path)
-        for b in batches:
+        for b in cut(batches):
             out, rows = [], []
             for x in b.column("text").to_pylist():
                 ids = t.encode(x)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Staged, held, remainder
+from ._util import Staged, cut, remainder
 
 #: Statistics of a text, each taken from all of it.
 FEATURES = ("log_words", "word_length", "upper", "digits", "stops", "symbols", "bangs", "bars", "high", "distinct", "repeated_lines", "line_words", "top_word", "doubled")
@@ -50,7 +50,7 @@ def statistics(text: str | None) -> list[float]:
 
 
 def _features(batches):
-    for b in batches:
+    for b in cut(batches):
         x = np.array([statistics(t) for t in b.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -157,7 +157,7 @@ def classify(documents: DataFrame, labels: DataFrame, folds: int = 5, threshold:
 
 def _kept(model: Discriminant, threshold: float):
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             x = np.array([statistics(t) for t in b.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) >= threshold))
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import Forest, Staged, connected, deal_blocks, fan_out, run_pairs, whole_runs
+from ._util import Forest, Staged, connected, cut, deal_blocks, fan_out, run_pairs, whole_runs
 
 BITS = 64
 #: A bucket with more fingerprints is dealt out in pairs of blocks of about this many.
@@ -48,7 +48,7 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 def _fingerprints(words: int):
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             f = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(f.view(np.int64))], ["doc_id", "fp"])
 
@@ -183,7 +183,7 @@ def first_rows(documents: DataFrame, rows: DataFrame, key: str, groups: DataFram
 
 def _hashed_fingerprints(words: int):
     def run(batches):
-        for b in batches:
+        for b in cut(batches):
             f = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(f.view(np.int64))], ["doc_id", "h", "fp"])
 
