@@ -115,15 +115,13 @@ class BayesMixin(Distribution):
 
     def predict(self, df: DataFrame, cols, prior=None, out="prediction") -> DataFrame:
         """First component with the largest posterior."""
-
-        def first(p):
-            top = F.greatest(*p)
-            pick = F.when(p[0] == top, 0)
-            for i, x in enumerate(p[1:], 1):
-                pick = pick.when(x == top, i)
-            return F.when(top.isNotNull(), pick).cast("int")
-
-        return self._finish(df, cols, prior, out, first)
+        names = [f"p{i}_" for i in range(self.k)]
+        top = F.greatest(*[F.col(n) for n in names])
+        scored = self.scored(df, cols, prior).select("*", top.alias("m_"))  # a column of its own, not an expression to be repeated
+        pick = F.when(F.col(names[0]) == F.col("m_"), 0)
+        for i, n in enumerate(names[1:], 1):
+            pick = pick.when(F.col(n) == F.col("m_"), i)
+        return scored.withColumn(out, F.when(F.col("m_").isNotNull(), pick).cast("int")).drop("l_", "m_", *names)
 
     def predict_proba(self, df: DataFrame, cols, prior=None, out="probabilities") -> DataFrame:
         return self._finish(df, cols, prior, out, lambda p: F.when(p[0].isNotNull(), F.array(*[F.exp(x) for x in p])))
