@@ -878,6 +878,33 @@ class ConditionalCategorical(JointCategorical, ConditionalDistribution):
         return np.minimum((np.cumsum(p, 1) < rng.random((len(p), 1))).sum(1), p.shape[1] - 1).astype(float)
 
 
+@dataclass(frozen=True)
+class ConditionalComponents(Distribution, ConditionalDistribution):
+    """A conditional table for each of several features: columns are a list for each, its parents and then itself; scores add up."""
+
+    distributions: list = field(default_factory=list)
+
+    def known(self):
+        return all(m.probs is not None for m in self.distributions)
+
+    def log_probability(self, df, cols, out="log_probability"):
+        return df.withColumn(out, E.total([m.logp([F.col(c) for c in own]) for m, own in zip(self.distributions, cols)]))
+
+    def probability(self, df, cols, out="probability"):
+        return self.log_probability(df, cols, out).withColumn(out, F.exp(out))
+
+    def summarize(self, df, cols, weight=None, check_data=True):
+        ws = list(weight) if isinstance(weight, (list, tuple)) else [weight] * len(cols)
+        return {_tag(k, f"p{j}"): v for j, m in enumerate(self.distributions) for k, v in m.summarize(df, cols[j], ws[j], check_data).items()}
+
+    def update(self, s):
+        return replace(self, distributions=[m.from_summaries(untagged(s, f"p{j}")) for j, m in enumerate(self.distributions)])
+
+    def draw_given(self, rng, parents):
+        """A column a feature; ``parents`` is a list of arrays of codes."""
+        return np.stack([m.draw_given(rng, p) for m, p in zip(self.distributions, parents)], 1)
+
+
 @dataclass(frozen=True)
 class IndependentComponents(Distribution):
     """One distribution for each column."""

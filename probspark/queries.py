@@ -513,6 +513,22 @@ def stored_mixture_score(spark, sf):
     return df.select("event_id", rounded(F.col("lp")).alias("lp"), "k", rounded(F.col("p")[0]).alias("p0"))
 
 
+@query(f"""WITH x AS {CODES}, na AS (SELECT a, count(*) n FROM x GROUP BY 1), nab AS (SELECT a, b, count(*) n FROM x GROUP BY 1, 2), nabc AS (SELECT a, b, c, count(*) n FROM x GROUP BY 1, 2, 3)
+SELECT l_orderkey, l_linenumber, round(ln(nab.n/na.n)+ln(nabc.n/nab.n),6) AS lp FROM x JOIN na USING (a) JOIN nab USING (a, b) JOIN nabc USING (a, b, c)""")
+def conditional_components_logp(spark, sf):
+    """Two features at once, one given a and one given a and b, fitted in two batches."""
+    df, cols = codes(spark, sf), [["a", "b"], ["a", "b", "c"]]
+    m = D.ConditionalComponents(distributions=[D.ConditionalCategorical(n_categories=(3, 2)), D.ConditionalCategorical(n_categories=(3, 2, 2))])
+    m = m.from_summaries(*[m.summarize(df.where(F.col("l_orderkey") % 2 == k), cols) for k in (0, 1)])
+    return m.log_probability(df, cols, "lp").select("l_orderkey", "l_linenumber", rounded(F.col("lp")).alias("lp"))
+
+
+@query(f"""SELECT event_id, round(ln(0.3)-ln(10.0)-value/10.0-greatest(e0,e1)-ln(exp(e0-greatest(e0,e1))+exp(e1-greatest(e0,e1))),6) AS l0 FROM {_MIX}""")
+def mixture_log_proba(spark, sf):
+    m, df = _mix(), table(spark, sf, "events").select("event_id", "value")
+    return m.predict_log_proba(df, ["value"], out="l").select("event_id", rounded(F.col("l")[0]).alias("l0"))
+
+
 # ---- sequences ----
 
 _SEQ = "(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS t, event_id, value, -ln(20.0)-value/20.0 AS e0, -ln(80.0)-value/80.0 AS e1 FROM events)"

@@ -173,6 +173,12 @@ def test_tables(spark):
     assert np.isclose(n.distributions[0].probs.sum(), 1) and n.distributions[0].probs[1, 0] == 0
     with pytest.raises(NotImplementedError):
         c.marginal(0)
+    two = D.ConditionalComponents(distributions=[c, D.ConditionalCategorical(probs=[[0.5, 0.5], [0.2, 0.8], [0.1, 0.9]])])
+    ask = spark.createDataFrame([(0, 0, 1, 1), (1, 1, 1, 0)], "id int, a int, b int, c int")
+    assert np.allclose(column(two.probability(ask, [["a", "b"], ["a", "c"]], "p"), "p"), [2 / 3 * 0.5, 1.0 * 0.2])
+    assert two.draw_given(np.random.default_rng(0), [[[0], [1]], [[0], [1]]]).shape == (2, 2)
+    again = D.from_dict(json.loads(two.to_json()))
+    assert np.allclose(again.distributions[0].probs, c.probs)
 
 
 def test_zero_inflated(spark):
