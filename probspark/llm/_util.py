@@ -202,6 +202,26 @@ def near_pairs(end, most: int = 1 << 20):
         yield np.concatenate(held_i), np.concatenate(held_j)
 
 
+#: Bytes of a word's or a shingle's hash in a set that travels: two of different hash agree in them once in 10^12.
+SHORT = 5
+
+
+def packed(h) -> bytes:
+    """The upper 40 bits of each hash."""
+    import numpy as np
+
+    return np.ascontiguousarray((h >> np.uint64(64 - 8 * SHORT)).view(np.uint8).reshape(-1, 8)[:, :SHORT]).tobytes()
+
+
+def unpacked(x):
+    """The hashes of packed()."""
+    import numpy as np
+
+    out = np.zeros((len(x) // SHORT, 8), np.uint8)
+    out[:, :SHORT] = np.frombuffer(x, np.uint8).reshape(-1, SHORT)
+    return out.view(np.uint64).ravel()
+
+
 def scattered(key, parts: int, columns: dict):
     """Rows of a slice as one binary row a part: (part, blob), the part by the key's high bits, a blob the columns one after the other.
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import Staged, by_size, cut, distinct, exchanged, fan_out, gathered, near_pairs, parts_of, run_pairs, scattered, whole_runs, word_hashes
+from ._util import SHORT, Staged, by_size, cut, distinct, exchanged, fan_out, gathered, near_pairs, packed, parts_of, run_pairs, scattered, unpacked, whole_runs, word_hashes
 
 #: Word frequencies are counted in 2^SKETCH_BITS buckets: a fixed size to broadcast (a byte each), whatever the corpus.
 #: Any common order of words gives the same result; rare words first just give the fewest pairs.
@@ -241,7 +241,7 @@ def _members(flags: np.ndarray):
                 new = np.append(True, (w[1:] != w[:-1]) | (own[1:] != own[:-1])) if len(w) else np.zeros(0, bool)
                 w, own = w[new], own[new]
                 cut = np.searchsorted(own, np.arange(len(at) + 1))
-                sets = [w[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+                sets = [packed(w[a:b]) for a, b in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(h[at]), pa.array(line[at].astype(np.int32)), pa.array(sets, pa.binary())], ["doc", "h", "line", "words"])
 
     return run
@@ -255,8 +255,8 @@ def _verified(least: float):
         gone: set[tuple] = set()
         for a, starts in whole_runs(batches, columns, ["key"]):
             n = len(a["key"])
-            size = np.fromiter(map(len, a["words"]), np.int64, n) >> 3
-            flat = np.frombuffer(b"".join(a["words"]), np.uint64)
+            size = np.fromiter(map(len, a["words"]), np.int64, n) // SHORT
+            flat = unpacked(b"".join(a["words"]))
             parity = np.bitwise_xor.reduceat(np.uint64(1) << (flat & np.uint64(63)), np.cumsum(size) - size)
             order = np.lexsort((a["line"], a["h"], a["doc"]))
             rank = np.empty(n, np.int64)
@@ -275,7 +275,7 @@ def _verified(least: float):
                         continue
                     for x in (p, q):
                         if x not in sets:
-                            sets[x] = frozenset(np.frombuffer(a["words"][x], np.uint64).tolist())
+                            sets[x] = frozenset(unpacked(a["words"][x]).tolist())
                     shared = len(sets[p] & sets[q])
                     if shared >= least * (len(sets[p]) + len(sets[q]) - shared) - 1e-9:
                         gone.add(at[q])
