@@ -481,7 +481,8 @@ def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     text, later = Window.partitionBy("doc", "h").orderBy("number"), F.col("doc") > F.col("first_doc")
     # a neighbour that an earlier document has word by word ends where it ends there; one that is similar may hang over
     equal = F.when(F.col("doc") > F.col("equal_doc"), F.col("number"))
-    rows = found.df.join(whole, "cluster").withColumns({
+    whole = Staged(whole, "whole")  # for the same reason
+    rows = found.df.join(whole.df, "cluster").withColumns({
         "before": F.when(F.lag(equal).over(text) == F.col("number") - 1, F.lag(F.col("pos") + F.col("n")).over(text)),
         "after": F.when(F.lead(equal).over(text) == F.col("number") + 1, F.lead("pos").over(text)),
     })
@@ -489,7 +490,7 @@ def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     found.drop()
     # clusters at the ends of runs in later documents, and for those the words around all their occurrences
     ends = [rows.df.where(later & F.col(c).isNull()).select("cluster", F.lit(side).cast("byte").alias("side")) for side, c in enumerate(("before", "after"))]
-    ends = ends[0].unionByName(ends[1]).distinct()
+    ends = Staged(ends[0].unionByName(ends[1]).distinct(), "ends").df
     at = F.when(F.col("side") == 0, F.col("pos")).otherwise(F.col("pos") + F.col("n"))
     wanted = rows.df.join(ends, "cluster").groupBy("doc", "h").agg(F.collect_list(F.struct(at.cast("int").alias("at"), "side", "cluster", "pos")).alias("ends"))
     wanted = Staged(wanted, "wanted")
