@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import SHORT, Staged, by_size, cut, distinct, exchanged, fan_out, gathered, near_pairs, packed, parts_of, run_pairs, scattered, unpacked, whole_runs, word_hashes
+from ._util import SHORT, Staged, by_size, cut, distinct, exchanged, fan_out, gathered, near_pairs, packed, parts_of, release, run_pairs, scattered, unpacked, whole_runs, word_hashes
 
 #: Word frequencies are counted in 2^SKETCH_BITS buckets: a fixed size to broadcast (a byte each), whatever the corpus.
 #: Any common order of words gives the same result; rare words first just give the fewest pairs.
@@ -315,6 +315,8 @@ def removed_lines(documents: DataFrame, least: float = 0.8) -> tuple[DataFrame,
     near = Staged(met.mapInArrow(_verified(least), "doc long, h long, line int").distinct(), "similar").df
     for x in (likely, wanted, members):
         x.drop()
+    del posts, chunks, flags, met, likely, wanted, members
+    release(spark)
     copies = reps.where("n > 1").select("hash", "more", F.col("doc").alias("d0"), F.col("h").alias("h0"), F.col("line").alias("l0"))
     later = lines.join(copies, ["hash", "more"]).where(F.struct("doc", "h", "line") > F.struct(F.col("d0").alias("doc"), F.col("h0").alias("h"), F.col("l0").alias("line"))).select("doc", "h", "line")
     return lines, near.unionByName(later).distinct()
