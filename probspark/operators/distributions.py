@@ -385,16 +385,23 @@ class Gamma(_Factored):
         return np.where(X < 0, -np.inf, self.shapes * np.log(self.rates) - lgamma(self.shapes) + power - self.rates * X)
 
     def update(self, s):
-        """Shape by Newton steps on ln a - digamma(a) = theta, rate from the mean."""
+        """Shape by Newton steps on ln a - digamma(a) = theta, rate from the mean.
+
+        With a zero among the values theta is infinite and the shape EPS: the likelihood has no maximum, and the solution
+        of the equation falls to zero as theta grows.
+        """
         d = _size(s)
         w, xw, lw = (_vec(s, k, d) for k in ("w", "xw", "lw"))
-        theta = np.log(_ratio(xw, w)) - _ratio(lw, w)
+        zero = np.isneginf(lw)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            theta = np.where(zero, 1.0, np.log(_ratio(xw, w)) - _ratio(lw, w))
         a = (3 - theta + np.sqrt((theta - 3) ** 2 + 24 * theta)) / (12 * theta)
         for _ in range(self.max_iter):
             step = (np.log(a) - digamma(a) - theta) / (1 / a - trigamma(a))
             a = np.maximum(a - step, a / 10)
             if (np.abs(step) < self.tol).all():
                 break
+        a = np.where(zero, EPS, a)
         return replace(self, shapes=blend(self.shapes, a, self.inertia), rates=blend(self.rates, a * _ratio(w, xw), self.inertia))
 
     def draw(self, rng, n):

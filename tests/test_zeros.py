@@ -30,3 +30,8 @@ def both(spark, sf, name):
 def test_lognormal_logp(spark, zeros):
     got, want = both(spark, zeros, "lognormal_logp")
     assert got == want and len(got) == len(VALUES)
+
+
+def test_gamma_fit_mean(spark, zeros):
+    got, want = both(spark, zeros, "gamma_fit_mean")
+    assert got == want and got[0][1] == round(sum(VALUES) / len(VALUES), 4)
