@@ -22,7 +22,8 @@ def ln(c: Column) -> Column:
 def lgamma(x: Column) -> Column:
     """ln Gamma of a positive column: the Stirling series at x + 8, brought back by the recurrence."""
     z = x + 8
-    s = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    y = 1 / (z * z)
+    s = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y * (1 / 1188 - y * (691 / 360360)))))) / z
     p = x
     for k in range(1, 8):
         p = p * (x + k)
