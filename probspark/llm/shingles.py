@@ -7,8 +7,9 @@ the bucket's set of the smallest hash, which joins most of a large group as it i
 pairs of what are still different components pass a length and a positional filter.  Pairs are compared by the parity of
 their shingles in 1,024 buckets, a bound of what they do not share, and what is left shingle by shingle.
 
-SimHash is not used to find these pairs: at Jaccard 0.8 fingerprints differ by about 10 bits and often by 16, and pigeonring
-segments for so many bits are three or four bits long, so that nearly all pairs would meet.
+SimHash alone does not find these pairs: at Jaccard 0.8 fingerprints differ by about 10 bits and often by 16, and pigeonring
+segments for so many bits are three or four bits long, so that nearly all pairs would meet.  keep_first() takes the links of
+both: fingerprints of few differing bits, and sets that are similar.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from ._util import Staged, by_size, connected, distinct, exchanged, fan_out, gathered, packed, parts_of, release, scattered, unpacked, whole_runs, word_hashes
 from .lines import _CHUNK, _MIX, _MIX2, LEVELS, _gather, _need, _set_hash, _sets, _sides, _summed
 from .passages import _FLAGS, _flags, _mixed
-from .simhash import first_rows
+from .simhash import first_rows, hashed_fingerprints, roots
 
 SHINGLE = 5
 #: Shingle frequencies are counted in 2^SKETCH_BITS buckets: a fixed size to broadcast (a byte each).  Any order gives the same links.
@@ -286,10 +287,28 @@ def components(documents: DataFrame, least: float = 0.8) -> tuple[DataFrame, Dat
     return first.where("kind = 0").select("doc_id", "h", "hash"), linked.withColumnRenamed("component", "group")
 
 
-def keep_first(documents: DataFrame, least: float = 0.8) -> DataFrame:
+def _joined(rows: DataFrame, groups: DataFrame, fps: DataFrame, root: DataFrame) -> DataFrame:
+    """(hash, group): the groups (hash, group) of the sets of rows (h, hash), joined where a component of fingerprints has texts of several."""
+    of = fps.select("h", "fp").distinct().join(root.select("fp", "root"), "fp").select("h", "root")
+    pairs = rows.select("h", "hash").distinct().join(of, "h").join(groups, "hash", "left")
+    pairs = Staged(pairs.select(F.coalesce("group", "hash").alias("g"), "root").distinct(), "both")
+    several = pairs.df.groupBy("root").agg(F.min("g").alias("first"), F.max("g").alias("last")).where("first < last").select("root", "first")
+    comp = connected(pairs.df.join(several, "root"), "g", "first").df
+    pairs.drop()
+    alone = comp.select(F.col("node").alias("hash"), F.col("node").alias("group")).join(groups, "hash", "left_anti")
+    named = groups.select("hash", "group").unionByName(alone)
+    return named.join(comp.withColumnRenamed("node", "group"), "group", "left").select("hash", F.coalesce("component", "group").alias("group"))
+
+
+def keep_first(documents: DataFrame, least: float = 0.8, most: int = 4) -> DataFrame:
     """One document of each group, with the smallest doc_id (null ids last); columns as they are.
 
-    Of several rows with that doc_id the one whose text has the smallest hash stays, once.
+    Texts are linked by SimHash fingerprints of ``most`` or fewer differing bits (of the same shingles, repeats included), and
+    by sets of a Jaccard similarity of ``least`` or more; a group is what links of either kind reach.  Of several rows with
+    that doc_id the one whose text has the smallest hash stays, once.
     """
+    fps = hashed_fingerprints(documents, SHINGLE)
+    root = roots(fps.df.select("doc_id", "fp"), most)
+    release(documents.sparkSession)
     rows, groups = components(documents, least)
-    return first_rows(documents, rows, "hash", groups, "group")
+    return first_rows(documents, rows, "hash", _joined(rows, groups, fps.df, root.df), "group")

@@ -125,12 +125,11 @@ def _links(ring: Ring):
     return run
 
 
-def components(fps: DataFrame, most: int = 4, segments: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of rows (doc_id, fp), linked at ``most`` or fewer differing bits.
+def roots(fps: DataFrame, most: int = 4, segments: int | None = None) -> Staged:
+    """(fp, rep, root) of each different fingerprint of rows (doc_id, fp): its smallest doc_id, and one fingerprint for each component.
 
     Equal fingerprints are one node, so copies make no pairs; a bucket hands on a spanning tree of its links, and large
-    buckets are dealt out in pairs of blocks.  component_id is the smallest doc_id reachable; null doc_ids take part and
-    never are that id unless a component has no other.
+    buckets are dealt out in pairs of blocks.
     """
     spark = fps.sparkSession
     nodes = Staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
@@ -141,10 +140,17 @@ def components(fps: DataFrame, most: int = 4, segments: int | None = None) -> Da
     order = ["key", "part", "bi", "bj"]
     dealt = dealt.repartition(fan_out(spark), *order).sortWithinPartitions(*order)
     comp = connected(dealt.mapInArrow(_links(ring), "a long, b long"), "a", "b")
-    roots = nodes.df.join(comp.df.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    roots = Staged(roots, "roots")
-    first = roots.df.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = roots.df.join(first, "root").select("fp", "component_id")
+    return Staged(nodes.df.join(comp.df.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")), "roots")
+
+
+def components(fps: DataFrame, most: int = 4, segments: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of rows (doc_id, fp), linked at ``most`` or fewer differing bits.
+
+    component_id is the smallest doc_id reachable; null doc_ids take part and never are that id unless a component has no other.
+    """
+    root = roots(fps, most, segments)
+    first = root.df.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = root.df.join(first, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -158,9 +164,7 @@ def keep_first(documents: DataFrame, words: int = 5, most: int = 4) -> DataFrame
 
     Of several rows with that doc_id the one whose text has the smallest hash stays, once.
     """
-    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
-    fps = Staged(keyed.mapInArrow(_hashed_fingerprints(words), "doc_id long, h long, fp long"), "simhash").df
+    fps = hashed_fingerprints(documents, words).df
     comp = components(fps.select("doc_id", "fp"), most).select("fp", "component_id").distinct()
     return first_rows(documents, fps, "fp", comp, "component_id")
 
@@ -181,6 +185,13 @@ def first_rows(documents: DataFrame, rows: DataFrame, key: str, groups: DataFram
     return out.dropDuplicates([d, h]).select(*documents.columns)
 
 
+def hashed_fingerprints(documents: DataFrame, words: int) -> Staged:
+    """(doc_id, h, fp) of each row: the hash and the fingerprint of its whole text."""
+    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    return Staged(keyed.mapInArrow(_hashed_fingerprints(words), "doc_id long, h long, fp long"), "simhash")
+
+
 def _hashed_fingerprints(words: int):
     def run(batches):
         for b in cut(batches):
