@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,8 @@ BLOCK = 1024
 _FLAGS = 1 << 23
 #: Characters of text that are looked at together.
 _SLICE = 1 << 20
+#: Bytes of text that are dealt out to parts together.
+_SENT = 4 << 20
 
 
 def _documents(documents: DataFrame) -> DataFrame:
@@ -306,6 +309,8 @@ def removed_lines(documents: DataFrame, least: float = 0.8) -> tuple[DataFrame,
     levels = _gather(chunks.mapInArrow(_summed, "hash long, chunk binary"), 1 << SKETCH_BITS, np.uint8)
     posts = docs.select("text").mapInArrow(_postings(levels, least, parts_of(spark)), "part int, blob binary")
     likely = Staged(exchanged(posts).mapInArrow(_plausible(least), "key long, hash long, side byte").distinct(), "plausible")
+    del posts, chunks
+    release(spark)
     reps = Staged(lines.groupBy("hash", "more").agg(F.min(F.struct("doc", "h", "line")).alias("at"), F.count(F.lit(1)).alias("n")).select("hash", "more", "at.doc", "at.h", "at.line", "n"), "reps").df
     wanted = Staged(reps.join(likely.df.select("hash").distinct(), "hash").select("hash", "doc", "h", "line"), "wanted")
     flags = wanted.df.mapInArrow(_flag_rows, "hash long, chunk binary").repartition(n, "hash").mapInArrow(_flags_joined, "hash long, chunk binary")
@@ -315,7 +320,7 @@ def removed_lines(documents: DataFrame, least: float = 0.8) -> tuple[DataFrame,
     near = Staged(met.mapInArrow(_verified(least), "doc long, h long, line int").distinct(), "similar").df
     for x in (likely, wanted, members):
         x.drop()
-    del posts, chunks, flags, met, likely, wanted, members
+    del flags, met, likely, wanted, members
     release(spark)
     copies = reps.where("n > 1").select("hash", "more", F.col("doc").alias("d0"), F.col("h").alias("h0"), F.col("line").alias("l0"))
     later = lines.join(copies, ["hash", "more"]).where(F.struct("doc", "h", "line") > F.struct(F.col("d0").alias("doc"), F.col("h0").alias("h"), F.col("l0").alias("line"))).select("doc", "h", "line")
@@ -338,35 +343,86 @@ def decisions(documents: DataFrame, least: float = 0.8) -> DataFrame:
 def dedup_lines(documents: DataFrame, least: float = 0.8) -> DataFrame:
     """The documents with the removed lines cut from their texts; other columns, n_chars (if there) counted anew.
 
-    Null texts without a removed line stay null; a document may lose all its lines and then has an empty text.
+    Null texts without a removed line stay null; a document may lose all its lines and then has an empty text.  Whole rows
+    meet their removed lines in one exchange, in which they travel compressed.
     """
+    spark = documents.sparkSession
     _, gone = removed_lines(documents, least)
     tag = uuid.uuid4().hex[:8]  # names that no column of the documents has
-    doc, h, removed, at = (f"{c}_{tag}" for c in ("doc", "h", "removed", "at"))
-    by_doc = Staged(gone.groupBy("doc", "h").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed").df.select(F.col("doc").alias(doc), F.col("h").alias(h), F.col("removed").alias(removed))
+    doc, h, less = (f"{c}_{tag}" for c in ("doc", "h", "less"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = documents.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), h: F.xxhash64(text)})
-    d = keyed.join(by_doc, [doc, h], "left")
-    same = d.where(F.col(removed).isNull()).select(*documents.columns)
-    kept = d.where(F.col(removed).isNotNull()).withColumn("text", F.col("text").cast("string"))
-    rest = [f for f in kept.schema.fields if f.name not in (doc, h, removed)]
-    kept = kept.drop(doc, h).mapInArrow(_cut_out(removed), T.StructType(rest))
+    keyed = documents.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), h: F.xxhash64(text), "text": F.col("text").cast("string")})
+    rows = "part int, kind byte, blob binary"
+    sent = gone.mapInArrow(_lines_sent(parts_of(spark)), rows).unionByName(keyed.mapInArrow(_texts_sent(doc, h, parts_of(spark)), rows))
+    met = sent.repartition(fan_out(spark), "part").sortWithinPartitions("part", "kind")
+    fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in documents.schema.fields]
+    out = met.mapInArrow(_cut_out(doc, h, less), T.StructType([*fields, T.StructField(less, T.BooleanType())]))
     if "n_chars" in documents.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return same.withColumn("text", F.col("text").cast("string")).select(*documents.columns).unionByName(kept.select(*documents.columns))
+        out = out.withColumn("n_chars", F.when(F.col(less), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*documents.columns)
+
 
+def _spread(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    x = (doc.view(np.uint64) * _MIX ^ h.view(np.uint64)) * _MIX2
+    x ^= x >> np.uint64(29)
+    return x * _MIX
 
-def _cut_out(removed: str):
-    """The texts without the lines whose ascending numbers are in the column ``removed``."""
+
+def _lines_sent(parts: int):
+    """Removed lines (kind 0), scattered by document."""
 
     def run(batches):
-        for b in cut(batches):
-            texts = b.column("text").to_pylist()
-            for i, gone in enumerate(b.column(removed).to_pylist()):
-                gone = set(gone)
-                texts[i] = "\n".join(x for k, x in enumerate((texts[i] or "").split("\n")) if k not in gone)
-            names = [c for c in b.schema.names if c != removed]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
+        for b in batches:
+            a = {c: b.column(c).to_numpy().astype(np.int64) for c in ("doc", "h", "line")}
+            sent = scattered(_spread(a["doc"], a["h"]), parts, a)
+            yield pa.RecordBatch.from_arrays([sent.column("part"), pa.array(np.zeros(sent.num_rows, np.int8)), sent.column("blob")], ["part", "kind", "blob"])
+
+    return run
+
+
+def _texts_sent(doc: str, h: str, parts: int):
+    """Whole rows (kind 1), scattered in the same way: what a slice has for a part is one compressed Arrow stream."""
+
+    def run(batches):
+        small = zstandard.ZstdCompressor(level=3)
+        for b in cut(batches, most=_SENT):
+            part = ((_spread(b.column(doc).to_numpy(), b.column(h).to_numpy()) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, b = part[order], b.take(pa.array(order))
+            edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+            blobs = []
+            for i, j in zip(edge, edge[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as stream:
+                    stream.write_batch(b.slice(i, j - i))
+                blobs.append(small.compress(sink.getvalue()))
+            yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(np.ones(len(blobs), np.int8)), pa.array(blobs, pa.binary())], ["part", "kind", "blob"])
+
+    return run
+
+
+def _cut_out(doc: str, h: str, less: str):
+    """The rows of each part, their texts without the removed lines, and whether any was removed."""
+
+    def run(batches):
+        now, gone, whole = None, {}, zstandard.ZstdDecompressor()
+        for b in batches:
+            for part, kind, blob in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("blob")):
+                if part != now:
+                    now, gone = part, {}
+                if kind == 0:
+                    for d, x, k in zip(*np.frombuffer(blob.as_buffer(), np.int64).reshape(3, -1).tolist()):
+                        gone.setdefault((d, x), set()).add(k)
+                    continue
+                for rows in pa.ipc.open_stream(whole.decompress(blob.as_buffer())):
+                    lost = [gone.get(x) for x in zip(rows.column(doc).to_pylist(), rows.column(h).to_pylist())]
+                    texts = rows.column("text").to_pylist()
+                    for i, lines in enumerate(lost):
+                        if lines:
+                            texts[i] = "\n".join(x for k, x in enumerate((texts[i] or "").split("\n")) if k not in lines)
+                    names = [c for c in rows.schema.names if c not in (doc, h)]
+                    columns = [pa.array(texts, pa.string()) if c == "text" else rows.column(c) for c in names]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in lost], pa.bool_())], [*names, less])
 
     return run
 
