@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import SHORT, Staged, by_size, cut, distinct, exchanged, fan_out, gathered, near_pairs, packed, parts_of, release, run_pairs, scattered, unpacked, whole_runs, word_hashes
+from ._util import SHORT, Staged, by_size, cut, distinct, exchanged, fan_out, gathered, near_pairs, packed, parts_of, release, run_pairs, scattered, shuffles_freed, unpacked, whole_runs, word_hashes
 
 #: Word frequencies are counted in 2^SKETCH_BITS buckets: a fixed size to broadcast (a byte each), whatever the corpus.
 #: Any common order of words gives the same result; rare words first just give the fewest pairs.
@@ -294,8 +294,9 @@ def _verified(least: float):
 def _gather(rows: DataFrame, width: int, kind) -> np.ndarray:
     """The chunks of a fixed-size array, collected: at most 2^SKETCH_BITS bytes."""
     out = np.zeros((width // _CHUNK, _CHUNK), kind)
-    for r in rows.collect():
-        out[r["hash"]] = np.frombuffer(r["chunk"], kind)
+    with shuffles_freed(rows.sparkSession):
+        for r in rows.collect():
+            out[r["hash"]] = np.frombuffer(r["chunk"], kind)
     return out.ravel()
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ REACH = WINDOW - 1
 BLOCK = 1024
 #: Bits of a band key that hold the parity of the paragraph's shingles.
 PARITY = 24
+#: Ends of clusters with more occurrences than this are compared prefix by prefix, of which a slice sends each once.
+MANY = 4096
 _SLICE = 1 << 20
 _FLAGS = 1 << 23
 _CHUNK = 4096
@@ -163,7 +166,11 @@ def _may_meet(least: float):
     most = int((LENGTH - SHINGLE + 1) * 2 * (1 - least) / (1 + least) + 1e-9)  # shingles that a similar pair does not share
 
     def run(batches):
-        bits, sizes = np.zeros(1 << _BAND_BITS, bool), np.zeros(1 << _BAND_SIZES, np.uint8)
+        bits, sizes = np.zeros((1 << _BAND_BITS) // 8, np.uint8), np.zeros(1 << _BAND_SIZES, np.uint8)
+
+        def mark(f):
+            np.bitwise_or.at(bits, f >> 3, np.uint8(128) >> (f & 7).astype(np.uint8))
+
         for a, _ in gathered(batches, ["band", "content"], "band", PARITY):
             order = np.lexsort((a["content"], a["band"]))  # several tasks may have sent one content
             band, content = a["band"][order], a["content"][order]
@@ -177,11 +184,11 @@ def _may_meet(least: float):
             for i, j in run_pairs(np.cumsum(length[small]) - length[small], len(at), 1 << 17):
                 i, j = at[i], at[j]
                 ok = np.bitwise_count((band[i] ^ band[j]).view(np.uint64)) <= most  # keys are alike but for the parity
-                bits[_band_hash(key[i[ok]], _BAND_BITS)] = True
+                mark(_band_hash(key[i[ok]], _BAND_BITS))
             hot = _band_hash(key[starts[large]], _BAND_SIZES)
             np.maximum.at(sizes, hot, np.minimum(255, np.ceil(6 * np.log2(length[large]))).astype(np.uint8))
-            bits[_band_hash(key[starts[large]], _BAND_BITS)] = True
-        chunks = np.concatenate([np.packbits(bits), sizes]).reshape(-1, _CHUNK)
+            mark(_band_hash(key[starts[large]], _BAND_BITS))
+        chunks = np.concatenate([bits, sizes]).reshape(-1, _CHUNK)
         at = np.flatnonzero(chunks.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([chunks[i].tobytes() for i in at], pa.binary())], ["k", "chunk"])
 
@@ -361,12 +368,14 @@ def _some(flags: np.ndarray):
 
 _CHAIN = (REACH + 1) // 2
 _AROUND = ["key", "doc", "h", "at", *[f"c{k}" for k in range(_CHAIN)]]
+_NODES = ["key", "doc", "h", "at"]
 
 
 def _around(wanted: str, parts: int):
     """The words beyond each wanted end, as 32-bit hashes of the first one, two, ... of them, scattered by cluster, side and first word.
 
-    ``wanted`` is the column of a text's ends (place, side, cluster, pos).
+    ``wanted`` is the column of a text's ends (place, side, cluster, pos, many).  Ends of clusters that are everywhere (many)
+    have parts of their own, from ``parts`` on, see _nodes().
     """
 
     def run(batches):
@@ -377,29 +386,110 @@ def _around(wanted: str, parts: int):
                 n = np.fromiter(map(len, ends), np.int64, len(ends))
                 text = np.repeat(np.arange(len(texts)), n)
                 flat = [e for x in ends for e in x]
-                at, side, cluster, pos = (np.array([e[c] for e in flat], np.int64) for c in ("at", "side", "cluster", "pos"))
+                at, side, cluster, pos, many = (np.array([e[c] for e in flat], np.int64) for c in ("at", "side", "cluster", "pos", "many"))
                 left = np.where(side == 1, begin[text + 1] - begin[text] - at, at)
                 some = np.flatnonzero(left > 0)
                 if not len(some):
                     continue
-                text, at, side, cluster, pos, left = (x[some] for x in (text, at, side, cluster, pos, left))
+                text, at, side, cluster, pos, many, left = (x[some] for x in (text, at, side, cluster, pos, many, left))
                 k = np.arange(2 * _CHAIN)
-                place = begin[text][:, None] + np.where(side[:, None] == 1, at[:, None] + k, at[:, None] - 1 - k)
-                x = np.where(k < np.minimum(left, REACH)[:, None], w[np.clip(place, 0, len(w) - 1)], np.uint64(0))
-                chain = np.cumsum(x * _M[: len(k)], 1, dtype=np.uint64)
-                key = _mixed(_mixed(cluster.view(np.uint64) * _M[61] + side.astype(np.uint64)) + x[:, 0])
-                short = (_mixed(chain) >> np.uint64(32)).astype(np.uint32)
-                short[k >= np.minimum(left, REACH)[:, None]] = 0  # no word: 0 is never met with another's
-                wide = np.ascontiguousarray(short).view(np.uint64)
-                yield scattered(key, parts, {"key": key, "doc": np.array(docs, np.int64)[text], "h": np.array(hs, np.int64)[text], "at": pos << 1 | side, **{f"c{i}": wide[:, i] for i in range(_CHAIN)}})
+                doc, h = np.array(docs, np.int64)[text], np.array(hs, np.int64)[text]
+                for own in np.array_split(np.arange(len(at)), -(-len(at) // _ENDS)):
+                    reach = np.minimum(left[own], REACH)
+                    place = begin[text[own]][:, None] + np.where(side[own][:, None] == 1, at[own][:, None] + k, at[own][:, None] - 1 - k)
+                    x = np.where(k < reach[:, None], w[np.clip(place, 0, len(w) - 1)], np.uint64(0))
+                    chain = np.cumsum(x * _M[: len(k)], 1, dtype=np.uint64)
+                    start = _mixed(cluster[own].view(np.uint64) * _M[61] + side[own].astype(np.uint64))
+                    all_ = many[own] > 0
+                    few = np.flatnonzero(~all_)
+                    if len(few):
+                        key = _mixed(start[few] + x[few, 0])
+                        short = (_mixed(chain[few]) >> np.uint64(32)).astype(np.uint32)
+                        short[k >= reach[few][:, None]] = 0  # no word: 0 is never met with another's
+                        wide = np.ascontiguousarray(short).view(np.uint64)
+                        at_ = pos[own[few]] << 1 | side[own[few]]
+                        yield scattered(key, parts, {"key": key, "doc": doc[own[few]], "h": h[own[few]], "at": at_, **{f"c{i}": wide[:, i] for i in range(_CHAIN)}})
+                    all_ = np.flatnonzero(all_)
+                    if len(all_):
+                        yield _nodes(start[all_], chain[all_], reach[all_], doc[own[all_]], h[own[all_]], pos[own[all_]] << 1 | side[own[all_]], parts)
 
     return run
 
 
-def _reaching(batches):
-    """How many words of each end's an earlier document of its cluster has too, if any: (doc, h, pos, side, reach)."""
+#: Ends of a slice that are looked at together, for memory.
+_ENDS = 1 << 15
+
+
+def _nodes(start: np.ndarray, chain: np.ndarray, reach: np.ndarray, doc: np.ndarray, h: np.ndarray, at: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Of ends of frequent clusters the prefixes of the words beyond them that no earlier document here has, and what is known here.
+
+    A prefix is sent for the smallest document with it alone: for the others the answer is known, and so it is for all
+    shorter ones, as whoever has a prefix has these too.  So one that is everywhere is a row or so a slice.
+    """
+    told = np.zeros(len(doc), np.int64)  # words that an earlier document here has too
+    key, end, words = [], [], []
+    live = np.arange(len(doc))
+    for r in range(REACH):
+        live = live[reach[live] > r]
+        if not len(live):
+            break
+        node = _mixed(start[live] + _mixed(chain[live, r] + np.uint64(r)))
+        order = np.lexsort((doc[live], node))
+        live, node = live[order], node[order]
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        least = np.repeat(doc[live[first]], np.diff(np.append(first, len(live))))
+        later = doc[live] > least
+        told[live[later]] = r + 1
+        key.append(node[~later])
+        end.append(live[~later])
+        words.append(np.full(len(key[-1]), r + 1))
+    known = np.flatnonzero(told)
+    key = np.concatenate([*key, _mixed(h[known].view(np.uint64) + at[known].astype(np.uint64) * _M[60])])
+    row = np.concatenate([*end, known])
+    what = at[row] << 8 | np.concatenate([*words, told[known]]) << 1
+    what[len(row) - len(known) :] |= 1
+    out = scattered(key, parts, {"key": key, "doc": doc[row], "h": h[row], "at": what})
+    part = pa.array(out.column("part").to_numpy() + np.int32(parts))
+    return pa.RecordBatch.from_arrays([part, out.column("blob")], ["part", "blob"])
+
+
+_REACH = ["doc", "h", "pos", "side", "reach"]
+
+
+def _reached(doc: np.ndarray, h: np.ndarray, at: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h), pa.array(at >> 1), pa.array((at & 1).astype(np.int8)), pa.array(reach.astype(np.int32))], _REACH)
+
+
+def _reaching(parts: int):
+    """How many words of each end's an earlier document of its cluster has too, if any: (doc, h, pos, side, reach).
+
+    An end of a frequent cluster may have several rows, of which the largest reach holds.
+    """
+
+    def halves(batches):
+        for b in batches:
+            at = int(np.searchsorted(b.column("part").to_numpy(), parts))
+            yield from ((k, x) for k, x in enumerate((b.slice(0, at), b.slice(at))) if x.num_rows)
+
+    def run(batches):
+        for many, group in groupby(halves(batches), lambda x: x[0]):  # rows are sorted by part
+            yield from (_by_nodes if many else _by_chains)(b for _, b in group)
+
+    return run
+
+
+def _by_nodes(batches):
+    for a, starts in gathered(batches, _NODES, "key"):
+        known = a["at"] & 1 > 0
+        doc = np.where(known, np.iinfo(np.int64).max, a["doc"])
+        least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(doc))))
+        at = np.flatnonzero(known | (a["doc"] > least))
+        yield _reached(a["doc"][at], a["h"][at], a["at"][at] >> 8, a["at"][at] >> 1 & 127)
+
+
+def _by_chains(batches):
     for a, starts in gathered(batches, _AROUND, "key"):
-        chain = np.stack([a[c] for c in _AROUND[4:]], 1).view(np.uint32)
+        chain = np.stack([a.pop(c) for c in _AROUND[4:]], 1).view(np.uint32)
         run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(a["doc"]))))
         doc, out, live = a["doc"], np.zeros(len(run), np.int32), np.arange(len(run))
         for r in range(REACH):
@@ -413,7 +503,7 @@ def _reaching(batches):
             out[live[doc[live] > np.repeat(first, size)]] = r + 1
             live = live[np.repeat(first < last, size)]
         at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(a["h"][at]), pa.array(a["at"][at] >> 1), pa.array((a["at"][at] & 1).astype(np.int8)), pa.array(out[at])], ["doc", "h", "pos", "side", "reach"])
+        yield _reached(doc[at], a["h"][at], a["at"][at], out[at])
 
 
 def _flag_rows(batches):
@@ -477,7 +567,7 @@ def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     named = equal.join(comp.withColumnRenamed("node", "content"), "content", "left").select("content", "equal_doc", F.coalesce("component", "content").alias("cluster"))
     named = Staged(named, "named")  # so that the join can split a content with most of the occurrences
     found = Staged(found.df.join(named.df, "content").drop("content"), "found")
-    whole = found.df.groupBy("cluster").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    whole = found.df.groupBy("cluster").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), (F.count(F.lit(1)) > MANY).cast("byte").alias("many")).where("first_doc < last_doc").drop("last_doc")
     text, later = Window.partitionBy("doc", "h").orderBy("number"), F.col("doc") > F.col("first_doc")
     # a neighbour that an earlier document has word by word ends where it ends there; one that is similar may hang over
     equal = F.when(F.col("doc") > F.col("equal_doc"), F.col("number"))
@@ -492,12 +582,12 @@ def occurrences(documents: DataFrame, least: float = 0.8) -> DataFrame:
     ends = [rows.df.where(later & F.col(c).isNull()).select("cluster", F.lit(side).cast("byte").alias("side")) for side, c in enumerate(("before", "after"))]
     ends = Staged(ends[0].unionByName(ends[1]).distinct(), "ends").df
     at = F.when(F.col("side") == 0, F.col("pos")).otherwise(F.col("pos") + F.col("n"))
-    wanted = rows.df.join(ends, "cluster").groupBy("doc", "h").agg(F.collect_list(F.struct(at.cast("int").alias("at"), "side", "cluster", "pos")).alias("ends"))
+    wanted = rows.df.join(ends, "cluster").groupBy("doc", "h").agg(F.collect_list(F.struct(at.cast("int").alias("at"), "side", "cluster", "pos", "many")).alias("ends"))
     wanted = Staged(wanted, "wanted")
     some = docs.mapInArrow(_some(_flags(wanted.df.select(F.col("h").alias("content")))), docs.schema)  # most texts need no shuffle
     around = some.join(wanted.df, ["doc", "h"])
     keys = exchanged(around.mapInArrow(_around("ends", parts_of(spark)), "part int, blob binary"))
-    reach = keys.mapInArrow(_reaching, "doc long, h long, pos long, side byte, reach int").groupBy("doc", "h", "pos")
+    reach = keys.mapInArrow(_reaching(parts_of(spark)), "doc long, h long, pos long, side byte, reach int").groupBy("doc", "h", "pos")
     reach = reach.agg(F.max(F.when(F.col("side") == 0, F.col("reach"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("reach"))).alias("right"))
     reach = Staged(reach, "reach").df
     wanted.drop()
